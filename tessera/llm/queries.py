@@ -5,10 +5,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import lookalikes, sentences
+from tessera.llm import canonical, chunking, lookalikes, sentences
 from tessera.session import once, read
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Document texts and complaint descriptions over 1,200 characters, and whether a cut had to be forced."""
+    docs = once(read(spark, d, "documents", "doc_id", "text"), "doc_id").select(F.lit("documents").alias("src"), F.col("doc_id").cast("string").alias("rec_id"), "text")
+    complaints = once(read(spark, d, "complaints", "complaint_id", "description"), "complaint_id")
+    complaints = complaints.select(F.lit("complaints").alias("src"), F.col("complaint_id").cast("string").alias("rec_id"), F.col("description").alias("text"))
+    pieces = chunking.split_oversized(docs.unionByName(complaints), "text", only_oversized=True)
+    return pieces.where("piece_no = 1 and pieces > 1").select("src", "rec_id", F.when(F.col("forced"), "forced").otherwise("boundary").alias("kind"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """The engine that each entered value means, or UNMATCHED, and the engines that complaints mention."""
+    reference = canonical.names(read(spark, d, "engines"))
+    context = once(read(spark, d, "engine_year_context", "ctx_id", "engine"), "ctx_id").select(
+        F.lit("engine_year_context").alias("src"), F.col("ctx_id").cast("string").alias("rec_id"), F.lit(0).alias("pos"), F.col("engine").alias("value")
+    )
+    listings = once(read(spark, d, "listings", "listing_id", "engines"), "listing_id").select(
+        F.lit("listings").alias("src"), F.col("listing_id").cast("string").alias("rec_id"), F.posexplode("engines").alias("pos", "value")
+    )
+    complaints = once(read(spark, d, "complaints", "complaint_id", "description"), "complaint_id").select(
+        F.lit("complaints").alias("src"), F.col("complaint_id").cast("string").alias("rec_id"), F.lit(0).alias("pos"), "description"
+    )
+    values = canonical.resolve_values(context.unionByName(listings), "value", reference)
+    mentions = canonical.resolve_mentions(complaints, "description", reference)
+    columns = ["src", "rec_id", "pos", "engine_code"]
+    return values.select(*columns).unionByName(mentions.select(*columns))
+
+
+def p3_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """The entered values that fit no engine, with how often each was entered."""
+    reference = canonical.names(read(spark, d, "engines"))
+    context = once(read(spark, d, "engine_year_context", "ctx_id", "engine"), "ctx_id").select(F.col("engine").alias("value"))
+    listings = once(read(spark, d, "listings", "listing_id", "engines"), "listing_id").select(F.explode("engines").alias("value"))
+    return canonical.unmatched(canonical.resolve_values(context.unionByName(listings), "value", reference), "value")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of documents, and of videos by title, that differ but look the same."""
     docs = lookalikes.look_alike_pairs(once(read(spark, d, "documents", "doc_id", "text"), "doc_id"), id="doc_id", text="text")
@@ -22,5 +57,5 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentences(read(spark, d, "documents", "doc_id", "text"), "text").select("doc_id", "sent_no", "end_char")
 
 
-QUERIES = {"p4_found": p4_found, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p4_found": p4_found, "p10_found": p10_found}
 ORACLE: dict[str, str] = {}
