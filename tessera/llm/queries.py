@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import canonical, chunking, lookalikes, sentences
+from tessera.llm import canonical, chunking, leakage, lookalikes, neardup, sentences, turns
 from tessera.session import once, read
 
 
@@ -18,6 +18,21 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return pieces.where("piece_no = 1 and pieces > 1").select("src", "rec_id", F.when(F.col("forced"), "forced").otherwise("boundary").alias("kind"))
 
 
+_FAULT = ("label", "symptom", "cause")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of issues whose label, symptom and cause overlap by 0.7 or more."""
+    issues = once(read(spark, d, "issues", "issue_id", *_FAULT), "issue_id")
+    return neardup.similar_pairs(issues, "issue_id", *_FAULT, threshold=0.7).select(F.col("id_lo").alias("issue_lo"), F.col("id_hi").alias("issue_hi"))
+
+
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The group of issues that describe the same fault, for every issue."""
+    issues = once(read(spark, d, "issues", "issue_id", *_FAULT), "issue_id")
+    return neardup.groups(issues, "issue_id", *_FAULT, threshold=0.7).withColumnRenamed("id", "issue_id")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """The engine that each entered value means, or UNMATCHED, and the engines that complaints mention."""
     reference = canonical.names(read(spark, d, "engines"))
@@ -52,10 +67,27 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs(docs, "documents").unionByName(pairs(videos, "videos"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every speaker turn of every transcript."""
+    videos = once(read(spark, d, "videos", "video_id", "transcript_segments"), "video_id")
+    return turns.turns(videos, read(spark, d, "speakers")).select("video_id", "turn_no", "speaker_id", "start_ms")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold at least 12 consecutive words of an evaluation item."""
+    found = leakage.leaks(read(spark, d, "documents", "doc_id", "text"), read(spark, d, "eval_items", "item_id", "text"))
+    return found.select("doc_id", "item_id")
+
+
+def p9_near(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold an edited passage of an item: windows of 24 words of shingle similarity 0.8 or more."""
+    return leakage.leaks(read(spark, d, "documents", "doc_id", "text"), read(spark, d, "eval_items", "item_id", "text"), size=24, radius=7, similarity=0.8)
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Every sentence of every document."""
     return sentences.sentences(read(spark, d, "documents", "doc_id", "text"), "text").select("doc_id", "sent_no", "end_char")
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p4_found": p4_found, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p4_found": p4_found, "p7_found": p7_found, "p9_found": p9_found, "p9_near": p9_near, "p10_found": p10_found}
 ORACLE: dict[str, str] = {}
