@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import canonical, chunking, leakage, lookalikes, neardup, sentences, turns
-from tessera.session import once, read
+from tessera.llm import canonical, chunking, language, leakage, lookalikes, neardup, packing, sentences, turns
+from tessera.session import cut, once, read
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -67,12 +67,42 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs(docs, "documents").unionByName(pairs(videos, "videos"))
 
 
+def _video_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Title and spoken words of each video, as the paragraphs of one text."""
+    videos = once(read(spark, d, "videos", "video_id", "title", "video_language", "transcript_text", "transcript_segments"), "video_id")
+    spoken = F.array_join(F.transform("transcript_segments", lambda s: s["text"]), " ")
+    spoken = F.regexp_replace(F.coalesce(F.nullif(spoken, F.lit("")), "transcript_text"), r"\[[^\]]*\]|\([^)]*\)|<[^>]*>|♪[^♪]*♪|\*[^*]*\*|[0-9:.,]{4,}", " ")
+    return videos.select("video_id", "video_language", F.concat_ws("\n\n", "title", spoken).alias("text"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Languages of documents and videos whose label is missing or wrong, or that are in several languages."""
+    classifier = language.train(read(spark, d, "lang_samples"))
+    docs = language.wrongly_labelled(once(read(spark, d, "documents", "doc_id", "text", "lang"), "doc_id"), "doc_id", "text", "lang", classifier)
+    videos = language.wrongly_labelled(_video_texts(spark, d), "video_id", "text", "video_language", classifier, one=True)
+    return docs.select(F.lit("documents").alias("src"), F.col("doc_id").cast("string").alias("rec_id"), "lang").unionByName(
+        videos.select(F.lit("videos").alias("src"), F.col("video_id").alias("rec_id"), "lang")
+    )
+
+
+def p5_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's stretches of one language, with a confidence."""
+    classifier = language.train(read(spark, d, "lang_samples"))
+    return language.segments(read(spark, d, "documents", "doc_id", "text"), "text", classifier)
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Every speaker turn of every transcript."""
     videos = once(read(spark, d, "videos", "video_id", "transcript_segments"), "video_id")
     return turns.turns(videos, read(spark, d, "speakers")).select("video_id", "turn_no", "speaker_id", "start_ms")
 
 
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    """The container of 1,024 tokens of every document text, or of each piece of a larger one."""
+    sized = packing.token_counts(read(spark, d, "documents", "doc_id", "text"), "text")
+    return packing.pack(cut(sized.select("doc_id", "tokens")), "doc_id", capacity=1024)
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold at least 12 consecutive words of an evaluation item."""
     found = leakage.leaks(read(spark, d, "documents", "doc_id", "text"), read(spark, d, "eval_items", "item_id", "text"))
@@ -89,5 +119,5 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentences(read(spark, d, "documents", "doc_id", "text"), "text").select("doc_id", "sent_no", "end_char")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p4_found": p4_found, "p7_found": p7_found, "p9_found": p9_found, "p9_near": p9_near, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p4_found": p4_found, "p5_found": p5_found, "p5_segments": p5_segments, "p7_found": p7_found, "p8_containers": p8_containers, "p9_found": p9_found, "p9_near": p9_near, "p10_found": p10_found}
 ORACLE: dict[str, str] = {}
