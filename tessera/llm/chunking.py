@@ -87,6 +87,8 @@ def cuts(text: str, limit: int, overlap: int) -> list[tuple[int, int, int, float
     for i, j in zip(points, points[1:]):
         room = min(overlap, limit - int(at[j] - at[i]), int(at[i])) if i else 0
         k = int(np.searchsorted(at, at[i] - room))  # the repeated part begins at a boundary where there is one
+        while at[k] < at[i] and pen[k] == MARK and at[k + 1] < at[i]:
+            k += 1  # behind a blank rather than before it
         start = int(at[k]) if at[k] < at[i] or pen[i] != FORCED else int(at[i]) - room
         out.append((start, int(at[i]), int(at[j]), float(pen[i])))
     return out
