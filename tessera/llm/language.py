@@ -29,9 +29,9 @@ DIMENSIONS = 1 << 17
 #: Orders of the character n-grams.
 ORDERS = (1, 2, 3, 4, 5)
 #: A sentence with fewer letters than this, or less confidence, is judged with its neighbours.
-FEW_LETTERS, WEAK = 6, 0.6
+FEW_LETTERS, WEAK = 6, 0.5
 #: A sentence of less confidence than this takes the language of a sentence next to it if that is of the same family.
-CLOSE_CALL = 0.85
+CLOSE_CALL = 0.58
 
 # Families of the languages.
 FAMILIES = {"en": "germanic", "de": "germanic", "fr": "romance", "es": "romance", "pt": "romance", "tr": "turkic", "ru": "slavic", "ja": "east_asian", "zh": "east_asian", "th": "tai", "hi": "indic"}
@@ -42,7 +42,7 @@ NAMES = {
 }
 MISSING = ("", "und", "unknown", "null", "none", "n/a")
 
-_CODE = re.compile(r"^\s*(?:#\s?[A-Z0-9]+|(?:re|ref)[.:]?\s*[A-Z0-9]{4,}|\S*\d\S{19,}|\S{40,})\s*$", re.I)
+_CODE = re.compile(r"^\s*(?:#\s?[A-Z0-9]+|(?:re|ref)[.:]?\s*[A-Z0-9]{4,}|\S*\d\S{19,}|\S{40,})[.!?…]*\s*$", re.I)
 _ASCII_CODE = re.compile(r"^[\x21-\x7e]*$")
 
 

@@ -62,7 +62,7 @@ def _patterns() -> dict[str, str]:
                 continue
             c = one.get(word[i], word[i])
             parts = unicodedata.normalize("NFD", c)
-            out.append(c if len(parts) == 1 else f"(?:{c}|{gap.join(parts)})")
+            out.append(c if len(parts) == 1 or not parts[0].isalpha() else f"(?:{c}|{parts[0]}{gap}{parts[1]}?)")
             i += 1
         return gap.join(out)
 
@@ -88,12 +88,12 @@ def _marked(text: Column) -> Column:
     # initials and single-letter abbreviations; a month or day in figures; abbreviations
     t = _sub(t, r"(?<![\p{L}\p{M}\p{N}])(\p{L}\p{M}*)\.(?!" + p["gap"] + r"\.\.)", "$1" + DOT)
     t = _sub(t, r"(?<![\p{L}\p{N}.,])([0-9]{1,2})\.(?=\s+[\p{L}])", "$1" + DOT)
-    t = _sub(t, r"(?<![\p{L}\p{M}])(" + p["always"] + r")\.", "$1" + DOT)
-    t = _sub(t, r"(?<![\p{L}\p{M}])(" + p["number"] + r")\.(?=\s*[0-9०-९#])", "$1" + DOT)
+    t = _sub(t, r"(?<![\p{L}\p{M}])((?iu:" + p["always"] + r"))\.", "$1" + DOT)
+    t = _sub(t, r"(?<![\p{L}\p{M}])((?iu:" + p["number"] + r"))\.(?=\s*[0-9०-९#])", "$1" + DOT)
     t = _sub(t, r"(कि" + DOT + r"?\.?मी)\.", "$1" + DOT)
     t = _sub(t, r"(\p{InThai})\.(?=\s*[\p{InThai}0-9])", "$1" + DOT)
     # quotation marks whose shape doesn't tell their side
-    t = _sub(t, "„([^„“”\n]{1,400})“", "„$1" + CLOSE)
+    t = _sub(t, r"„((?:[^„“”\n]|\n(?!\s*\n)){1,400}+)“", "„$1" + CLOSE)
     t = _sub(t, r'(?<![\p{L}\p{N}])"(?=[^\s"])([^"]{1,400}?)(?<=\S)"', OPEN + "$1" + CLOSE)
     # stops inside quotations and brackets, but those right before the closing mark: from the opening mark on, stop by stop
     for a, z in (OPEN + CLOSE, "“”", "„" + CLOSE, "«»", "「」", "『』", "()"):

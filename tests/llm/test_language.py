@@ -29,7 +29,7 @@ def test_mixed_missing_wrong(spark, small):
     model = L.train(spark.read.parquet(f"{small}/lang_samples.parquet"))
     en, de, zh = "The tow truck came at 7.30 a.m. and took the Ilmo.", "Die Werkstatt wollte 1961 Euro haben.", "大约需要2.3升机油。"
     rows = [
-        (1, en, "en"), (2, en, "de"), (3, en, None), (4, f"{en} {de} {en}", "en"), (5, f"{en}\n\n{zh}", "zho"), (6, None, "en"), (7, "", None), (8, "#AB12CD", None),
+        (1, en, "en"), (2, en, "de"), (3, en, None), (4, f"{en} {de} {en}", "en"), (5, f"{en}\n\n{zh}", "zho"), (6, None, "en"), (7, "", None), (8, "#AB12CD!", None),
         (9, f"{de}\n\n#AB12CD", "German"), (10, en + " Ok.", "en-GB"), (11, "12 34", "fr"),
     ]
     df = spark.createDataFrame([(*r, "x") for r in rows], "id int, t string, l string, lang string").drop("lang")
@@ -45,7 +45,7 @@ def test_mixed_missing_wrong(spark, small):
 
 
 def test_decide():
-    assert L.decide([("en", 0.95, 40), ("fr", 0.5, 10), ("", 0.0, 0)])[1][0] == "en"
-    assert L.decide([("es", 0.95, 40), ("pt", 0.75, 40)])[1][0] == "es"
+    assert L.decide([("en", 0.95, 40), ("fr", 0.4, 10), ("", 0.0, 0)])[1][0] == "en"
+    assert L.decide([("es", 0.95, 40), ("pt", 0.55, 40)])[1][0] == "es"
     assert L.decide([("en", 0.95, 40), ("pt", 0.75, 40)])[1][0] == "pt"
     assert L.decide([("de", 0.5, 5)]) == [("de", 0.5)] and L.decide([]) == []

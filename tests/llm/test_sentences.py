@@ -9,12 +9,14 @@ CASES = {
     'He said: "It is done." Then "why?" she asked. „Das wird teuer.“ Ja.': ['He said: "It is done."', 'Then "why?" she asked.', "„Das wird teuer.“", "Ja."],
     "One.Two\n\nno stop\n\nThree": ["One.", "Two", "no stop", "Three"],
     "师傅说：“换掉。不能再拖了。”然后走了。好！「もう限界です！」と言った。": ["师傅说：“换掉。不能再拖了。”然后走了。", "好！", "「もう限界です！」と言った。"],
-    "อู่คิด 730 บาท ผมพบ กม. ผม": ["อู่คิด 730 บาท", "ผมพบ กม. ผม"],
+    "อู่คิด 730 กม. ผมพบ ดี": ["อู่คิด 730 กม. ผมพบ", "ดี"],
     "डॉ. Okonvar ने कहा। क्या यह है? हाँ।": ["डॉ. Okonvar ने कहा।", "क्या यह है?", "हाँ।"],
     "Am 3. Mai um 17.45 Uhr, d.h. spät... aber gut. Ende...": ["Am 3. Mai um 17.45 Uhr, d.h. spät... aber gut.", "Ende..."],
     "See https://a.b.org/x.html for more. Good": ["See https://a.b.org/x.html for more.", "Good"],
     "Text here.\n#AB12CD": ["Text here.", "#AB12CD"],
     "app​rox. 5 km. Ok": ["app​rox. 5 km.", "Ok"],
+    "Er sagte leise „Das\nwird teuer.“ Nach 3 Tagen Schluss.": ["Er sagte leise „Das\nwird teuer.“", "Nach 3 Tagen Schluss."],
+    "Av. Ellquist ve Muh. Toskil; dr. Who": ["Av. Ellquist ve Muh. Toskil; dr. Who"],
     "   \n ": [], "": [], "...": ["..."],
 }
 
