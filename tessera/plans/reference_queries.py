@@ -1,4 +1,6 @@
-"""Registered queries of the engine's own operators."""
+"""All registered queries of the engine's own operators."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from tessera.plans import table_queries, text_queries
+
+QUERIES = {**table_queries.query.queries, **text_queries.query.queries}
+ORACLE = {**table_queries.query.oracle, **text_queries.query.oracle}

@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(name: str = "tessera", cores: str = "*", partitions: int = 8) -> SparkSession:
@@ -36,6 +37,11 @@ def once(df: DataFrame, *key: str) -> DataFrame:
     return df.dropDuplicates(list(key))
 
 
+def once_known(df: DataFrame, *key: str) -> DataFrame:
+    """Each key once, for tables whose repeated rows may lack values: a known value wins over null, the greatest over others."""
+    return df.groupBy(*key).agg(*[F.max(c).alias(c) for c in df.columns if c not in key])
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the checkpoint folder all executors share and reads it back.
 
