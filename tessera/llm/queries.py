@@ -120,4 +120,45 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p4_found": p4_found, "p5_found": p5_found, "p5_segments": p5_segments, "p7_found": p7_found, "p8_containers": p8_containers, "p9_found": p9_found, "p9_near": p9_near, "p10_found": p10_found}
-ORACLE: dict[str, str] = {}
+
+def _consistent_sql(text: str) -> str:
+    """The consistent form in DuckDB: the same tables, but composition by NFC in place of a collation."""
+    one, drop, many = lookalikes.tables()
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    keys = sorted(one)
+    out = f"translate({text}, {quoted(''.join(keys) + drop)}, {quoted(''.join(one[k] for k in keys))})"
+    for k, v in sorted(many.items()):
+        out = f"replace({out}, {quoted(k)}, {quoted(v)})"
+    return f"nfc_normalize({out})"
+
+
+_WHITE = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_RUN = rf"[^{_WHITE}.!?。！？।…]"
+
+ORACLE = {
+    "p1_found": rf"""
+WITH t AS (SELECT DISTINCT 'documents' AS src, doc_id::VARCHAR AS rec_id, text FROM documents
+ UNION ALL SELECT DISTINCT 'complaints', complaint_id::VARCHAR, description FROM complaints)
+SELECT src, rec_id, CASE WHEN regexp_matches(text, '{_RUN}{{601}}{_RUN}{{600}}') THEN 'forced' ELSE 'boundary' END AS kind
+FROM t WHERE length(trim(text, ' ' || chr(9) || chr(10) || chr(13) || chr(160))) > 1200
+""",
+    "p2_found": r"""
+WITH t AS (SELECT issue_id, list_distinct(regexp_extract_all(lower(concat_ws(' ', label, symptom, cause)), '[\p{L}\p{N}]+')) AS w
+ FROM (SELECT DISTINCT ON (issue_id) issue_id, label, symptom, cause FROM issues))
+SELECT a.issue_id AS issue_lo, b.issue_id AS issue_hi FROM t a JOIN t b ON a.issue_id < b.issue_id AND len(a.w) >= 0.7 * len(b.w) AND len(b.w) >= 0.7 * len(a.w)
+WHERE len(list_intersect(a.w, b.w)) >= 0.7 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) AND len(a.w) > 0
+""",
+    "p4_found": f"""
+WITH d AS (SELECT DISTINCT doc_id, text, {_consistent_sql("text")} AS c FROM documents WHERE text IS NOT NULL),
+v AS (SELECT DISTINCT video_id, title, {_consistent_sql("title")} AS c FROM videos WHERE title IS NOT NULL)
+SELECT 'documents' AS src, a.doc_id::VARCHAR AS id_lo, b.doc_id::VARCHAR AS id_hi FROM d a JOIN d b ON a.c = b.c AND a.doc_id < b.doc_id AND a.text <> b.text
+UNION ALL SELECT 'videos', a.video_id, b.video_id FROM v a JOIN v b ON a.c = b.c AND a.video_id < b.video_id AND a.title <> b.title
+""",
+    "p9_found": rf"""
+WITH d AS (SELECT DISTINCT doc_id, regexp_extract_all(lower({_consistent_sql("text")}), '[\p{{L}}\p{{N}}]+') AS w FROM documents WHERE text IS NOT NULL),
+e AS (SELECT DISTINCT item_id, regexp_extract_all(lower({_consistent_sql("text")}), '[\p{{L}}\p{{N}}]+') AS w FROM eval_items),
+dg AS (SELECT doc_id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM d)),
+eg AS (SELECT item_id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM e))
+SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g)
+""",
+}
