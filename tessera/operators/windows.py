@@ -111,7 +111,7 @@ def share_cap(df: DataFrame, capped: Column, share: float, *order: Column | str)
 
 def interval_dedupe(df: DataFrame, key: str, lo: str, hi: str, score: str, tolerance: float) -> DataFrame:
     """Best first, a row stays unless its interval, widened by the tolerance, overlaps one that stayed (per key). In SQL, one fold a key."""
-    row = F.struct(F.col(score).alias("s"), (-F.col(lo)).alias("o"), *[F.col(c) for c in df.columns])
+    row = F.struct(F.col(score).alias("__score"), (-F.col(lo)).alias("__order"), *[F.col(c) for c in df.columns])
     g = df.groupBy(F.col(key).alias("__k")).agg(F.sort_array(F.collect_list(row), asc=False).alias("rows"))
     kind = g.schema["rows"].dataType.simpleString()
     clear = lambda done, x: ~F.exists(done, lambda d: (x[lo] - tolerance < d[hi]) & (d[lo] < x[hi] + tolerance))

@@ -404,10 +404,11 @@ def knn_top10(spark, d):
 
 
 @query()
-def knn_lsh(spark, d):
-    """Approximate neighbours of every twentieth vector (recall is measured in the tests)."""
+def knn_indexed(spark, d):
+    """Approximate neighbours of every twentieth vector by an inverted file (recall is measured in the tests)."""
     v = read(spark, d, "embeddings", "vec_id", "embedding")
-    return vectors.lsh_top_k(v, v.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), 10, "vec_id", "embedding")
+    q = v.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    return vectors.indexed_top_k(v, q, 10, "vec_id", "embedding", vectors.fit_centroids(v, "vec_id", "embedding"))
 
 
 _RETRIEVAL = """
@@ -527,3 +528,64 @@ def covariate_coefficients(spark, d):
 def group_effects(spark, d):
     e = topics.effects(mot(spark, d, "make", "fuel_type", "test_mileage").where("fuel_type is not null"), "make", "fuel_type", "test_mileage")
     return e.select("make", "fuel_type", *[F.round(c, 3).alias(c) for c in ("estimate", "ci_lower", "ci_upper", "contrast")])
+
+
+# -- records, contexts, windows of the reference list
+
+
+@query(
+    f"WITH {ISSUES} SELECT issue_id, CASE WHEN label IS NULL OR lower(trim(label)) IN ('', 'null', 'none', 'nan', 'n/a', 'na', 'unknown', '-') THEN NULL ELSE trim(label) END AS label, CASE WHEN lower(trim(severity)) IN ('low', 'medium', 'high', 'critical') THEN lower(trim(severity)) ELSE 'unknown' END AS severity, list_sort(list_distinct([trim(x) FOR x IN coalesce(warning_signs, []) IF x IS NOT NULL AND trim(x) <> ''])) AS warning_signs, coalesce(mention_count, 0) AS mention_count, (source IS NOT NULL)::INT AS extras FROM iss"
+)
+def normal_issue_records(spark, d):
+    from tessera.operators.records import normal_issues
+
+    i = normal_issues(issues(spark, d, "label", "severity", "warning_signs", "mention_count", "source"), "issue_id", ["label"], {"severity": ["low", "medium", "high", "critical"]}, ["warning_signs"], ["mention_count"])
+    return i.select("issue_id", "label", "severity", F.array_sort("warning_signs").alias("warning_signs"), "mention_count", F.size("extra_fields").alias("extras"))
+
+
+@query(
+    "WITH c AS (SELECT DISTINCT ctx_id, issue_id, trim(engine) AS engine, years, evidence_hits FROM engine_year_context WHERE regexp_full_match(years, '20[0-9]{2}-20[0-9]{2}') AND trim(engine) <> ''), y AS (SELECT issue_id, engine, unnest(range(least(years[1:4]::INT, years[6:9]::INT), greatest(years[1:4]::INT, years[6:9]::INT) + 1)) AS y FROM c), h AS (SELECT issue_id, engine, sum(evidence_hits)::BIGINT AS hits FROM c GROUP BY 1, 2) SELECT issue_id, engine, min(y)::INT AS year_lo, max(y)::INT AS year_hi, count(DISTINCT y) AS years, any_value(hits) AS hits FROM y JOIN h USING (issue_id, engine) GROUP BY 1, 2"
+)
+def year_context_merge(spark, d):
+    from tessera.operators.records import year_context
+
+    c = once(read(spark, d, "engine_year_context", "ctx_id", "issue_id", "engine", "years", "evidence_hits"), "ctx_id").where(F.col("years").rlike("^20[0-9]{2}-20[0-9]{2}$") & (F.trim("engine") != "")).withColumn("engine", F.trim("engine"))
+    return year_context(c, ["issue_id", "engine"], year_spans(F.col("years")), "evidence_hits")
+
+
+@query(f"WITH {ISSUES} SELECT issue_id, min(year_lo) AS window_lo, max(year_hi) AS window_hi FROM (SELECT issue_id, unnest(affected_engines) AS engine_code FROM iss) JOIN engines USING (engine_code) GROUP BY 1")
+def engine_window_lookup(spark, d):
+    from tessera.operators.records import with_window
+
+    return with_window(issues(spark, d, "affected_engines"), "issue_id", "affected_engines", read(spark, d, "engines"), "engine_code", "year_lo", "year_hi")
+
+
+@query(
+    f"WITH {ISSUES}, e AS (SELECT issue_id, affected_years[1:4]::INT AS lo, affected_years[6:9]::INT AS hi, unnest(affected_engines) AS engine_code FROM iss WHERE regexp_full_match(affected_years, '20[0-9]{{2}}-20[0-9]{{2}}')), f AS (SELECT issue_id, engine_code, year_lo IS NULL OR (year_lo <= greatest(lo, hi) AND least(lo, hi) <= year_hi) AS ok FROM e LEFT JOIN engines USING (engine_code) WHERE engine_code IS NOT NULL), g AS (SELECT issue_id, list_sort(list(DISTINCT engine_code) FILTER (ok)) AS fit, list_sort(list(DISTINCT engine_code)) AS every FROM f GROUP BY 1) SELECT issue_id, CASE WHEN len(fit) > 0 THEN fit ELSE every END AS engines, CASE WHEN len(fit) > 0 THEN len(every) - len(fit) ELSE 0 END AS dropped FROM g"
+)
+def engine_year_validation(spark, d):
+    from tessera.operators.records import engines_in_window
+
+    i = issues(spark, d, "affected_years", "affected_engines").where(F.col("affected_years").rlike("^20[0-9]{2}-20[0-9]{2}$")).withColumn("s", year_spans(F.col("affected_years"))[0])
+    i = i.select("issue_id", F.col("affected_engines").alias("engines"), F.col("s.lo").alias("lo"), F.col("s.hi").alias("hi"))
+    r = engines_in_window(i, "issue_id", "engines", "lo", "hi", read(spark, d, "engines"), "engine_code", "year_lo", "year_hi")
+    return r.select("issue_id", "engines", F.size("dropped").cast("bigint").alias("dropped"))
+
+
+@query(
+    f"WITH {ISSUES}, v AS (SELECT DISTINCT video_id, CASE WHEN title LIKE '%problem%' THEN 'problem' WHEN title LIKE '%review%' OR title LIKE '%honest%' THEN 'review' ELSE 'other' END AS t FROM videos), c AS (SELECT issue_id, t, count(*) AS c FROM (SELECT issue_id, unnest(source_videos).video_id AS video_id FROM iss) JOIN v USING (video_id) GROUP BY 1, 2) SELECT issue_id, sum(c)::BIGINT AS n, CASE WHEN max(c)::DOUBLE / sum(c) > 0.5 THEN arg_max(t, (c, t)) ELSE 'mixed' END AS dominant FROM c GROUP BY 1"
+)
+def dominant_evidence_class(spark, d):
+    from tessera.functions.text import first_class
+
+    v = videos(spark, d, "title").select("video_id", first_class(F.col("title"), [("problem", "problem"), ("review", "review|honest")], "other").alias("t"))
+    refs = issues(spark, d, "source_videos").select("issue_id", F.inline("source_videos")).select("issue_id", "video_id")
+    c = refs.join(v, "video_id").groupBy("issue_id", "t").agg(F.count("*").alias("c"))
+    return c.groupBy("issue_id").agg(F.sum("c").alias("n"), F.when(F.max("c") / F.sum("c") > 0.5, F.max_by("t", F.struct("c", "t"))).otherwise("mixed").alias("dominant"))
+
+
+@query()
+def entity_cap(spark, d):
+    """At most three new videos a channel and query, first come first served (a refused video may go to a later query)."""
+    v = videos(spark, d, "matched_queries", "channel").select("video_id", F.col("channel").alias("scope"), F.posexplode("matched_queries").alias("pos", "entity"))
+    return W.entity_cap(v.withColumn("o", F.concat_ws("|", "pos", "video_id")), "scope", "entity", "video_id", "o", 3).select("scope", "entity", "video_id")
