@@ -37,6 +37,15 @@ def once(df: DataFrame, *key: str) -> DataFrame:
     return df.dropDuplicates(list(key))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A plain scan over at least as many tasks as there are cores: small files alone would give costly work one task.
+
+    A scan of enough partitions (any large table) is left as it is and not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def once_known(df: DataFrame, *key: str) -> DataFrame:
     """Each key once, for tables whose repeated rows may lack values: a known value wins over null, the greatest over others."""
     return df.groupBy(*key).agg(*[F.max(c).alias(c) for c in df.columns if c not in key])
