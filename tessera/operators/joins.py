@@ -105,3 +105,9 @@ def near_spans(spans: Column, at: Column, within: int) -> Column:
 def long(df: DataFrame, id: str, columns: Sequence[str], name: str, value: str) -> DataFrame:
     """Wide to long."""
     return df.unpivot(id, list(columns), name, value)
+
+
+def compatible(df: DataFrame, other: DataFrame, value: str, accepted: str, year: str, lo: str, hi: str) -> DataFrame:
+    """Pairs in which `value` is in the other side's list and the year in its range: the lists are exploded into an equi-join."""
+    o = other.withColumn("__v", F.explode(accepted))
+    return df.join(o, F.col(value) == F.col("__v")).where(F.col(year).between(F.col(lo), F.col(hi))).drop("__v")

@@ -123,3 +123,22 @@ def triangulated(content, context, titles, window) -> Column:
         .otherwise(F.struct(inside.alias("spans"), F.when(some(content), "medium").otherwise("low").alias("confidence")))
     )
     return result
+
+
+def scopes(blob: Column, rules: Sequence[tuple[str, str]], everything: str) -> Column:
+    """Scopes a text speaks of (fuel, gearbox, before or after a facelift), or the one that stands for all."""
+    found = F.array_compact(F.array(*[F.when(blob.rlike(p), F.lit(n)) for n, p in rules]))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(everything)))
+
+
+def scoped(values: Column, component: Column, powertrain: Sequence[str]) -> Column:
+    """Engine lists only where the component belongs to the powertrain; empty elsewhere."""
+    return F.when(component.isin(*powertrain), values).otherwise(F.array().cast(NO_TEXTS))
+
+
+def by_priority(*candidates: Column) -> Column:
+    """The first known of several sources (name, first message, first messages), and which one it was, from 1."""
+    source = F
+    for i, c in enumerate(candidates):
+        source = source.when(c.isNotNull(), i + 1)
+    return F.struct(F.coalesce(*candidates).alias("value"), source.otherwise(0).alias("source"))

@@ -108,3 +108,40 @@ def effects(gamma: DataFrame, topic: str, group: str, value: str) -> DataFrame:
     w = Window.partitionBy(topic)
     grand = F.sum("__s").over(w) / F.sum("__n").over(w)
     return g.select(topic, group, "estimate", (F.col("estimate") - 1.96 * F.col("__se")).alias("ci_lower"), (F.col("estimate") + 1.96 * F.col("__se")).alias("ci_upper"), (F.col("estimate") - grand).alias("contrast"))
+
+
+def rescued_outliers(df: DataFrame, vector: str, topic: str, score: Column, k: int, least_rows: int = 6, least_score: float = 0.005, first: int = 1000) -> DataFrame:
+    """Outliers (-1) of enough score are clustered again; their new topics are numbered from `first`. Too few of them stay."""
+    again = (F.col(topic) == -1) & (score >= least_score)
+    rest, some = df.where(~F.coalesce(again, F.lit(False))), df.where(F.coalesce(again, F.lit(False)))
+    if some.limit(least_rows).count() < least_rows:
+        return df
+    new = cluster_vectors(some.drop(topic), vector, min(k, least_rows), least_rows // 2, into=topic)
+    return rest.unionByName(new.withColumn(topic, F.when(F.col(topic) >= 0, F.col(topic) + first).otherwise(-1)), allowMissingColumns=True)
+
+
+def search_k(doc_terms: DataFrame, doc: str, term: str, n: str, ks: Sequence[int], top: int = 10, seed: int = 42) -> DataFrame:
+    """(k, exclusivity, coherence): mean diagnostics of a topic model for each number of topics; one fit each."""
+    from tessera.operators.aggregates import coherence
+    from tessera.operators.windows import top_n
+
+    out = None
+    for k in ks:
+        _, beta = lda_topics(doc_terms, doc, term, n, k, seed)
+        best = top_n(beta, ["topic"], top, F.desc("beta"), F.col("term")).withColumn("r", F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("beta"), "term")))
+        c = coherence(doc_terms.select(F.col(doc).alias("doc"), F.col(term).alias("term")), best, "topic", "doc", "term", "r").agg(F.avg("coherence").alias("coherence"))
+        e = exclusivity(beta, "topic", "term", "beta", top).agg(F.avg("exclusivity").alias("exclusivity"))
+        row = e.crossJoin(F.broadcast(c)).select(F.lit(k).alias("k"), "exclusivity", "coherence")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def number_of_topics(documents: int, steps: Sequence[tuple[int, int]] = ((200, 5), (1000, 10), (5000, 15)), most: int = 25) -> int:
+    """A number of topics by the size of the corpus."""
+    return next((k for size, k in steps if documents < size), most)
+
+
+def varying(df: DataFrame, columns: Sequence[str]) -> list[str]:
+    """The covariates that take more than one value; one aggregation."""
+    row = df.agg(*[F.count_distinct(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(c) for c in columns]).first()
+    return [c for c in columns if row[c] > 1]

@@ -167,3 +167,24 @@ def test_threads_and_top_values(spark):
     assert {r.k: r.m for r in aggregates.threads(df, ["k"], ["o"], "m", F.col("keep"), double_first=True).collect()}["t"] == "a a b"
     assert {r.k: r.v for r in aggregates.first_known(df, ["k"], ["o"], "v").collect()} == {"t": "x", "u": "y"}
     assert {r.k: r.messages for r in aggregates.distinct_messages(df.unionAll(df), "k", "o", "m").collect()}["t"] == ["a", "b", "c"]
+
+
+def test_topic_helpers(spark):
+    from tessera.operators import topics
+
+    rng = np.random.default_rng(1)
+    rows = [(i, (np.eye(3)[i % 3] * 5 + rng.normal(0, 0.1, 3)).tolist(), 1.0) for i in range(60)] + [(99, [100.0, 100.0, 100.0], 1.0)]
+    df = spark.createDataFrame(rows, "id int, v array<double>, s double")
+    out = topics.cluster_vectors(df, "v", 4, 5)
+    assert {r.topic for r in out.where("id = 99").collect()} == {-1} and out.where("topic >= 0").select("topic").distinct().count() == 3
+    assert topics.rescued_outliers(out, "v", "topic", F.col("s"), 2).count() == 61
+    terms = spark.createDataFrame([(d, w, 2) for d in range(12) for w in (("a", "b", "c") if d % 2 else ("x", "y", "z"))], "doc int, term string, n int")
+    assert topics.search_k(terms, "doc", "term", "n", [2, 3], top=3).count() == 2
+    assert topics.number_of_topics(10) == 5 and topics.number_of_topics(10**6) == 25 and topics.varying(terms, ["doc", "n"]) == ["doc"]
+
+
+def test_small_helpers(spark):
+    a, b = spark.createDataFrame([("e1", 2010), ("e2", 2010)], "e string, y int"), spark.createDataFrame([("g", ["e1", "e3"], 2005, 2012)], "c string, es array<string>, lo int, hi int")
+    assert [r.e for r in joins.compatible(a, b, "e", "es", "y", "lo", "hi").collect()] == ["e1"]
+    r = spark.range(1).select(ranking.scopes(F.lit("diesel auto"), [("diesel", "diesel"), ("petrol", "petrol")], "all").alias("s"), ranking.by_priority(F.lit(None), F.lit("x")).alias("p"), ranking.scoped(F.array(F.lit("e")), F.lit("body"), ["engine"]).alias("v")).first()
+    assert (r.s, r.p.value, r.p.source, r.v) == (["diesel"], "x", 2, [])
