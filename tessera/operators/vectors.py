@@ -86,13 +86,20 @@ def multi_probe(data: DataFrame, probes: DataFrame, id: str, vector: str, broad:
     return hits.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 
-def hashed_embedding(df: DataFrame, text: str, into: str = "embedding", dimensions: int = 256) -> DataFrame:
-    """A deterministic offline embedding: signed hashed word counts, L2-normalised; for use where no model is at hand."""
+def hashed_embedding(df: DataFrame, text: Column, into: str = "embedding", dimensions: int = 256) -> DataFrame:
+    """A deterministic offline embedding: signed hashed word counts, L2-normalised; for use where no model is at hand. Zeros for a text without words."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    rows = F.transform(words, lambda w: F.struct(F.pmod(F.xxhash64(w), F.lit(dimensions)).cast("int").alias("i"), F.when(F.pmod(F.hash(w), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("s")))
-    summed = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda k: F.aggregate(F.filter(rows, lambda r: r["i"] == k), F.lit(0.0), lambda a, r: a + r["s"]))
-    unit = lambda w: F.greatest(F.sqrt(F.aggregate(w, F.lit(0.0), lambda a, y: a + y * y)), F.lit(1e-12))
-    return df.withColumn("__w", summed).withColumn("__n", unit(F.col("__w"))).withColumn(into, F.transform("__w", lambda x: (x / F.col("__n")).cast("float"))).drop("__w", "__n")
+
+    @F.pandas_udf("array<float>")
+    def embed(hashes: pd.Series) -> pd.Series:
+        def one(h):
+            h = np.asarray(h, dtype=np.int64)
+            v = np.bincount(h % dimensions, weights=1.0 - 2.0 * ((h >> 40) & 1), minlength=dimensions) if len(h) else np.zeros(dimensions)
+            return (v / max(np.linalg.norm(v), 1e-12)).astype(np.float32)
+
+        return hashes.map(one)
+
+    return df.withColumn(into, embed(F.transform(words, lambda w: F.xxhash64(w))))
 
 
 #: Rows that the coarse centroids are fitted on at most (the smallest digests of the ids, so the choice is the same every time).
