@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 def local_session(name: str = "tessera", cores: str = "*", partitions: int = 8) -> SparkSession:
     """A session for tests and benchmarks; a cluster brings its own."""
     os.environ.setdefault("PYSPARK_PYTHON", "python")
-    return (
+    session = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
         .config("spark.sql.shuffle.partitions", str(partitions))
@@ -24,10 +25,33 @@ def local_session(name: str = "tessera", cores: str = "*", partitions: int = 8)
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+    ship(session)
+    return session
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable in the Python workers of a session, as --py-files would; once a session.
+
+    The archive is served by the driver to every executor, also to those that join later.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_tessera_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="tessera-"), "tessera-package.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, files in os.walk(root):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    context.addPyFile(path)
+    context._tessera_shipped = True
 
 
 def read(spark: SparkSession, directory: str, table: str, *columns: str) -> DataFrame:
     """One Parquet table, with only the columns asked for."""
+    ship(spark)
     df = spark.read.parquet(f"{directory}/{table}.parquet")
     return df.select(*columns) if columns else df
 
