@@ -90,23 +90,28 @@ def classes(df: DataFrame, text: str, key: str = "text_class") -> DataFrame:
     The empty text is a class like any other. Added columns replace columns of the same name.
     """
     hashed = df.drop(key, f"{key}_canonical").withColumn("__mapped", mapped(F.col(f"`{text}`"))).withColumn("__digest", F.unhex(F.sha2("__mapped", 256)))
-    distinct = hashed.where("__digest is not null").groupBy("__digest").agg(F.first("__mapped").alias("m"), F.count("*").alias("n"))
-    w = Window.partitionBy("k")
-    members = (
-        distinct.select("__digest", "m", "n", F.collate("m", "UNICODE").alias("k"))
-        .select("__digest", F.min("__digest").over(w).alias(key), F.min_by("m", F.struct(-F.col("n"), F.col("m"))).over(w).alias(f"{key}_canonical"))
-    )
+    members = _members(hashed, True).select("__digest", F.col("class").alias(key), F.col("canonical").alias(f"{key}_canonical"))
     return hashed.drop("__mapped").join(members, "__digest", "left").drop("__digest")
 
 
+def _members(hashed: DataFrame, canonical: bool) -> DataFrame:
+    """(__digest, class[, canonical]) of every distinct mapped text: its class under the collation is the least digest in it."""
+    count = [F.count("*").alias("n")] if canonical else []
+    distinct = hashed.where("__digest is not null").groupBy("__digest").agg(F.first("__mapped").alias("m"), *count)
+    w = Window.partitionBy("k")
+    chosen = [F.min_by(F.collate("k", "UTF8_BINARY"), F.struct(-F.col("n"), F.collate("k", "UTF8_BINARY"))).over(w).alias("canonical")] if canonical else []
+    return distinct.select("__digest", F.collate("m", "UNICODE").alias("k"), *(["n"] if canonical else [])).select("__digest", F.min("__digest").over(w).alias("class"), *chosen)
+
+
 def look_alike_pairs(df: DataFrame, *scope: str, id: str, text: str) -> DataFrame:
     """(scope..., id_lo, id_hi): pairs of rows whose stored texts differ but belong to one class; scope separates sources.
 
     Ids are compared in their own type. Classes with a single stored text - the great mass of rows and of exact copies -
     leave before the join, so only rows with a partner take part in it. Null texts and null ids have no partner.
     """
-    c = classes(df.select(*scope, F.col(id).alias("__id"), F.col(text).alias("__text")).where("__id is not null and __text is not null"), "__text", "__class")
-    rows = c.select(*scope, "__id", "__class", F.unhex(F.sha2("__text", 256)).alias("__raw"))
+    texts = df.select(*scope, F.col(id).alias("__id"), F.col(text).alias("__text")).where("__id is not null and __text is not null")
+    hashed = texts.select("*", mapped(F.col("__text")).alias("__mapped")).select("*", F.unhex(F.sha2("__mapped", 256)).alias("__digest"))
+    rows = hashed.select(*scope, "__id", "__digest", F.unhex(F.sha2("__text", 256)).alias("__raw")).join(_members(hashed, False), "__digest").drop("__digest").withColumnRenamed("class", "__class")
     odd = rows.groupBy(*scope, "__class").agg(F.min("__raw").alias("a"), F.max("__raw").alias("b")).where("a <> b").select(*scope, "__class")
     rows = rows.join(odd, [*scope, "__class"], "left_semi")
     a, b = rows.select(*scope, "__class", F.col("__id").alias("id_lo"), F.col("__raw").alias("__ra")), rows.select(*scope, "__class", F.col("__id").alias("id_hi"), F.col("__raw").alias("__rb"))
