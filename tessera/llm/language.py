@@ -241,7 +241,8 @@ def segments(df: DataFrame, text: str, classifier: Classifier) -> DataFrame:
     kept = [c for c in df.columns if c not in added and c != text]
     rows = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__text")).where("__text is not null")
     spans = sentence_spans(F.col("__text"))
-    rows = rows.select("*", F.transform(spans, lambda s: s["start"]).alias("__a"), F.transform(spans, lambda s: s["end_char"]).alias("__z"))
+    # one flat array, so that the rules run once and no struct is turned into Python objects
+    rows = rows.select("*", F.flatten(F.transform(spans, lambda s: F.array(s["start"], s["end_char"]))).alias("__spots"))
     shared = df.sparkSession.sparkContext.broadcast(classifier)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -250,8 +251,8 @@ def segments(df: DataFrame, text: str, classifier: Classifier) -> DataFrame:
             for at in range(0, len(whole), 500):  # a few hundred documents at a time, so that memory stays flat
                 batch = whole.iloc[at : at + 500].reset_index(drop=True)
                 owner, spots, texts = [], [], []
-                for i, (t, a, z) in enumerate(zip(batch["__text"], batch["__a"], batch["__z"])):
-                    for x, y in zip(a, z):
+                for i, (t, spot) in enumerate(zip(batch["__text"], batch["__spots"])):
+                    for x, y in zip(spot[::2], spot[1::2]):
                         s = t[x:y]
                         if not is_code(consistent(s)):
                             owner.append(i)
