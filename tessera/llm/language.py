@@ -35,6 +35,8 @@ CLOSE_CALL = 0.58
 
 # Families of the languages.
 FAMILIES = {"en": "germanic", "de": "germanic", "fr": "romance", "es": "romance", "pt": "romance", "tr": "turkic", "ru": "slavic", "ja": "east_asian", "zh": "east_asian", "th": "tai", "hi": "indic"}
+#: Script that a text must hold some of to be in a family at all; families not listed may be in any.
+SCRIPTS = {"east_asian": r"[\u3040-\u30ff\u3400-\u9fff]", "tai": r"[\u0e00-\u0e7f]", "indic": r"[\u0900-\u097f]", "slavic": r"[\u0400-\u04ff]", "germanic": r"[a-z]", "romance": r"[a-z]", "turkic": r"[a-zıİ]"}
 # Names and three-letter codes of the languages.
 NAMES = {
     "english": "en", "german": "de", "french": "fr", "spanish": "es", "portuguese": "pt", "turkish": "tr", "russian": "ru", "japanese": "ja", "chinese": "zh", "thai": "th", "hindi": "hi",
@@ -160,6 +162,11 @@ class Classifier:
         grams = Ngrams(clean)
         sure = lambda x: 1 / (1 + np.exp(-3 * np.clip(x, -10, 10)))
         scores = grams.scores(*self.family)
+        for k, f in enumerate(self.families):
+            if f in SCRIPTS:
+                held = re.compile(SCRIPTS[f], re.I)
+                # look-alikes and full-width letters count as what they look like, but Cyrillic as itself
+                scores[[not (held.search(c) or held.search(t)) for c, t in zip(clean, texts)], k] = -10.0
         first = scores.argmax(axis=1)
         ranked = np.sort(scores, axis=1)
         gap = sure(ranked[:, -1] - ranked[:, -2]) if scores.shape[1] > 1 else np.ones(len(texts))

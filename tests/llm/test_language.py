@@ -16,6 +16,7 @@ def test_held_out_accuracy(spark, small):
     model = L.Classifier([rows[i] for i in order[110:]])
     guessed = model.predict([rows[i][1] for i in order[:110]])
     assert sum(g == rows[i][0] for (g, _), i in zip(guessed, order)) >= 0.96 * 110
+    assert model.predict(["JPDHLR"])[0][0] not in ("zh", "ja", "th", "hi", "ru") and model.predict(["真是太让人失望了！"])[0][0] == "zh"
     assert all(0 <= c <= 1 for _, c in guessed) and model.predict([]) == [] and model.predict(["123 #", ""]) == [("", 0.0)] * 2
 
 
