@@ -25,13 +25,15 @@ from tessera.llm.lookalikes import consistent
 BITS = 64
 #: Item windows sent to the documents at once (about 100 bytes each).
 PART = 500_000
+#: Words of documents that are searched together.
+STRETCH = 50_000
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
 _SHIFT = np.arange(BITS, dtype=np.uint64)
 
 
 def words(text: str) -> list[str]:
     """Runs of letters and digits of the lower-cased consistent form."""
-    return _WORD.findall(consistent(consistent(text).lower()))
+    return _WORD.findall(text.lower() if text.isascii() else consistent(consistent(text).lower()))
 
 
 def word_hashes(ws: list[str], memo: dict[str, int]) -> np.ndarray:
@@ -143,29 +145,39 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     id_types = dict(docs.dtypes)["doc_id"], dict(items.dtypes)[item_id]
     schema = f"doc_id {id_types[0]}, item_id {id_types[1]}, words long, similarity double"
 
+    def matches(index, memo, ids, split):
+        flat = [w for ws in split for w in ws]
+        owner = np.repeat(np.arange(len(split)), [len(ws) for ws in split])
+        prints = simhashes(word_hashes(flat, memo), size)
+        whole = np.flatnonzero(owner[: len(prints)] == owner[size - 1 :]) if len(prints) else np.empty(0, dtype=np.int64)  # windows within one text
+        if not len(whole):
+            return []
+        best: dict[tuple[int, int], list] = {}
+        counted = set()
+        for p, w in zip(*(x.tolist() for x in index.candidates(prints[whole]))):
+            p, k, a = int(whole[p]), int(index.owner[w]), int(index.at[w])
+            theirs, ours = index.words[k][a : a + size], flat[p : p + size]
+            s = 1.0 if theirs == ours else shingle_similarity(ours, theirs, shingle) if similarity < 1 else 0.0
+            if s >= similarity:
+                e = best.setdefault((int(owner[p]), k), [0, 0.0])
+                e[0] += (k, p) not in counted
+                e[1] = max(e[1], s)
+                counted.add((k, p))
+        return [(ids[i], index.ids[k], n, s) for (i, k), (n, s) in best.items()]
+
     def search(shared):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             index, memo = shared.value, {}
             for b in batches:
-                out = []
-                for d, t in zip(b["doc_id"], b["text"]):
-                    ws = words(t)
-                    prints = simhashes(word_hashes(ws, memo), size)
-                    if not len(prints):
-                        continue
-                    best: dict[int, list] = {}
-                    counted = set()
-                    for p, w in zip(*index.candidates(prints)):
-                        k, at = int(index.owner[w]), int(index.at[w])
-                        theirs, ours = index.words[k][at : at + size], ws[p : p + size]
-                        s = 1.0 if theirs == ours else shingle_similarity(ours, theirs, shingle) if similarity < 1 else 0.0
-                        if s >= similarity:
-                            e = best.setdefault(k, [0, 0.0])
-                            e[0] += (k, int(p)) not in counted
-                            e[1] = max(e[1], s)
-                            counted.add((k, int(p)))
-                    out += [(d, index.ids[k], n, s) for k, (n, s) in best.items()]
-                yield pd.DataFrame(out, columns=["doc_id", "item_id", "words", "similarity"])
+                ids, texts = b["doc_id"].tolist(), b["text"].tolist()
+                at = 0
+                while at < len(ids):  # texts are searched together, STRETCH words at a time
+                    split, n, first = [], 0, at
+                    while at < len(ids) and n < STRETCH:
+                        split.append(words(texts[at]))
+                        n += len(split[-1])
+                        at += 1
+                    yield pd.DataFrame(matches(index, memo, ids[first:at], split), columns=["doc_id", "item_id", "words", "similarity"])
 
         return run
 

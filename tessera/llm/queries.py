@@ -6,12 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import canonical, chunking, language, leakage, lookalikes, neardup, packing, sentences, turns
-from tessera.session import cut, once, read
+from tessera.session import cut, once, read, spread
+
+
+def _documents(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Documents with the columns asked for; doc_id is unique, so no key has to be looked for twice."""
+    return spread(read(spark, d, "documents", "doc_id", *columns))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Document texts and complaint descriptions over 1,200 characters, and whether a cut had to be forced."""
-    docs = once(read(spark, d, "documents", "doc_id", "text"), "doc_id").select(F.lit("documents").alias("src"), F.col("doc_id").cast("string").alias("rec_id"), "text")
+    docs = _documents(spark, d, "text").select(F.lit("documents").alias("src"), F.col("doc_id").cast("string").alias("rec_id"), "text")
     complaints = once(read(spark, d, "complaints", "complaint_id", "description"), "complaint_id")
     complaints = complaints.select(F.lit("complaints").alias("src"), F.col("complaint_id").cast("string").alias("rec_id"), F.col("description").alias("text"))
     pieces = chunking.split_oversized(docs.unionByName(complaints), "text", only_oversized=True)
@@ -61,7 +66,7 @@ def p3_unmatched(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of documents, and of videos by title, that differ but look the same."""
-    docs = lookalikes.look_alike_pairs(once(read(spark, d, "documents", "doc_id", "text"), "doc_id"), id="doc_id", text="text")
+    docs = lookalikes.look_alike_pairs(_documents(spark, d, "text"), id="doc_id", text="text")
     videos = lookalikes.look_alike_pairs(once(read(spark, d, "videos", "video_id", "title"), "video_id"), id="video_id", text="title")
     pairs = lambda df, src: df.select(F.lit(src).alias("src"), F.col("id_lo").cast("string").alias("id_lo"), F.col("id_hi").cast("string").alias("id_hi"))
     return pairs(docs, "documents").unionByName(pairs(videos, "videos"))
@@ -78,7 +83,7 @@ def _video_texts(spark: SparkSession, d: str) -> DataFrame:
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Languages of documents and videos whose label is missing or wrong, or that are in several languages."""
     classifier = language.train(read(spark, d, "lang_samples"))
-    docs = language.wrongly_labelled(once(read(spark, d, "documents", "doc_id", "text", "lang"), "doc_id"), "doc_id", "text", "lang", classifier)
+    docs = language.wrongly_labelled(_documents(spark, d, "text", "lang"), "doc_id", "text", "lang", classifier)
     videos = language.wrongly_labelled(_video_texts(spark, d), "video_id", "text", "video_language", classifier, one=True)
     return docs.select(F.lit("documents").alias("src"), F.col("doc_id").cast("string").alias("rec_id"), "lang").unionByName(
         videos.select(F.lit("videos").alias("src"), F.col("video_id").alias("rec_id"), "lang")
@@ -88,7 +93,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 def p5_segments(spark: SparkSession, d: str) -> DataFrame:
     """Every document's stretches of one language, with a confidence."""
     classifier = language.train(read(spark, d, "lang_samples"))
-    return language.segments(read(spark, d, "documents", "doc_id", "text"), "text", classifier)
+    return language.segments(_documents(spark, d, "text"), "text", classifier)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -99,24 +104,24 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     """The container of 1,024 tokens of every document text, or of each piece of a larger one."""
-    sized = packing.token_counts(read(spark, d, "documents", "doc_id", "text"), "text")
+    sized = packing.token_counts(_documents(spark, d, "text"), "text")
     return packing.pack(cut(sized.select("doc_id", "tokens")), "doc_id", capacity=1024)
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold at least 12 consecutive words of an evaluation item."""
-    found = leakage.leaks(read(spark, d, "documents", "doc_id", "text"), read(spark, d, "eval_items", "item_id", "text"))
+    found = leakage.leaks(_documents(spark, d, "text"), read(spark, d, "eval_items", "item_id", "text"))
     return found.select("doc_id", "item_id")
 
 
 def p9_near(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold an edited passage of an item: windows of 24 words of shingle similarity 0.8 or more."""
-    return leakage.leaks(read(spark, d, "documents", "doc_id", "text"), read(spark, d, "eval_items", "item_id", "text"), size=24, radius=7, similarity=0.8)
+    return leakage.leaks(_documents(spark, d, "text"), read(spark, d, "eval_items", "item_id", "text"), size=24, radius=7, similarity=0.8)
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Every sentence of every document."""
-    return sentences.sentences(read(spark, d, "documents", "doc_id", "text"), "text").select("doc_id", "sent_no", "end_char")
+    return sentences.sentences(_documents(spark, d, "text"), "text").select("doc_id", "sent_no", "end_char")
 
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p4_found": p4_found, "p5_found": p5_found, "p5_segments": p5_segments, "p7_found": p7_found, "p8_containers": p8_containers, "p9_found": p9_found, "p9_near": p9_near, "p10_found": p10_found}
