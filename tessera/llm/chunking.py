@@ -31,41 +31,53 @@ _CLOSERS = "\"'”’»」』)]）"
 SCHEMA = [("piece_no", "int"), ("pieces", "int"), ("start_char", "int"), ("end_char", "int"), ("overlap", "int"), ("cut", "string"), ("forced", "boolean"), ("piece", "string")]
 
 
-def boundaries(text: str, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions at which text may be cut (0 and its end among them) and the penalty of each."""
+def boundaries(text: str, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions at which text may be cut (0 and its end among them), the penalty of each, and which of them are for cutting.
+
+    Words are for cutting only where sentences and paragraphs lie more than a quarter of the limit apart; elsewhere they
+    only serve as places at which a repeated part may begin.
+    """
     cost: dict[int, float] = {}
+    marks: list[int] = []  # before a blank or a stop: needed only where what lies between boundaries is too long
     for m in _BREAKS.finditer(text):
+        a, z = m.span()
+        marks.append(a)
         if m[1]:
-            before = text[m.start() - 1] if m.start() else ""
-            if before in _CLOSERS and m.start() > 1:
-                before = next((c for c in reversed(text[max(0, m.start() - 4) : m.start()]) if c not in _CLOSERS), "")
+            before = text[a - 1] if a else ""
+            if before in _CLOSERS and a > 1:
+                before = next((c for c in reversed(text[max(0, a - 4) : a]) if c not in _CLOSERS), "")
             lines = m[1].count("\n")
-            c = PARAGRAPH if lines > 1 else SENTENCE if before and before in STOPS else LINE if lines else WORD
-            cost[m.end()] = c
-            cost[m.start()] = min(cost.get(m.start(), MARK), MARK)
-            if m.end() - m.start() > 64:  # a run of blanks may be longer than a piece
-                cost |= dict.fromkeys(range(m.start() + 1, m.end()), MARK)
+            cost[z] = PARAGRAPH if lines > 1 else SENTENCE if before and before in STOPS else LINE if lines else WORD
         else:
-            wide = m[2][-1] in "。！？।"
-            cost[m.end()] = min(cost.get(m.end(), MARK), SENTENCE if wide else MARK)
-            cost.setdefault(m.start(), MARK)
-            if m.end() - m.start() > 64:
-                cost |= dict.fromkeys(range(m.start() + 1, m.end()), MARK)
+            cost[z] = min(cost.get(z, MARK), SENTENCE if m[2][-1] in "。！？।" else MARK)
+        if z - a > 64:  # a run of blanks or stops may be longer than a piece
+            marks += range(a + 1, z)
+    at = [0, *cost, len(text)]
+    if any(b - a > limit for a, b in zip(at, at[1:])):
+        for p in marks:
+            cost.setdefault(p, MARK)
     cost |= {0: 0.0, len(text): 0.0}
     at = sorted(cost)
     for a, b in zip(at, at[1:]):
         if b - a > limit:  # evenly, so that no sliver is left over
             n = -(-(b - a) // limit)
             cost |= {a + (b - a) * k // n: FORCED for k in range(1, n)}
-    at = sorted(cost)
-    return np.array(at, dtype=np.int64), np.array([cost[p] for p in at])
+    at = np.array(sorted(cost), dtype=np.int64)
+    pen = np.array([cost[p] for p in at.tolist()])
+    strong = np.flatnonzero((pen <= SENTENCE) | (pen == FORCED))
+    use = np.zeros(len(at), dtype=bool)
+    use[strong] = True
+    for i in np.flatnonzero(np.diff(at[strong]) > limit // 4):
+        use[strong[i] : strong[i + 1]] = True
+    return at, pen, use
 
 
 def cuts(text: str, limit: int, overlap: int) -> list[tuple[int, int, int, float]]:
     """(start with overlap, start without, end, penalty of the cut at its start) of each piece of text."""
     if len(text) <= limit:
         return [(0, 0, len(text), 0.0)]
-    at, pen = boundaries(text, limit)
+    every, penalty, use = boundaries(text, limit)
+    at, pen = every[use], penalty[use]
     # pieces should leave room for the overlap, so the even share is counted on what remains of the limit
     share = len(text) / -(-len(text) // max(1, limit - overlap))
     best, back = np.full(len(at), np.inf), np.zeros(len(at), dtype=np.int64)
@@ -86,10 +98,10 @@ def cuts(text: str, limit: int, overlap: int) -> list[tuple[int, int, int, float
     out = []
     for i, j in zip(points, points[1:]):
         room = min(overlap, limit - int(at[j] - at[i]), int(at[i])) if i else 0
-        k = int(np.searchsorted(at, at[i] - room))  # the repeated part begins at a boundary where there is one
-        while at[k] < at[i] and pen[k] == MARK and at[k + 1] < at[i]:
+        k = int(np.searchsorted(every, at[i] - room))  # the repeated part begins at a boundary where there is one
+        while every[k] < at[i] and penalty[k] == MARK and every[k + 1] < at[i]:
             k += 1  # behind a blank rather than before it
-        start = int(at[k]) if at[k] < at[i] or pen[i] != FORCED else int(at[i]) - room
+        start = int(every[k]) if every[k] < at[i] or pen[i] != FORCED else int(at[i]) - room
         out.append((start, int(at[i]), int(at[j]), float(pen[i])))
     return out
 
