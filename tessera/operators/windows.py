@@ -93,16 +93,32 @@ def run_delta(df: DataFrame, key: str, run: str, *metrics: str) -> DataFrame:
     return df.withColumns({f"{m}_delta": F.col(m) - F.lag(m).over(w) for m in metrics})
 
 
+def global_rank(df: DataFrame, into: str, *order: Column | str) -> DataFrame:
+    """df with its position (from 1) in one order over all rows, without bringing them into one task.
+
+    Rows are range-partitioned by the order and numbered inside their range; the ranges' counts, one row each, are added
+    up and broadcast. The order should be total (an id last), else ties are numbered arbitrarily.
+    """
+    from tessera.session import cut
+
+    ranged = cut(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    numbered = ranged.withColumn("__r", F.row_number().over(Window.partitionBy("__range").orderBy(*order)))
+    counts = ranged.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("__range", F.coalesce(before, F.lit(0)).alias("__before"))
+    return numbered.join(F.broadcast(offsets), "__range").withColumn(into, F.col("__r") + F.col("__before")).drop("__range", "__r", "__before")
+
+
 def share_cap(df: DataFrame, capped: Column, share: float, *order: Column | str) -> DataFrame:
     """Capped rows are kept up to floor(share x others / (1 - share)), best first by order; the others all stay.
 
-    The counts are one aggregate row; only the capped rows are ranked.
+    The counts are one aggregate row; the capped rows alone are ranked, in ranges.
     """
     n = df.agg(F.count_if(~F.coalesce(capped, F.lit(False))).alias("__others"))
     some = df.where(F.coalesce(capped, F.lit(False)))
     rest = df.where(~F.coalesce(capped, F.lit(False)))
     limit = F.floor(F.lit(share) * F.col("__others") / F.lit(1 - share))
-    ranked = some.withColumn("__r", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))).crossJoin(F.broadcast(n)).where(F.col("__r") <= limit).drop("__r", "__others")
+    ranked = global_rank(some, "__position", *order).crossJoin(F.broadcast(n)).where(F.col("__position") <= limit).drop("__position", "__others")
     return rest.unionByName(ranked)
 
 

@@ -188,3 +188,11 @@ def test_small_helpers(spark):
     assert [r.e for r in joins.compatible(a, b, "e", "es", "y", "lo", "hi").collect()] == ["e1"]
     r = spark.range(1).select(ranking.scopes(F.lit("diesel auto"), [("diesel", "diesel"), ("petrol", "petrol")], "all").alias("s"), ranking.by_priority(F.lit(None), F.lit("x")).alias("p"), ranking.scoped(F.array(F.lit("e")), F.lit("body"), ["engine"]).alias("v")).first()
     assert (r.s, r.p.value, r.p.source, r.v) == (["diesel"], "x", 2, [])
+
+
+def test_global_rank(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.randrange(40)) for i in range(500)]
+    got = windows.global_rank(spark.createDataFrame(rows, "i int, x int").repartition(5), "rank", F.desc("x"), F.col("i")).collect()
+    assert [(r.i, r.x) for r in sorted(got, key=lambda r: r["rank"])] == sorted(rows, key=lambda r: (-r[1], r[0])) and {r["rank"] for r in got} == set(range(1, 501))
+    assert windows.global_rank(spark.createDataFrame([], "i int"), "rank", "i").count() == 0
