@@ -20,6 +20,8 @@ from tessera.llm.lookalikes import tables
 #: Placeholders: a stop that ends nothing, a closing and an opening quotation mark, the end of a sentence, an invisible character.
 DOT, CLOSE, OPEN, END, GAP = (chr(0xE000 + i) for i in range(5))
 
+#: White space that is left once every kind of blank is one.
+WHITE = " \t\n\r"
 # Abbreviations that go before a name or a word, so their stop never ends a sentence.
 ALWAYS = """
 Dr Mr Mrs Ms Prof St approx vs incl
@@ -95,10 +97,11 @@ def _marked(text: Column) -> Column:
     # quotation marks whose shape doesn't tell their side
     t = _sub(t, r"„((?:[^„“”\n]|\n(?!\s*\n)){1,400}+)“", "„$1" + CLOSE)
     t = _sub(t, r'(?<![\p{L}\p{N}])"(?=[^\s"])([^"]{1,400}?)(?<=\S)"', OPEN + "$1" + CLOSE)
-    # stops inside quotations and brackets, but those right before the closing mark: from the opening mark on, stop by stop
-    for a, z in (OPEN + CLOSE, "“”", "„" + CLOSE, "«»", "「」", "『』", "()"):
-        within = rf"(?:[^{a}{z}\n]|\n(?!\s*\n))"
-        t = _sub(t, rf"((?:[{a}](?={within}{{1,400}}+[{z}])|(?!^)\G)[^{a}{z}.!?。…।]*+)[.!?。…।](?=[.!?。…।]*+\s*+[^{a}{z}.!?。…।\s])", "$1" + DOT)
+    # stops inside quotations and brackets, but those right before the closing mark: from an opening mark on, stop by stop
+    sides = [OPEN + CLOSE, "“”", "„" + CLOSE, "«»", "「」", "『』", "()"]
+    marks = "".join(dict.fromkeys("".join(sides)))
+    begin = "|".join(rf"[{a}](?=(?:[^{a}{z}\n]|\n(?!\s*\n)){{1,400}}+[{z}])" for a, z in sides)
+    t = _sub(t, rf"((?:{begin}|(?!^)\G)[^{marks}.!?。…।]*+)[.!?。…।](?=[.!?。…।]*+\s*+[^{marks}.!?。…।\s])", "$1" + DOT)
     closers = rf"(?:[ ]?»|[”』」)’\]'{CLOSE}])*+"
     begins = rf"\p{{Lu}}\p{{Lt}}\p{{Lo}}«“„「『‘¿¡#{OPEN}"
     # a terminator, blanks, and something a sentence can begin with
@@ -128,8 +131,8 @@ def sentence_spans(text: Column) -> Column:
         pieces,
         lambda s: F.struct(
             F.length(s).alias("n"),
-            (F.length(s) - F.length(F.regexp_replace(s, r"^[\s\p{Zs}]++", ""))).alias("lead"),
-            F.length(F.regexp_replace(s, r"[\s\p{Zs}]++$", "")).alias("body"),
+            (F.length(s) - F.length(F.ltrim(s, F.lit(WHITE)))).alias("lead"),
+            F.length(F.rtrim(s, F.lit(WHITE))).alias("body"),
         ),
     )
     # the parts are bound once, by a one-element array, instead of being repeated in the plan
