@@ -16,6 +16,8 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import cut
+
 # Letters of other scripts that look like Latin ones.
 LETTERS = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ӏ": "l", "ү": "y",
@@ -112,6 +114,7 @@ def look_alike_pairs(df: DataFrame, *scope: str, id: str, text: str) -> DataFram
     texts = df.select(*scope, F.col(id).alias("__id"), F.col(text).alias("__text")).where("__id is not null and __text is not null")
     hashed = texts.select("*", mapped(F.col("__text")).alias("__mapped")).select("*", F.unhex(F.sha2("__mapped", 256)).alias("__digest"))
     rows = hashed.select(*scope, "__id", "__digest", F.unhex(F.sha2("__text", 256)).alias("__raw")).join(_members(hashed, False), "__digest").drop("__digest").withColumnRenamed("class", "__class")
+    rows = cut(rows)  # ids and digests only; read three times below
     odd = rows.groupBy(*scope, "__class").agg(F.min("__raw").alias("a"), F.max("__raw").alias("b")).where("a <> b").select(*scope, "__class")
     rows = rows.join(odd, [*scope, "__class"], "left_semi")
     a, b = rows.select(*scope, "__class", F.col("__id").alias("id_lo"), F.col("__raw").alias("__ra")), rows.select(*scope, "__class", F.col("__id").alias("id_hi"), F.col("__raw").alias("__rb"))
