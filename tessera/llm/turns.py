@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import groupby
 
 import pandas as pd
@@ -34,6 +35,20 @@ _NAME = r"[^\W\d_]+(?:-[^\W\d_]+)*\.?(?:[ ]?[^\W\d_]+(?:-[^\W\d_]+)*\.?){0,2}"
 SLOT = re.compile(rf"(?P<arrow>>>\s*)?(?:(?P<open>[\[<(])\s*(?P<inner>{_NAME})\s*(?P<close>[\])>])\s*(?P<colon>:)?|(?<![\w'’])(?P<name>{_NAME})(?P<mark>\s?:(?!\d)|\s[-–—](?=\s|$)))")
 
 
+NOTE_MARKS = re.compile(r"[\[(<*♪♫]")
+#: What a slot can't be without; most lines hold none of it.
+MARKS = re.compile(r"[\[<(:]|\s[-–—](?=\s|$)")
+
+
+@lru_cache(maxsize=200_000)
+def hesitation(word: str) -> bool:
+    return HESITATION.fullmatch(word) is not None
+
+
+def no_clock(text: str) -> str:
+    return CLOCK.sub(" ", text) if ":" in text else text
+
+
 def one_slip(word: str, name: str) -> bool:
     """Whether word is name with at most one letter lost, doubled, changed or two neighbours swapped."""
     if word == name:
@@ -109,6 +124,8 @@ def layout(m: re.Match) -> str:
 
 def slots(text: str, roster: Roster):
     """(match, start, end, speaker or None) of each slot of a line, left to right."""
+    if not MARKS.search(text):
+        return
     at = 0
     while m := SLOT.search(text, at):
         label = m["inner"] or m["name"]
@@ -137,13 +154,13 @@ def mine(videos: DataFrame, roster: Roster) -> DataFrame:
         for b in batches:
             counts: dict[tuple[str, str], list[int]] = {}
             for text, start in zip(b["text"], b["start"]):
-                for m in CLOCK.finditer(text):
+                for m in CLOCK.finditer(text) if ":" in text else ():
                     t = m[0].strip("[]()<>").replace(",", ".").split(":")
                     seconds = sum(float(x) * 60**i for i, x in enumerate(reversed(t)))
                     c = counts.setdefault((re.sub(r"\d+", "<d>", m[0]), "clock"), [0, 0])
                     c[0] += 1
                     c[1] += start is not None and abs(seconds - start) <= 2
-                for m, _, _, speaker in slots(CLOCK.sub(" ", text), shared.value):
+                for m, _, _, speaker in slots(no_clock(text), shared.value):
                     c = counts.setdefault((layout(m), "speaker"), [0, 0])
                     c[0] += 1
                     c[1] += speaker is not None
@@ -154,13 +171,12 @@ def mine(videos: DataFrame, roster: Roster) -> DataFrame:
 
 def parts(text: str, roster: Roster, speaker_layouts: set[str]):
     """The line as a sequence of ('label', speaker) and ('word', None)."""
-    text = CLOCK.sub(" ", text)
+    text = no_clock(text)
     at = 0
     labels = [(a, z, who) for m, a, z, who in slots(text, roster) if who is not None and layout(m) in speaker_layouts]
     for a, z, who in [*labels, (len(text), len(text), None)]:
-        clean = NOTE.sub(" ", text[at:a])
-        words = [w for w in WORD.findall(clean) if not HESITATION.fullmatch(w)]
-        if words:
+        clean = NOTE.sub(" ", text[at:a]) if NOTE_MARKS.search(text, at, a) else text[at:a]
+        if any(not hesitation(w) for w in WORD.findall(clean)):
             yield "word", " ".join(clean.replace(">>", " ").split())
         if who is not None:
             yield "label", who
@@ -169,7 +185,7 @@ def parts(text: str, roster: Roster, speaker_layouts: set[str]):
 
 def strip_hesitation(text: str) -> str:
     """The words of a stretch without hesitation sounds (and the comma that goes with one)."""
-    kept = [w for w in text.split() if not HESITATION.fullmatch(w.strip(".,…!?;:—–-"))]
+    kept = [w for w in text.split() if not hesitation(w.strip(".,…!?;:—–-"))]
     return " ".join(kept)
 
 
