@@ -1,8 +1,13 @@
 """Evaluation texts leaking into training text.
 
-Every run of `words` consecutive words of an item and of a document gets a 64-bit SimHash (the sum of its words' signed
-hash bits). A multi-index over the items' fingerprints - the 64 bits in radius + 1 blocks - finds every item window
-within the radius of a document window, since two fingerprints that differ in at most `radius` bits agree in one block.
+For the strict search every run of `size` consecutive words of an item and of a document gets a 64-bit SimHash (the sum
+of its words' signed hash bits). A multi-index over the items' fingerprints - the 64 bits in radius + 1 blocks - finds
+every item window within the radius of a document window, since two fingerprints that differ in at most `radius` bits
+agree in one block; equal windows have equal fingerprints, so none is lost.
+
+Below similarity 1 no radius is safe, so candidates come from the shingles themselves: windows of a similarity t share
+shingles of at least t / (1 + t) of the weight of both. Document windows whose shingles known to any item weigh less
+than t of the whole are left at once, item windows that share too little after that; both bounds lose no pair.
 Candidates are verified exactly: by the weighted similarity of their word shingles, or for the strict search by the words.
 
 The item side is a stated query set of bounded size: it is split into parts of at most PART windows, each sent to the
@@ -113,6 +118,70 @@ class Index:
         return both[:, 0], both[:, 1]
 
 
+def shingle_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
+    """One number for every run of `width` consecutive words; equal runs have equal numbers."""
+    n = max(0, len(hashes) - width + 1)
+    out = np.zeros(n, dtype=np.uint64)
+    for i in range(width):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + hashes[i : i + n]
+    return out
+
+
+def sums(values: np.ndarray, width: int) -> np.ndarray:
+    """The sum of every run of `width` consecutive values."""
+    total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
+    return total[width:] - total[:-width]
+
+
+def lengths(ws: list[str]) -> np.ndarray:
+    return np.fromiter(map(len, ws), dtype=np.int64, count=len(ws))
+
+
+class Shingles:
+    """Item windows by their shingles, for similarities below 1."""
+
+    def __init__(self, items: list[tuple[int, list[str]]], size: int, similarity: float, shingle: int):
+        memo: dict[str, int] = {}
+        self.similarity, self.width = similarity, min(shingle, size)
+        self.held = size - self.width + 1  # shingles of a window
+        self.words: list[list[str]] = [w for _, w in items]
+        self.ids = [i for i, _ in items]
+        parts = [[np.empty(0, dtype=np.int64)] * 6]
+        windows = 0
+        for k, (_, ws) in enumerate(items):
+            n = len(ws) - size + 1
+            if n < 1:
+                continue
+            weight = sums(lengths(ws), self.width)
+            j = np.arange(len(weight))
+            first, last = windows + np.maximum(j - self.held + 1, 0), windows + np.minimum(j, n - 1)
+            parts.append([weight, first, last, sums(weight, self.held), np.full(n, k), np.arange(n)])
+            windows += n
+        # of each shingle: its weight, the first and the last window that holds it; of each window: its weight, item and place
+        self.weight, self.first, self.last, self.total, self.owner, self.at = (np.concatenate(x) for x in zip(*parts))
+        keys = np.concatenate([np.empty(0, dtype=np.uint64), *[shingle_hashes(word_hashes(ws, memo), self.width) for ws in self.words if len(ws) >= size]])
+        self.order = np.argsort(keys, kind="stable")
+        self.keys = keys[self.order]
+
+    def candidates(self, hashes: np.ndarray, sizes: np.ndarray, whole: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(position in hashes, item window) of every pair that may reach the similarity, each once; hashes and lengths of the words, and where windows begin."""
+        t = self.similarity
+        keys = shingle_hashes(hashes, self.width)
+        weight = sums(sizes, self.width)
+        lo, hi = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
+        total = sums(weight, self.held)
+        known = sums(np.where(hi > lo, weight, 0), self.held)
+        for p in whole[(known[whole] > 0) & (known[whole] >= t * total[whole] - 1e-6)].tolist():
+            own = p + np.unique(keys[p : p + self.held], return_index=True)[1]
+            at = np.concatenate([self.order[lo[i] : hi[i]] for i in own.tolist()])
+            n = self.last[at] - self.first[at] + 1
+            w = np.repeat(self.first[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            w, which = np.unique(w, return_inverse=True)
+            shared = np.bincount(which, np.repeat(self.weight[at], n))
+            for x in w[shared * (1 + t) >= t * (total[p] + self.total[w]) - 1e-6].tolist():
+                yield p, x
+
+
 def shingle_similarity(a: list[str], b: list[str], k: int = 5) -> float:
     """Weighted Jaccard similarity of the word shingles of two windows; a shingle weighs its number of characters."""
     def shingles(ws: list[str]) -> dict[tuple[str, ...], int]:
@@ -132,8 +201,9 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     """(doc_id, item_id, words, similarity): items of which a window of `size` words occurs in a document.
 
     One row a document and item: `words` counts the document's windows that match one of the item, similarity is the
-    best one. With similarity 1.0 a window has to occur word by word; below, a window of the document whose fingerprint
-    is within `radius` bits of an item's counts if the weighted similarity of their shingles reaches the threshold.
+    best one. With similarity 1.0 a window has to occur word by word; below (and above 0), every window of the document
+    counts whose weighted similarity of shingles to one of the item's reaches the threshold, however far apart their
+    fingerprints are: `radius` is for the strict search alone.
 
     Null texts and ids, and texts of fewer than `size` words, leak nothing; repeated rows count as they are and repeated
     items once; empty tables give no row; only the named columns are read. The items may be many: they are searched part
@@ -148,14 +218,19 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     def matches(index, memo, ids, split):
         flat = [w for ws in split for w in ws]
         owner = np.repeat(np.arange(len(split)), [len(ws) for ws in split])
-        prints = simhashes(word_hashes(flat, memo), size)
-        whole = np.flatnonzero(owner[: len(prints)] == owner[size - 1 :]) if len(prints) else np.empty(0, dtype=np.int64)  # windows within one text
+        hashes, n = word_hashes(flat, memo), len(flat) - size + 1
+        whole = np.flatnonzero(owner[:n] == owner[size - 1 :]) if n > 0 else np.empty(0, dtype=np.int64)  # windows within one text
         if not len(whole):
             return []
         best: dict[tuple[int, int], list] = {}
         counted = set()
-        for p, w in zip(*(x.tolist() for x in index.candidates(prints[whole]))):
-            p, k, a = int(whole[p]), int(index.owner[w]), int(index.at[w])
+        if similarity < 1:
+            pairs = index.candidates(hashes, lengths(flat), whole)
+        else:
+            near, theirs = index.candidates(simhashes(hashes, size)[whole])
+            pairs = zip(whole[near].tolist(), theirs.tolist())
+        for p, w in pairs:
+            k, a = int(index.owner[w]), int(index.at[w])
             theirs, ours = index.words[k][a : a + size], flat[p : p + size]
             s = 1.0 if theirs == ours else shingle_similarity(ours, theirs, shingle) if similarity < 1 else 0.0
             if s >= similarity:
@@ -185,7 +260,7 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
 
     def add(part):
         nonlocal result
-        shared = spark.sparkContext.broadcast(Index(part, size, radius))
+        shared = spark.sparkContext.broadcast(Shingles(part, size, similarity, shingle) if similarity < 1 else Index(part, size, radius))
         found = docs.mapInPandas(search(shared), schema)
         result = found if result is None else result.unionByName(found)
 

@@ -62,3 +62,34 @@ def test_every_fingerprint_within_the_radius_is_found():
             probes[k] ^= np.uint64(1 << int(bit))
     want = {(p, w) for p in range(len(probes)) for w in range(len(index.prints)) if int(probes[p] ^ index.prints[w]).bit_count() <= 5}
     assert set(zip(*map(lambda x: x.tolist(), index.candidates(probes)))) == want
+
+
+def test_edited_passages_at_the_parameters_of_p9_near(spark):
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 11))) for _ in range(400)]
+    text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [(i, text(rng.randrange(20, 60))) for i in range(12)]
+    items[3][1][:] = (items[3][1][:6] * 9)[:50]  # shingles that repeat
+    docs = []
+    for i in range(60):
+        src = rng.choice(items)[1]
+        n = min(len(src), rng.choice([20, 21, 22, 22, 22, 23, 24, 40]))
+        a = rng.randrange(len(src) - n + 1)
+        copied = src[a : a + n]
+        if rng.random() < 0.3:
+            copied[rng.randrange(n)] = "changed"
+        docs.append((i, text(rng.randrange(30)) + copied + text(rng.randrange(30))))
+    want, far = {}, set()
+    for d, x in docs:
+        for e, y in items:
+            near = [(p, w, L.shingle_similarity(x[p : p + 24], y[w : w + 24])) for p in range(len(x) - 23) for w in range(len(y) - 23)]
+            near = [z for z in near if z[2] >= 0.8]
+            if near:
+                want[d, e] = (len({p for p, _, _ in near}), round(max(s for _, _, s in near), 9))
+                f, g = L.simhashes(L.word_hashes(x, {}), 24), L.simhashes(L.word_hashes(y, {}), 24)
+                if all(int(f[p] ^ g[w]).bit_count() > 7 for p, w, _ in near):
+                    far.add((d, e))
+    assert len(want) > 20 and far  # cases that no fingerprint within 7 bits shows
+    frame = lambda rows, id: spark.createDataFrame([(i, " ".join(ws)) for i, ws in rows], f"{id} int, text string")
+    got = L.leaks(frame(docs, "doc_id"), frame(items, "item_id"), size=24, radius=7, similarity=0.8).collect()
+    assert {(r.doc_id, r.item_id): (r.words, round(r.similarity, 9)) for r in got} == want and len(got) == len(want)
