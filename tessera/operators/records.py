@@ -55,10 +55,11 @@ def normal_issues(df: DataFrame, id: str, texts: Sequence[str], enums: Mapping[s
 
 
 def year_context(rows: DataFrame, key: Sequence[str], spans: Column, hits: str, lo: int = 1990, hi: int = 2030) -> DataFrame:
-    """(key..., year_lo, year_hi, years, hits): all years of a key's spans together, clipped, and its evidence added up."""
+    """(key..., year_lo, year_hi, years, hits): all years of a key's spans together, clipped, and its evidence added up; a key without a year left has none, but its evidence."""
     years = rows.select(*key, F.explode_outer(F.flatten(F.transform(spans, lambda s: F.sequence(s["lo"], s["hi"])))).alias("y")).where(F.col("y").between(lo, hi) | F.col("y").isNull())
     per = years.groupBy(*key).agg(F.min("y").alias("year_lo"), F.max("y").alias("year_hi"), F.count_distinct("y").alias("years"))
-    return per.join(rows.groupBy(*key).agg(F.sum(hits).alias("hits")), list(key))
+    out = rows.groupBy(*key).agg(F.sum(hits).alias("hits")).join(per, list(key), "left")
+    return out.select(*key, "year_lo", "year_hi", F.coalesce("years", F.lit(0)).alias("years"), "hits")
 
 
 def with_window(df: DataFrame, id: str, engines: str, reference: DataFrame, code: str, lo: str, hi: str) -> DataFrame:
@@ -71,5 +72,16 @@ def engines_in_window(df: DataFrame, id: str, engines: str, year_lo: str, year_h
     """(id, engines, dropped): engines whose production window misses the issue's years are dropped, unless all would be."""
     named = df.select(id, year_lo, year_hi, F.explode(engines).alias(code)).join(reference.select(code, lo, hi), code, "left")
     fits = F.col(lo).isNull() | F.col(year_lo).isNull() | ((F.col(lo) <= F.col(year_hi)) & (F.col(year_lo) <= F.col(hi)))
+    return _fitting(named, id, engines, code, fits)
+
+
+def engines_in_spans(df: DataFrame, id: str, engines: str, spans: str, reference: DataFrame, code: str, lo: str, hi: str) -> DataFrame:
+    """(id, engines, dropped): as engines_in_window, against all spans of the issue: one that the window meets is enough; an issue without spans drops none."""
+    named = df.select(id, spans, F.explode(engines).alias(code)).join(reference.select(code, lo, hi), code, "left")
+    meets = F.exists(spans, lambda s: (F.col(lo) <= s["hi"]) & (s["lo"] <= F.col(hi)))
+    return _fitting(named, id, engines, code, F.col(lo).isNull() | (F.size(spans) == 0) | meets)
+
+
+def _fitting(named: DataFrame, id: str, engines: str, code: str, fits: Column) -> DataFrame:
     g = named.groupBy(id).agg(F.array_sort(F.collect_set(F.when(fits, F.col(code)))).alias("__fit"), F.array_sort(F.collect_set(code)).alias("__all"))
     return g.select(id, F.when(F.size("__fit") > 0, F.col("__fit")).otherwise(F.col("__all")).alias(engines), F.when(F.size("__fit") > 0, F.array_except("__all", "__fit")).otherwise(F.array().cast("array<string>")).alias("dropped"))

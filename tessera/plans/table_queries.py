@@ -504,6 +504,11 @@ def vector_text(spark, d):
     return read(spark, d, "embeddings", "vec_id", "embedding").select("vec_id", N.vector_text(F.slice("embedding", 1, 4), 4).alias("text"))
 
 
+@query("SELECT vec_id, '[' || list_aggregate([printf('%.4f', x::DOUBLE) FOR x IN embedding], 'string_agg', ', ') || ']' AS text FROM embeddings")
+def vector_text_whole(spark, d):
+    return read(spark, d, "embeddings", "vec_id", "embedding").select("vec_id", N.vector_text(F.col("embedding"), 4).alias("text"))
+
+
 @query(f"WITH {LISTINGS} SELECT listing_id, list_distinct([trim(x) FOR x IN coalesce(trims, []) IF x IS NOT NULL AND trim(x) <> '']).list_sort() AS trims FROM lst")
 def cleaned_lists(spark, d):
     return listings(spark, d, "trims").select("listing_id", F.array_sort(N.cleaned(F.col("trims"))).alias("trims"))
@@ -553,6 +558,15 @@ def year_context_merge(spark, d):
     return year_context(c, ["issue_id", "engine"], year_spans(F.col("years")), "evidence_hits")
 
 
+@query()
+def year_context_whole(spark, d):
+    """year_context_merge over every context that names an engine, whatever form its years are written in."""
+    from tessera.operators.records import year_context
+
+    c = once(read(spark, d, "engine_year_context", "ctx_id", "issue_id", "engine", "years", "evidence_hits"), "ctx_id").where("issue_id is not null and trim(engine) <> ''").withColumn("engine", F.trim("engine"))
+    return year_context(c, ["issue_id", "engine"], year_spans(F.col("years")), "evidence_hits")
+
+
 @query(f"WITH {ISSUES} SELECT issue_id, min(year_lo) AS window_lo, max(year_hi) AS window_hi FROM (SELECT issue_id, unnest(affected_engines) AS engine_code FROM iss) JOIN engines USING (engine_code) GROUP BY 1")
 def engine_window_lookup(spark, d):
     from tessera.operators.records import with_window
@@ -572,6 +586,16 @@ def engine_year_validation(spark, d):
     return r.select("issue_id", "engines", F.size("dropped").cast("bigint").alias("dropped"))
 
 
+@query()
+def engine_year_validation_whole(spark, d):
+    """engine_year_validation over every issue that names an engine, against all spans of its years; without a readable year every engine stays."""
+    from tessera.operators.records import engines_in_spans
+
+    i = issues(spark, d, "affected_years", "affected_engines").select("issue_id", F.col("affected_engines").alias("engines"), year_spans(F.col("affected_years")).alias("spans"))
+    r = engines_in_spans(i, "issue_id", "engines", "spans", read(spark, d, "engines"), "engine_code", "year_lo", "year_hi")
+    return r.select("issue_id", "engines", F.size("dropped").cast("bigint").alias("dropped"))
+
+
 @query(
     f"WITH {ISSUES}, v AS (SELECT DISTINCT video_id, CASE WHEN title LIKE '%problem%' THEN 'problem' WHEN title LIKE '%review%' OR title LIKE '%honest%' THEN 'review' ELSE 'other' END AS t FROM videos), c AS (SELECT issue_id, t, count(*) AS c FROM (SELECT issue_id, unnest(source_videos).video_id AS video_id FROM iss) JOIN v USING (video_id) GROUP BY 1, 2) SELECT issue_id, sum(c)::BIGINT AS n, CASE WHEN max(c)::DOUBLE / sum(c) > 0.5 THEN arg_max(t, (c, t)) ELSE 'mixed' END AS dominant FROM c GROUP BY 1"
 )
