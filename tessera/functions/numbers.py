@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MILE = 1.60934
+_MONTH_DAY = "(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])"
 RANGE_MARK = "(?:-|to|through|thru|until)"
 
 
@@ -32,8 +33,8 @@ def years(c: Column, lo: int, hi: int) -> Column:
 
 
 def first_year(c: Column, lo: int = 1996, hi: int = 2026) -> Column:
-    """The first year of a text within [lo, hi]."""
-    found = F.transform(F.regexp_extract_all(c, F.lit(r"(?<![0-9])((?:19|20)[0-9]{2})(?![0-9])"), F.lit(1)), lambda y: y.cast("int"))
+    """The first year of a text within [lo, hi]; eight digits are read as YYYYMMDD if month and day can be."""
+    found = F.transform(F.regexp_extract_all(c, F.lit(rf"(?<![0-9])((?:19|20)[0-9]{{2}})(?:(?![0-9])|(?={_MONTH_DAY}(?![0-9])))"), F.lit(1)), lambda y: y.cast("int"))
     return F.try_element_at(F.filter(found, lambda y: (y >= lo) & (y <= hi)), F.lit(1))
 
 

@@ -187,6 +187,12 @@ def filed_dates(spark, d):
     return complaints(spark, d, "date_filed").where(~t.rlike("^[0-9]{8}$")).select("complaint_id", D.digits_only(t).alias("digits"), D.first_year(t).alias("year"))
 
 
+@query(f"WITH {COMPLAINTS}, t AS (SELECT complaint_id, date_filed, CASE WHEN regexp_full_match(date_filed, '[0-9]{{8}}') THEN CASE WHEN date_filed[5:6]::INT BETWEEN 1 AND 12 AND date_filed[7:8]::INT BETWEEN 1 AND 31 THEN date_filed[1:4]::INT END ELSE TRY_CAST(nullif(regexp_extract(date_filed, '(?:^|[^0-9])((?:19|20)[0-9][0-9])(?:$|[^0-9])', 1), '') AS INT) END AS y FROM cmp) SELECT complaint_id, TRY_CAST(nullif(regexp_replace(date_filed, '[^0-9]', '', 'g'), '') AS BIGINT) AS digits, CASE WHEN y BETWEEN 1996 AND 2026 THEN y END AS year FROM t")
+def filed_dates_whole(spark, d):
+    t = F.col("date_filed")
+    return complaints(spark, d, "date_filed").select("complaint_id", D.digits_only(t).alias("digits"), D.first_year(t).alias("year"))
+
+
 # -- tokens, vocabularies, topics
 
 _TOK = f"{COMPLAINTS}, tok AS (SELECT complaint_id, component, unnest(regexp_split_to_array(trim(regexp_replace(regexp_replace(lower(description), '[^a-z\\s-]', ' ', 'g'), '(^|\\s)-+(\\s|$)', ' ', 'g')), '\\s+')) AS w FROM cmp WHERE description IS NOT NULL)"
