@@ -9,20 +9,16 @@ from pyspark.sql import functions as F
 
 from tessera.operators import aggregates, dedupe, ranking, vectors, windows
 from tessera.operators.gates import admissible
-from tessera.session import cut
 
 
 def ranked_evidence(chunks: DataFrame, probes: DataFrame, id: str, vector: str, text: str, spec: Mapping[str, object], tier: Column, signal: Column, category: Column, k_strict: int = 14, k_broad: int = 8, head: int = 30) -> DataFrame:
-    """Probes -> filtered multi-probe hits -> tier and signal -> ranked, the head diversified. Adds tier, signal, category, position."""
+    """Probes -> filtered multi-probe hits -> tier and signal -> ranked, the head diversified and every other hit after it. Adds tier, signal, category, position."""
     from tessera.operators.gates import metadata_filter
 
     broad, strict = metadata_filter(spec)
     hits = vectors.multi_probe(chunks, probes, id, vector, broad, strict, k_strict, k_broad)
     rows = hits.join(chunks.drop(vector), id).withColumns({"tier": tier, "signal": signal, "category": category})
-    best = cut(rows.orderBy("tier", F.desc("signal"), "distance", id).limit(10 * head))
-    from pyspark.sql import Window
-
-    numbered = best.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("tier", F.desc("signal"), "distance", id)))
+    numbered = windows.global_rank(rows, "rank", "tier", F.desc("signal"), "distance", id)
     return windows.diversified(numbered, "rank", "category", head)
 
 

@@ -18,6 +18,17 @@ def test_transcripts_to_ranked_evidence(spark):
     assert out[0].id == "v1-0" and out[0].tier == 1 and [r.position for r in out] == list(range(1, len(out) + 1)) and len(out) == len(rows)
 
 
+def test_no_hit_is_lost_behind_the_head(spark):
+    rows = [(f"c{i:03}", f"part{i} seal{i} leak", "petrol", i % 3, False) for i in range(90)]
+    chunks = hashed_embedding(spark.createDataFrame(rows, "id string, text string, fuel string, kind int, is_flagged boolean"), F.col("text"))
+    probes = hashed_embedding(spark.createDataFrame([(i, f"part{i} seal{i}") for i in range(0, 90, 3)], "probe int, t string"), F.col("t"))
+    run = lambda head: pipelines.ranked_evidence(chunks, probes, "id", "embedding", "text", {"fuel": "petrol"}, F.col("kind") + 1, F.lit(0), F.concat(F.lit("k"), "kind"), head=head).orderBy("position").collect()
+    whole, few = run(90), run(5)
+    assert len(few) > 50 and {r.id for r in few} == {r.id for r in whole} and [r.position for r in few] == list(range(1, len(whole) + 1))
+    key = lambda r: (r.tier, -r.signal, r.distance, r.id)
+    assert [r.id for r in few[5:]] == [r.id for r in sorted(whole, key=key)[5:]]
+
+
 def test_knowledge_base(spark):
     rows = [("a", "cooling", ["water", "pump", "thermostat", "leak"], "x"), ("b", "cooling", ["thermostat", "housing", "water", "pump", "leak"], "longer"), ("c", "body", ["water", "pump", "thermostat", "leak"], "y")]
     kb = pipelines.knowledge_base(spark.createDataFrame(rows, "id string, component string, bag array<string>, cause string"), "id", "component", "bag", weight=[F.length("cause")], longest=["cause"])
