@@ -291,10 +291,11 @@ def segments(df: DataFrame, text: str, classifier: Classifier) -> DataFrame:
     return rows.mapInPandas(run, ", ".join([*(f"`{c}` {types[c]}" for c in kept), SEGMENT]))
 
 
-def wrongly_labelled(df: DataFrame, id: str, text: str, label: str, classifier: Classifier, one: bool = False) -> DataFrame:
+def wrongly_labelled(df: DataFrame, id: str, text: str, label: str, classifier: Classifier, one: bool = False, every: bool = False) -> DataFrame:
     """(id, lang, confidence): the languages of every text whose label is missing or names another, or that holds several.
 
-    With `one`, a text counts as being in the one language that most of its letters are in.
+    With `one`, a text counts as being in the one language that most of its letters are in; with `every`, rightly
+    labelled texts come out too.
     """
     found = segments(df.select(F.col(id).alias("__id"), F.col(text).alias("__t"), named_language(F.col(label)).alias("__named")), "__t", classifier)
     weighed = found.select("__id", "__named", "lang", "confidence", (F.col("end_char") - F.col("start_char")).alias("n"))
@@ -302,5 +303,7 @@ def wrongly_labelled(df: DataFrame, id: str, text: str, label: str, classifier:
     # a text has few languages, so its list is short whatever its length
     texts = per.groupBy("__id").agg(F.first("named").alias("named"), F.collect_list(F.struct("n", "lang", "confidence")).alias("all"))
     texts = texts.select("__id", "named", (F.slice(F.sort_array("all", asc=False), 1, 1) if one else F.col("all")).alias("all"))
+    if every:
+        return texts.select(F.col("__id").alias(id), F.inline("all")).select(id, "lang", "confidence")
     odd = texts.where((F.size("all") > 1) | F.col("named").isNull() | (F.col("named") != F.col("all")[0]["lang"]))
     return odd.select(F.col("__id").alias(id), F.inline("all")).select(id, "lang", "confidence")

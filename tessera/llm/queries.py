@@ -72,6 +72,14 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs(docs, "documents").unionByName(pairs(videos, "videos"))
 
 
+def p4_forms(spark: SparkSession, d: str) -> DataFrame:
+    """The class of look-alikes and its canonical member for every document text, document title and video title."""
+    docs = _documents(spark, d, "text", "title").select(F.lit("documents").alias("src"), F.col("doc_id").cast("string").alias("rec_id"), F.inline(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in ("text", "title")])))
+    videos = once(read(spark, d, "videos", "video_id", "title"), "video_id").select(F.lit("videos").alias("src"), F.col("video_id").alias("rec_id"), F.lit("title").alias("field"), F.col("title").alias("value"))
+    found = lookalikes.classes(docs.unionByName(videos), "value")
+    return found.select("src", "rec_id", "field", F.lower(F.hex("text_class")).alias("text_class"), F.col("text_class_canonical").alias("canonical"))
+
+
 def _video_texts(spark: SparkSession, d: str) -> DataFrame:
     """Title and spoken words of each video, as the paragraphs of one text."""
     videos = once(read(spark, d, "videos", "video_id", "title", "video_language", "transcript_text", "transcript_segments"), "video_id")
@@ -90,6 +98,22 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p5_languages(spark: SparkSession, d: str) -> DataFrame:
+    """The languages of every document and the language of every video, whatever their label, with a confidence; a text without a sentence that holds letters has none."""
+    classifier = language.train(read(spark, d, "lang_samples"))
+    docs = language.wrongly_labelled(_documents(spark, d, "text", "lang"), "doc_id", "text", "lang", classifier, every=True)
+    videos = language.wrongly_labelled(_video_texts(spark, d), "video_id", "text", "video_language", classifier, one=True, every=True)
+    return docs.select(F.lit("documents").alias("src"), F.col("doc_id").cast("string").alias("rec_id"), "lang", "confidence").unionByName(
+        videos.select(F.lit("videos").alias("src"), F.col("video_id").alias("rec_id"), "lang", "confidence")
+    )
+
+
+def p5_video_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Every video's stretches of one language in title and transcript, with a confidence."""
+    classifier = language.train(read(spark, d, "lang_samples"))
+    return language.segments(_video_texts(spark, d).select("video_id", "text"), "text", classifier)
+
+
 def p5_segments(spark: SparkSession, d: str) -> DataFrame:
     """Every document's stretches of one language, with a confidence."""
     classifier = language.train(read(spark, d, "lang_samples"))
@@ -124,7 +148,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentences(_documents(spark, d, "text"), "text").select("doc_id", "sent_no", "end_char")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p4_found": p4_found, "p5_found": p5_found, "p5_segments": p5_segments, "p7_found": p7_found, "p8_containers": p8_containers, "p9_found": p9_found, "p9_near": p9_near, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p4_found": p4_found, "p4_forms": p4_forms, "p5_found": p5_found, "p5_languages": p5_languages, "p5_segments": p5_segments, "p5_video_segments": p5_video_segments, "p7_found": p7_found, "p8_containers": p8_containers, "p9_found": p9_found, "p9_near": p9_near, "p10_found": p10_found}
 
 def _consistent_sql(text: str) -> str:
     """The consistent form in DuckDB: the same tables, but composition by NFC in place of a collation."""
