@@ -1,16 +1,21 @@
 """Speech transcripts into clean speaker turns.
 
-Lines are turned into templates by a token tree of fixed depth (clock times, sound notes, arrows, names of the roster
-and other words each become a class); counting the leaves over all transcripts shows, layout by layout, whether its slot
-holds clock times or speakers. Only layouts inferred to hold speakers are used to extract labels; then turns are merged.
-
-The tree's leaves are bounded by its depth and the number of token classes, so their counts fit the driver whatever the
-size of the data. A transcript is one row, so extraction needs no shuffle.
+Templates are mined with a token tree of fixed depth: every mark (any sign that is neither letter, digit nor blank) that
+follows up to three words is a site, and its path in the tree is how the mark stands - around the words or behind them -,
+the mark, what opens before the words, and how many they are. Counting the sites of each path over all transcripts, and
+those whose words name somebody of the roster, shows which layouts hold speakers: no mark is known beforehand. Figures
+are treated alike: each shape of figures and marks is counted, and how often it tells the start of its segment; shapes
+that do are clock times. Only layouts inferred in this way are used to extract; then turns are merged.
+
+The tree's leaves are bounded by its depth and the number of marks, so the few inferred layouts fit the driver whatever
+the size of the data. A transcript is one row, so extraction needs no shuffle.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import groupby
@@ -19,25 +24,30 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Depth of the token tree: opening mark, name words, closing mark, what follows.
-DEPTH = 4
-#: A layout holds speakers if at least this share of what stands in its slot names one of the roster.
-SPEAKER_SHARE = 0.05
+#: Words of a label at most.
+LABEL_WORDS = 3
+#: A layout holds speakers if at least this share of its sites names one of the roster.
+SPEAKER_SHARE = 0.1
+#: A shape of figures is a clock time if at least this share tells the start of its segment, within so many seconds.
+CLOCK_SHARE, CLOCK_SECONDS = 0.5, 2
+#: Marks of speech itself; after them names are spoken too, so that a few sites tell nothing yet.
+SPEECH_MARKS = ",;!?…\"“”„«»‘"
+#: Sites without a name that are added to those of a layout with a mark of speech.
+PRIOR = 20
 #: Names that the roster may have to be sent to every task.
 MOST_SPEAKERS = 100_000
 
-CLOCK = re.compile(r"[\[(<]?(?<![\d:.])\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d{1,3})?(?![\d:])[\])>]?")
-NOTE = re.compile(r"\[[^\[\]]{0,80}\]|\([^()]{0,80}\)|<[^<>]{0,80}>|\*[^*]{1,40}\*|♪[^♪]{0,80}♪|[♪♫]+")
+#: Figures with marks between them, perhaps in brackets.
+FIGURES = re.compile(r"[\[(<{]?(?<![\w.,:])\d+(?:[:.,]\d+)+(?![\w:])[\])>}]?")
+NOTE = re.compile(r"\[[^\[\]]*\]|\([^()]*\)|<[^<>]*>|\*[^*]+\*|♪[^♪]*♪|[♪♫]+")
 HESITATION = re.compile(r"(?:u+h+m*|u+m+|e+r+m*|h+m+|m+h*m+|a+h+m*|e+h+m*|o+h+|e{3,}|ı{2,}|ı+[hm]+|ä+h*m*|ö+h*m+|ö+h+|a{3,})", re.I)
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
-_NAME = r"[^\W\d_]+(?:-[^\W\d_]+)*\.?(?:[ ]?[^\W\d_]+(?:-[^\W\d_]+)*\.?){0,2}"
-#: A slot: a name of up to three words between marks. The arrow may precede each form.
-SLOT = re.compile(rf"(?P<arrow>>>\s*)?(?:(?P<open>[\[<(])\s*(?P<inner>{_NAME})\s*(?P<close>[\])>])\s*(?P<colon>:)?|(?<![\w'’])(?P<name>{_NAME})(?P<mark>\s?:(?!\d)|\s[-–—](?=\s|$)))")
-
+#: A word of a name, with the stop of an initial.
+PART = r"[^\W\d_]+(?:-[^\W\d_]+)*\.?"
+#: A site: up to LABEL_WORDS words, then a mark. A stop, an apostrophe and a hyphen inside a word are no marks.
+SITE = re.compile(rf"(?<![\w'’-])(?P<words>{PART}(?:\s?{PART}){{0,{LABEL_WORDS - 1}}})(?P<gap>\s*)(?P<mark>(?:(?![.'’_])[^\w\s]))(?P<after>\s|\d|$)?")
 
 NOTE_MARKS = re.compile(r"[\[(<*♪♫]")
-#: What a slot can't be without; most lines hold none of it.
-MARKS = re.compile(r"[\[<(:]|\s[-–—](?=\s|$)")
 
 
 @lru_cache(maxsize=200_000)
@@ -45,8 +55,21 @@ def hesitation(word: str) -> bool:
     return HESITATION.fullmatch(word) is not None
 
 
-def no_clock(text: str) -> str:
-    return CLOCK.sub(" ", text) if ":" in text else text
+def shape(figures: str) -> str:
+    return re.sub(r"\d+", "0", figures)
+
+
+def tells(figures: str, start: float | None) -> bool:
+    """Whether figures, read as hours, minutes and seconds or with a fraction, are the start of their segment."""
+    if start is None or start != start:
+        return False
+    parts = [int(x) for x in re.findall(r"\d+", figures)]
+    base = lambda xs: sum(x * 60**i for i, x in enumerate(reversed(xs)))
+    return any(abs(base(xs) - start) <= CLOCK_SECONDS for xs in (parts, parts[:-1]) if len(xs) > 1)
+
+
+def no_clock(text: str, shapes: frozenset[str]) -> str:
+    return FIGURES.sub(lambda m: " " if shape(m[0]) in shapes else m[0], text) if shapes else text
 
 
 def one_slip(word: str, name: str) -> bool:
@@ -114,66 +137,101 @@ class Roster:
         return self.seen[label]
 
 
-def layout(m: re.Match) -> str:
-    """The leaf of the token tree that a slot falls into: opening mark, closing mark, number of words."""
-    label = m["inner"] or m["name"]
-    words = len(re.findall(r"[^\W\d_]+", label))
-    close = (m["close"] + (m["colon"] or "")) if m["close"] else ("- " if m["mark"].strip() in "-–—" else m["mark"].strip())
-    return "\t".join([">>" if m["arrow"] else "", m["open"] or "", f"<name:{words}>", close][:DEPTH])
+def closes(opening: str, mark: str) -> bool:
+    """Whether mark is the other side of opening: the same sign, or the mirrored one that follows it in Unicode."""
+    if not opening:
+        return False
+    return opening == mark or bool(unicodedata.mirrored(opening)) and ord(mark) - ord(opening) in (1, 2) and bool(unicodedata.mirrored(mark))
+
 
+def sites(text: str) -> Iterator[tuple[tuple[str, str, str, int], str, int, int]]:
+    """(path in the tree, words, start, end) of each site of a line, left to right.
 
-def slots(text: str, roster: Roster):
-    """(match, start, end, speaker or None) of each slot of a line, left to right."""
-    if not MARKS.search(text):
-        return
+    Path: `around` or `behind`, the mark with the blanks beside it, the opening mark, number of words. Words with a mark
+    around them are a site as a whole; of words with a mark behind them at most the last LABEL_WORDS are.
+    """
     at = 0
-    while m := SLOT.search(text, at):
-        label = m["inner"] or m["name"]
-        speaker, start = roster.resolve(label), m.start()
-        if speaker is None and m["name"]:
-            # words before the name may be speech: try the last two words, then the last
-            words = list(re.finditer(r"[^\W\d_]+(?:-[^\W\d_]+)*\.?", label))
-            for k in range(1, len(words)):
-                if (found := roster.resolve(label[words[k].start() :])) is not None:
-                    speaker, start = found, m.start("name") + words[k].start()
-                    break
-        yield m, start, m.end(), speaker
-        at = max(m.end(), at + 1)
+    while m := SITE.search(text, at):
+        at = m.end("words")
+        before = m.start()
+        while before and text[before - 1].isspace():
+            before -= 1
+        opening = text[before - 1] if before and not text[before - 1].isalnum() and text[before - 1] not in ".'’_" else ""
+        words, n = m["words"], len(re.findall(PART, m["words"]))
+        if closes(opening, m["mark"]):
+            yield ("around", m["mark"], opening, n), words, before - 1, m.end("mark")
+        else:
+            after = "blank" if not m["after"] or m["after"].isspace() else "figure" if m["after"].isdigit() else "none"
+            mark = (" " if m["gap"] else "") + m["mark"] + ("" if m.end("mark") < len(text) and m["after"] is None else " " if after == "blank" else "0")
+            yield ("behind", mark, opening, n), words, m.start(), m.end("mark")
+
+
+def named(words: str, roster: Roster, whole: bool) -> tuple[int, int] | None:
+    """(speaker, where in words the label begins) of the words of a site; unless whole, the last few of them may be the label."""
+    starts = [m.start() for m in re.finditer(PART, words)]
+    for k in starts[:1] if whole else starts:
+        if (found := roster.resolve(words[k:])) is not None:
+            return found, k
+    return None
 
 
 def mine(videos: DataFrame, roster: Roster) -> DataFrame:
-    """(layout, kind, n, hits): how often each leaf of the token tree occurs, and how often its slot holds what it should.
+    """(kind, mark, opening, words, n, hits): how often each leaf of the token tree occurs, and how often it holds what it should.
 
-    kind `speaker` counts names of the roster in name slots, kind `clock` clock times within two seconds of the start of
-    their segment.
+    Kinds `around` and `behind` count names of the roster; of kind `clock` mark is a shape of figures, and those are
+    counted that tell the start of their segment.
     """
     lines = videos.select(F.explode("transcript_segments").alias("s")).where("s.text is not null").select("s.text", "s.start")
     shared = videos.sparkSession.sparkContext.broadcast(roster)
 
     def leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            counts: dict[tuple[str, str], list[int]] = {}
+            n, hits = Counter(), Counter()
             for text, start in zip(b["text"], b["start"]):
-                for m in CLOCK.finditer(text) if ":" in text else ():
-                    t = m[0].strip("[]()<>").replace(",", ".").split(":")
-                    seconds = sum(float(x) * 60**i for i, x in enumerate(reversed(t)))
-                    c = counts.setdefault((re.sub(r"\d+", "<d>", m[0]), "clock"), [0, 0])
-                    c[0] += 1
-                    c[1] += start is not None and abs(seconds - start) <= 2
-                for m, _, _, speaker in slots(no_clock(text), shared.value):
-                    c = counts.setdefault((layout(m), "speaker"), [0, 0])
-                    c[0] += 1
-                    c[1] += speaker is not None
-            yield pd.DataFrame([(k, kind, n, h) for (k, kind), (n, h) in counts.items()], columns=["layout", "kind", "n", "hits"])
-
-    return lines.mapInPandas(leaves, "layout string, kind string, n long, hits long").groupBy("layout", "kind").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
-
-
-def parts(text: str, roster: Roster, speaker_layouts: set[str]):
+                clock = []
+                for m in FIGURES.finditer(text):
+                    n["clock", shape(m[0]), "", 0] += 1
+                    if tells(m[0], start):
+                        hits["clock", shape(m[0]), "", 0] += 1
+                        clock.append(shape(m[0]))
+                for path, words, _, _ in sites(no_clock(text, frozenset(clock))):
+                    n[path] += 1
+                    hits[path] += named(words, shared.value, path[0] == "around") is not None
+            yield pd.DataFrame([(*path, k, hits[path]) for path, k in n.items()], columns=["kind", "mark", "opening", "words", "n", "hits"])
+
+    found = lines.mapInPandas(leaves, "kind string, mark string, opening string, words int, n long, hits long")
+    return found.groupBy("kind", "mark", "opening", "words").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
+
+
+class Layouts:
+    """What was inferred from the tree: marks around and behind labels, shapes of clock times."""
+
+    def __init__(self, rows: list[tuple[str, str, str]]):
+        self.clock = frozenset(mark for kind, mark, _ in rows if kind == "clock")
+        self.labels = {(kind, mark, opening) for kind, mark, opening in rows if kind != "clock"}
+
+    def holds(self, path: tuple[str, str, str, int]) -> bool:
+        return (path[0], path[1], path[2] if path[0] == "around" else "") in self.labels
+
+
+def infer(leaves: DataFrame) -> Layouts:
+    """The layouts whose slots hold what they should; a mark behind a label is judged whatever opens before it."""
+    opening = F.when(F.col("kind") == "around", F.col("opening")).otherwise("")
+    per = leaves.groupBy("kind", "mark", opening.alias("opening")).agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
+    spoken = F.lit(SPEECH_MARKS).contains(F.trim(F.regexp_replace("mark", "0$", "")))
+    n = F.col("n") + F.when(spoken & (F.col("kind") != "clock"), F.lit(PRIOR)).otherwise(F.lit(0))
+    share = F.when(F.col("kind") == "clock", CLOCK_SHARE).otherwise(SPEAKER_SHARE)
+    return Layouts([tuple(r) for r in per.where((F.col("hits") > 0) & (F.col("hits") >= share * n)).select("kind", "mark", "opening").collect()])
+
+
+def parts(text: str, roster: Roster, layouts: Layouts):
     """The line as a sequence of ('label', speaker) and ('word', None)."""
-    text = no_clock(text)
+    text = no_clock(text, layouts.clock)
     at = 0
-    labels = [(a, z, who) for m, a, z, who in slots(text, roster) if who is not None and layout(m) in speaker_layouts]
+    labels = []
+    for path, words, start, end in sites(text):
+        if layouts.holds(path) and (found := named(words, roster, path[0] == "around")):
+            labels.append((start if path[0] == "around" else start + found[1], end, found[0]))
     for a, z, who in [*labels, (len(text), len(text), None)]:
         clean = NOTE.sub(" ", text[at:a]) if NOTE_MARKS.search(text, at, a) else text[at:a]
         if any(not hesitation(w) for w in WORD.findall(clean)):
@@ -201,7 +259,7 @@ def turns(videos: DataFrame, speakers: DataFrame) -> DataFrame:
     rows = speakers.where("speaker_id is not null and full_name is not null").select("speaker_id", "full_name").distinct().limit(MOST_SPEAKERS + 1).collect()
     roster = Roster([(r[0], r[1]) for r in rows])
     videos = videos.select("video_id", "transcript_segments").where("size(transcript_segments) > 0")
-    layouts = {r["layout"] for r in mine(videos, roster).where(f"kind = 'speaker' and hits >= {SPEAKER_SHARE} * n").collect()}
+    layouts = infer(mine(videos, roster))
     shared = spark.sparkContext.broadcast((roster, layouts))
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

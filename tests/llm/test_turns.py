@@ -31,3 +31,29 @@ def test_turns(spark):
         "v5": [(1, None, 500, "no label here")],
     }
     assert turns(videos.where("false"), speakers).count() == 0 and turns(videos, speakers.where("false")).count() == 2
+
+
+def run(spark, rows):
+    videos = spark.createDataFrame(rows, "video_id string, transcript_segments array<struct<text string, start double, duration double>>")
+    got = {}
+    for r in turns(videos, spark.createDataFrame(NAMES, "speaker_id int, full_name string")).orderBy("video_id", "turn_no").collect():
+        got.setdefault(r.video_id, []).append((r.speaker_id, r.start_ms, r.words))
+    return got
+
+
+@pytest.mark.parametrize("form", ["{{{0}}} {1}", "{0} » {1}", "={0}= {1}", "{0}| {1}", "⟦{0}⟧ {1}", "~{0}~ {1}", "{0} → {1}"])
+def test_a_layout_that_nobody_listed_is_mined(spark, form):
+    lines = [("Brenna", "the pump, Caspor said, is dry"), ("C. Bickvar", "so replace it"), ("DOVREL", "not Brenna again"), ("Brenan", "why not")]
+    rows = [(f"v{k}", [(form.format(*line), float(i), 1.0) for i, line in enumerate(lines)]) for k in range(3)]
+    assert run(spark, rows)["v0"] == [(1, 0, lines[0][1]), (2, 1000, lines[1][1]), (3, 2000, lines[2][1]), (1, 3000, lines[3][1])]
+
+
+def test_a_clock_that_nobody_listed_is_mined_and_other_figures_stay(spark):
+    rows = [("v1", [(f"{{{m}.{s:02}}} Brenna: the part costs {m + 3}.{s:02} or {s}:1 today", m * 60.0 + s, 1.0) for m in (1, 2) for s in (5, 30, 59)])]
+    assert run(spark, rows)["v1"][0][2].startswith("the part costs 4.05 or 5:1 today the part costs 4.30")
+
+
+def test_a_long_note_is_no_speech_and_a_spoken_name_no_label(spark):
+    note = "[" + "a long description of what is to be heard " * 6 + "]"
+    rows = [("v1", [(f"Brenna: so {note} it goes, Caspor, and on", 1.0, 1.0), (note, 3.0, 1.0), ("Dovrel, listen", 4.0, 1.0)])]
+    assert run(spark, rows) == {"v1": [(1, 1000, "so it goes, Caspor, and on Dovrel, listen")]}
