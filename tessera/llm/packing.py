@@ -1,7 +1,7 @@
 """Filling containers of fixed token capacity with documents, balanced by attention cost.
 
 Documents go in descending order of size, each into the sequence of least estimated cost (linear plus quadratic in its
-documents' tokens) that still has room; a document larger than a container is cut at token boundaries into full pieces
+documents' tokens) among all that still have room; a document larger than a container is cut at token boundaries into full pieces
 and a rest. Packing runs in shards of bounded size, so no task and no driver ever holds more than SHARD documents;
 every shard leaves at most a few containers partly empty.
 """
@@ -9,10 +9,12 @@ every shard leaves at most a few containers partly empty.
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_left, insort
+import os
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,11 +49,13 @@ def load_tokenizer(path: str):
 
 
 def token_counts(df: DataFrame, text: str, tokenizer: str = TOKENIZER, into: str = "tokens") -> DataFrame:
-    """df with the number of tokens of each text; null for a null text."""
+    """df with the number of tokens of each text; null for a null text. The vocabulary file is shipped to the executors."""
+    df.sparkSession.sparkContext.addFile(tokenizer)
+    name = os.path.basename(tokenizer)
 
     @F.pandas_udf("int")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = load_tokenizer(tokenizer)
+        encode = load_tokenizer(SparkFiles.get(name))
         for b in batches:
             sizes = iter([len(x) for x in encode([t for t in b if t is not None])])
             out = pd.Series([None if t is None else next(sizes) for t in b], index=b.index, dtype="Int32")
@@ -66,44 +70,48 @@ def cost(tokens: int, capacity: int) -> float:
     return x + x * x
 
 
+class Open:
+    """Open sequences by free room: a heap of (cost, sequence) for each room, and the least cost of each room for searching."""
+
+    def __init__(self, capacity: int):
+        self.heaps: list[list[tuple[float, int]]] = [[] for _ in range(capacity + 1)]
+        self.least = np.full(capacity + 1, np.inf)
+
+    def put(self, room: int, cost: float, sequence: int) -> None:
+        heapq.heappush(self.heaps[room], (cost, sequence))
+        self.least[room] = self.heaps[room][0][0]
+
+    def take(self, tokens: int) -> tuple[int, float, int] | None:
+        """The (room, cost, sequence) of least cost among all that have room; the tightest, then the first one, on a tie."""
+        room = tokens + int(np.argmin(self.least[tokens:]))
+        if not self.heaps[room]:
+            return None
+        cost, sequence = heapq.heappop(self.heaps[room])
+        self.least[room] = self.heaps[room][0][0] if self.heaps[room] else np.inf
+        return room, cost, sequence
+
+
 def pack_shard(sizes: list[int], capacity: int) -> list[int]:
     """The container (0, 1, ...) of each size. Sizes must not exceed the capacity.
 
-    Containers are opened as the total size asks for; documents go in descending order to the container of least cost
-    with room, and a new one is opened only where none has room.
+    As many sequences are opened as the total size asks for. Documents go in descending order, each to the sequence of
+    least cost among all that have room; a further one is opened only where none has.
     """
     order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
-    place = [0] * len(sizes)
-    room: list[int] = []
-    # first the best-fit containers for the large half, then the cheapest of those with room: buckets by free space
-    free: list[tuple[int, float, int]] = []  # (room, cost, container), sorted
-    costs: list[float] = []
-    opened = -(-sum(sizes) // capacity) if sizes else 0
-    empty = list(range(opened))
-    heapq.heapify(empty)
-    room = [capacity] * opened
-    costs = [0.0] * opened
+    place, opened = [0] * len(sizes), -(-sum(sizes) // capacity)
+    ready = Open(capacity)
+    for c in range(opened):
+        ready.put(capacity, 0.0, c)
     for i in order:
         s = sizes[i]
-        # containers with room for s; the tightest few compete on cost
-        k = bisect_left(free, (s, -1.0, -1))
-        tight = free[k : k + 8]
-        if tight and tight[0][0] - s <= capacity // 16 or not empty and tight:
-            best = min(tight, key=lambda x: (x[0] > tight[0][0] + capacity // 16, x[1], x[2]))
-            del free[bisect_left(free, best)]
-            c = best[2]
-        elif empty:
-            c = heapq.heappop(empty)
-        else:
-            c = len(room)
-            room.append(capacity)
-            costs.append(0.0)
-        room[c] -= s
-        costs[c] += cost(s, capacity)
+        found = ready.take(s)
+        if found is None:
+            found = (capacity, 0.0, opened)
+            opened += 1
+        room, spent, c = found
         place[i] = c
-        if room[c]:
-            insort(free, (room[c], costs[c], c))
-    # containers planned for but never needed leave no hole in the numbering
+        ready.put(room - s, spent + cost(s, capacity), c)
+    # sequences planned for but never needed leave no hole in the numbering
     number = {c: k for k, c in enumerate(sorted(set(place)))}
     return [number[c] for c in place]
 

@@ -21,7 +21,9 @@ def test_slip_against_brute_force():
     rng = random.Random(1)
     for _ in range(20_000):
         a, b = ("".join(rng.choice("abcd") for _ in range(rng.randrange(1, 6))) for _ in range(2))
-        assert (C.slip(a, b) is not None) == brute(a, b), (a, b)
+        assert (C.distance(a, b) is not None) == brute(a, b), (a, b)
+    assert C.distance("abdc", "abcd") == C.SWAPPED and C.distance("abccd", "abcd") == C.DOUBLED and C.distance("abd", "abcd") == C.LOST and C.distance("abxd", "abcd") == C.CHANGED
+    assert C.distance("bacdd", "abcd") is None and C.distance("bacdd", "abcd", 2) == C.SWAPPED + C.DOUBLED
 
 
 def test_values_and_mentions(spark):
@@ -44,3 +46,14 @@ def test_values_and_mentions(spark):
 def test_empty_reference(spark):
     empty = C.names(spark.createDataFrame([], "engine_code string, displacement_cc int, search_alias array<string>"))
     assert empty.value("1.4 Vextor") == "UNMATCHED" and empty.mention("1.4 Vextor") is None
+
+
+def test_names_with_figures_short_ones_and_those_of_several_words():
+    names = C.Names([("N47", 1995, []), ("M57", 2993, []), ("EA888", 1984, ["EA 888 evo"]), ("EA211", 1395, []), ("R8_40", 3993, ["4.0 V8"]), ("R8_42", 4163, ["4.2 V8"]), ("B6", None, [])])
+    for v, code in {
+        "N47": "N47", "m57": "M57", "EA888": "EA888", "EA211": "EA211", "ea 888 EVO": "EA888", "4.0 V8": "R8_40", "V8 4,2 480PS": "R8_42", "4.4 V8": "UNMATCHED", "V8": "UNMATCHED", "B6": "B6",
+        "2.0 N47 engine": "UNMATCHED", "N47 177PS": "N47", "1995 cc n47": "N47", "EA88": "EA888", "AE888": "EA888", "N4": "UNMATCHED", "EA888 evo": "EA888",
+    }.items():
+        assert names.value(v) == code, v
+    assert names.mention("it has the N47, with 12.5 litres of oil") == "N47" and names.mention("a 4.0   -   V8 sits there") == "R8_40" and names.mention("a V8") is None
+    assert names.mention("the 4.2 " + "turbo " * 40 + "V8 is loud") == "R8_42" and names.mention("an EA-888 evo here") == "EA888"

@@ -39,3 +39,50 @@ def test_counts(spark, name):
     df = spark.createDataFrame([(1, "Hello world <|endoftext|>"), (2, None), (3, "")], "id int, t string")
     got = {r.id: r.tokens for r in P.token_counts(df, "t", os.path.join(os.path.dirname(P.TOKENIZER), name)).collect()}
     assert got[1] > 3 and got[2] is None and got[3] == 0
+
+
+def test_every_document_goes_to_the_least_cost_with_room():
+    """Against a plain search over all open sequences, document by document."""
+    rng = random.Random(5)
+    for _ in range(20):
+        sizes = [rng.randrange(1, 65) for _ in range(rng.randrange(1, 60))]
+        room, spent, want = [64] * -(-sum(sizes) // 64), [0.0] * -(-sum(sizes) // 64), [0] * len(sizes)
+        for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
+            with_room = [c for c in range(len(room)) if room[c] >= sizes[i]]
+            if not with_room:
+                room.append(64)
+                spent.append(0.0)
+                with_room = [len(room) - 1]
+            c = min(with_room, key=lambda c: (spent[c], room[c], c))
+            room[c] -= sizes[i]
+            spent[c] += P.cost(sizes[i], 64)
+            want[i] = c
+        number = {c: k for k, c in enumerate(sorted(set(want)))}
+        assert P.pack_shard(sizes, 64) == [number[c] for c in want]
+
+
+def best_fit(sizes, capacity):
+    room, place = [], [0] * len(sizes)
+    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+        c = min((c for c in range(len(room)) if room[c] >= sizes[i]), key=lambda c: room[c], default=None)
+        if c is None:
+            c = len(room)
+            room.append(capacity)
+        room[c] -= sizes[i]
+        place[i] = c
+    return place
+
+
+def test_costs_are_balanced_and_little_is_unused():
+    rng = random.Random(6)
+    sizes = [min(1024, max(1, int(rng.lognormvariate(5, 1)))) for _ in range(3000)]
+
+    def spread(place):
+        cost, fill = {}, {}
+        for s, c in zip(sizes, place):
+            cost[c], fill[c] = cost.get(c, 0) + P.cost(s, 1024), fill.get(c, 0) + s
+        mean = sum(cost.values()) / len(cost)
+        return (sum((x - mean) ** 2 for x in cost.values()) / len(cost)) ** 0.5, sum(fill.values()) / 1024 / len(fill)
+
+    (deviation, fill), (other, _) = spread(P.pack_shard(sizes, 1024)), spread(best_fit(sizes, 1024))
+    assert fill >= 0.99 and deviation < 0.9 * other
