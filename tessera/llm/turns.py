@@ -44,9 +44,9 @@ HESITATION = re.compile(r"(?:u+h+m*|u+m+|e+r+m*|h+m+|m+h*m+|a+h+m*|e+h+m*|o+h+|e
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 #: A word of a name, with the stop of an initial.
 PART = r"[^\W\d_]+(?:-[^\W\d_]+)*\.?"
-#: A site: up to LABEL_WORDS words, then a mark. A stop, an apostrophe and a hyphen inside a word are no marks.
-SITE = re.compile(rf"(?<![\w'’-])(?P<words>{PART}(?:\s?{PART}){{0,{LABEL_WORDS - 1}}})(?P<gap>\s*)(?P<mark>(?:(?![.'’_])[^\w\s]))(?P<after>\s|\d|$)?")
-
+_PART = re.compile(PART)
+#: A mark: a stop, an apostrophe and a hyphen inside a word are none.
+MARK = re.compile(r"(?![.'’_])[^\w\s-]|-(?!(?<=[^\W\d_]-)[^\W\d_])")
 NOTE_MARKS = re.compile(r"[\[(<*♪♫]")
 
 
@@ -144,31 +144,47 @@ def closes(opening: str, mark: str) -> bool:
     return opening == mark or bool(unicodedata.mirrored(opening)) and ord(mark) - ord(opening) in (1, 2) and bool(unicodedata.mirrored(mark))
 
 
-def sites(text: str) -> Iterator[tuple[tuple[str, str, str, int], str, int, int]]:
+def sites(text: str, marks: re.Pattern = MARK) -> Iterator[tuple[tuple[str, str, str, int], str, int, int]]:
     """(path in the tree, words, start, end) of each site of a line, left to right.
 
     Path: `around` or `behind`, the mark with the blanks beside it, the opening mark, number of words. Words with a mark
     around them are a site as a whole; of words with a mark behind them at most the last LABEL_WORDS are.
     """
-    at = 0
-    while m := SITE.search(text, at):
-        at = m.end("words")
-        before = m.start()
+    for found in marks.finditer(text):
+        mark, end = found[0], found.start()
+        chunks = text[:end].rsplit(None, LABEL_WORDS)  # no more words than chunks are looked at
+        start = stop = None
+        n = 0
+        for m in reversed(list(_PART.finditer(text, len(chunks[0]) if len(chunks) > LABEL_WORDS else 0, end))):
+            if n == LABEL_WORDS or (gap := text[m.end() : end if start is None else start]) and (not gap.isspace() or start is not None and len(gap) > 1):
+                break
+            start, n = m.start(), n + 1
+            stop = stop or m.end()
+        if start and (text[start - 1].isalnum() or text[start - 1] in "_'’-"):  # the rest of a longer word
+            cut = _PART.match(text, start)
+            n -= 1
+            start = next((m.start() for m in _PART.finditer(text, cut.end(), end)), None) if n else None
+        if start is None:
+            continue
+        before = start
         while before and text[before - 1].isspace():
             before -= 1
         opening = text[before - 1] if before and not text[before - 1].isalnum() and text[before - 1] not in ".'’_" else ""
-        words, n = m["words"], len(re.findall(PART, m["words"]))
-        if closes(opening, m["mark"]):
-            yield ("around", m["mark"], opening, n), words, before - 1, m.end("mark")
+        if closes(opening, mark):
+            yield ("around", mark, opening, n), text[start:stop], before - 1, end + 1
         else:
-            after = "blank" if not m["after"] or m["after"].isspace() else "figure" if m["after"].isdigit() else "none"
-            mark = (" " if m["gap"] else "") + m["mark"] + ("" if m.end("mark") < len(text) and m["after"] is None else " " if after == "blank" else "0")
-            yield ("behind", mark, opening, n), words, m.start(), m.end("mark")
+            after = text[end + 1 : end + 2]
+            yield ("behind", (" " if stop < end else "") + mark + (" " if not after or after.isspace() else "0" if after.isdigit() else ""), opening, n), text[start:stop], start, end + 1
+
+
+@lru_cache(maxsize=200_000)
+def beginnings(words: str) -> tuple[int, ...]:
+    return tuple(m.start() for m in _PART.finditer(words))
 
 
 def named(words: str, roster: Roster, whole: bool) -> tuple[int, int] | None:
     """(speaker, where in words the label begins) of the words of a site; unless whole, the last few of them may be the label."""
-    starts = [m.start() for m in re.finditer(PART, words)]
+    starts = beginnings(words)
     for k in starts[:1] if whole else starts:
         if (found := roster.resolve(words[k:])) is not None:
             return found, k
@@ -209,6 +225,9 @@ class Layouts:
     def __init__(self, rows: list[tuple[str, str, str]]):
         self.clock = frozenset(mark for kind, mark, _ in rows if kind == "clock")
         self.labels = {(kind, mark, opening) for kind, mark, opening in rows if kind != "clock"}
+        #: The marks that may end a label; no other has to be looked at.
+        signs = {c for _, mark, _ in self.labels for c in mark if not c.isspace() and c != "0"}
+        self.marks = re.compile(rf"(?=[{re.escape(''.join(sorted(signs)))}])(?:{MARK.pattern})" if signs else "(?!)")
 
     def holds(self, path: tuple[str, str, str, int]) -> bool:
         return (path[0], path[1], path[2] if path[0] == "around" else "") in self.labels
@@ -229,7 +248,7 @@ def parts(text: str, roster: Roster, layouts: Layouts):
     text = no_clock(text, layouts.clock)
     at = 0
     labels = []
-    for path, words, start, end in sites(text):
+    for path, words, start, end in sites(text, layouts.marks):
         if layouts.holds(path) and (found := named(words, roster, path[0] == "around")):
             labels.append((start if path[0] == "around" else start + found[1], end, found[0]))
     for a, z, who in [*labels, (len(text), len(text), None)]:
