@@ -72,12 +72,18 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs(docs, "documents").unionByName(pairs(videos, "videos"))
 
 
+#: What stands between quotation marks.
+_QUOTED = r'[“„«"「『‚‹]([^“”„«»"「」『』‚‹›]+)[”“»"」』›]'
+
+
 def p4_forms(spark: SparkSession, d: str) -> DataFrame:
-    """The class of look-alikes and its canonical member for every document text, document title and video title."""
-    docs = _documents(spark, d, "text", "title").select(F.lit("documents").alias("src"), F.col("doc_id").cast("string").alias("rec_id"), F.inline(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in ("text", "title")])))
-    videos = once(read(spark, d, "videos", "video_id", "title"), "video_id").select(F.lit("videos").alias("src"), F.col("video_id").alias("rec_id"), F.lit("title").alias("field"), F.col("title").alias("value"))
+    """The class of look-alikes and its canonical member for every document text, document title, quoted passage (pos from 1) and video title."""
+    field = lambda name, value, pos=0: F.struct(F.lit(name).alias("field"), F.lit(pos).alias("pos") if isinstance(pos, int) else pos.alias("pos"), value.alias("value"))
+    quotes = F.transform(F.coalesce(F.regexp_extract_all("text", F.lit(_QUOTED), F.lit(1)), F.array().cast("array<string>")), lambda q, i: field("quote", q, i + 1))
+    docs = _documents(spark, d, "text", "title").select(F.lit("documents").alias("src"), F.col("doc_id").cast("string").alias("rec_id"), F.inline(F.concat(F.array(field("text", F.col("text")), field("title", F.col("title"))), quotes)))
+    videos = once(read(spark, d, "videos", "video_id", "title"), "video_id").select(F.lit("videos").alias("src"), F.col("video_id").alias("rec_id"), F.lit("title").alias("field"), F.lit(0).alias("pos"), F.col("title").alias("value"))
     found = lookalikes.classes(docs.unionByName(videos), "value")
-    return found.select("src", "rec_id", "field", F.lower(F.hex("text_class")).alias("text_class"), F.col("text_class_canonical").alias("canonical"))
+    return found.select("src", "rec_id", "field", "pos", F.lower(F.hex("text_class")).alias("text_class"), F.col("text_class_canonical").alias("canonical"))
 
 
 def _video_texts(spark: SparkSession, d: str) -> DataFrame:
