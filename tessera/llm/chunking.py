@@ -31,12 +31,8 @@ _CLOSERS = "\"'”’»」』)]）"
 SCHEMA = [("piece_no", "int"), ("pieces", "int"), ("start_char", "int"), ("end_char", "int"), ("overlap", "int"), ("cut", "string"), ("forced", "boolean"), ("piece", "string")]
 
 
-def boundaries(text: str, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions at which text may be cut (0 and its end among them), the penalty of each, and which of them are for cutting.
-
-    Words are for cutting only where sentences and paragraphs lie more than a quarter of the limit apart; elsewhere they
-    only serve as places at which a repeated part may begin.
-    """
+def boundaries(text: str, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions at which text may be cut (0 and its end among them), and the penalty of each."""
     cost: dict[int, float] = {}
     marks: list[int] = []  # before a blank or a stop: needed only where what lies between boundaries is too long
     for m in _BREAKS.finditer(text):
@@ -63,45 +59,58 @@ def boundaries(text: str, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
             n = -(-(b - a) // limit)
             cost |= {a + (b - a) * k // n: FORCED for k in range(1, n)}
     at = np.array(sorted(cost), dtype=np.int64)
-    pen = np.array([cost[p] for p in at.tolist()])
-    strong = np.flatnonzero((pen <= SENTENCE) | (pen == FORCED))
-    use = np.zeros(len(at), dtype=bool)
-    use[strong] = True
-    for i in np.flatnonzero(np.diff(at[strong]) > limit // 4):
-        use[strong[i] : strong[i + 1]] = True
-    return at, pen, use
+    return at, np.array([cost[p] for p in at.tolist()])
 
 
-def cuts(text: str, limit: int, overlap: int) -> list[tuple[int, int, int, float]]:
-    """(start with overlap, start without, end, penalty of the cut at its start) of each piece of text."""
-    if len(text) <= limit:
-        return [(0, 0, len(text), 0.0)]
-    every, penalty, use = boundaries(text, limit)
-    at, pen = every[use], penalty[use]
-    # pieces should leave room for the overlap, so the even share is counted on what remains of the limit
-    share = len(text) / -(-len(text) // max(1, limit - overlap))
+def cheapest(at: np.ndarray, pen: np.ndarray, limit: int, share: float) -> tuple[float, list[int]]:
+    """(cost, boundaries from 0 to the end) of the least costly way to cut at some of the boundaries; infinite if there is none."""
     best, back = np.full(len(at), np.inf), np.zeros(len(at), dtype=np.int64)
     best[0] = 0.0
     first = np.searchsorted(at, at - limit)
     for j in range(1, len(at)):
         i = first[j]
-        size = at[j] - at[i:j]
-        total = best[i:j] + EVENNESS * ((size - share) / limit) ** 2
-        k = int(np.argmin(total))
-        best[j], back[j] = total[k] + pen[j], i + k
-    points, j = [], len(at) - 1
-    while j:
-        points.append(j)
+        if i < j:
+            total = best[i:j] + EVENNESS * ((at[j] - at[i:j] - share) / limit) ** 2
+            k = int(np.argmin(total))
+            best[j], back[j] = total[k] + pen[j], i + k
+    points, j = [len(at) - 1], len(at) - 1
+    while j and np.isfinite(best[-1]):
         j = int(back[j])
-    points.append(0)
-    points.reverse()
+        points.append(j)
+    return float(best[-1]), points[::-1]
+
+
+def least_with_a_weak_cut(at: np.ndarray, pen: np.ndarray, weak: np.ndarray, limit: int) -> float:
+    """No way to cut that uses a weak boundary costs less: that cut, and the cheapest ones for all further pieces needed."""
+    inner = pen[1:-1]
+    if not weak.any():
+        return np.inf
+    more = max(0, -(-int(at[-1]) // limit) - 2)
+    return float(pen[weak].min()) + (float(np.partition(inner, more - 1)[:more].sum()) if 0 < more <= len(inner) else 0.0)
+
+
+def cuts(text: str, limit: int, overlap: int) -> list[tuple[int, int, int, float]]:
+    """(start with overlap, start without, end, penalty of the cut at its start) of each piece of text."""
+    if len(text) <= limit:
+        return [(0, 0, len(text), 0.0)]
+    at, pen = boundaries(text, limit)
+    # pieces should leave room for the overlap, so the even share is counted on what remains of the limit
+    share = len(text) / -(-len(text) // max(1, limit - overlap))
+    # without words first: most texts have a way to cut that no way with a cut between words can beat
+    weak = (pen >= WORD) & (pen < FORCED)
+    strong = np.flatnonzero(~weak)
+    total, points = cheapest(at[strong], pen[strong], limit, share)
+    if total > least_with_a_weak_cut(at, pen, weak, limit):
+        _, points = cheapest(at, pen, limit, share)
+    else:
+        points = strong[points].tolist()
     out = []
     for i, j in zip(points, points[1:]):
         room = min(overlap, limit - int(at[j] - at[i]), int(at[i])) if i else 0
-        k = int(np.searchsorted(every, at[i] - room))  # the repeated part begins at a boundary where there is one
-        while every[k] < at[i] and penalty[k] == MARK and every[k + 1] < at[i]:
+        k = int(np.searchsorted(at, at[i] - room))  # the repeated part begins at a boundary where there is one
+        while k < i and pen[k] == MARK and k + 1 < i:
             k += 1  # behind a blank rather than before it
-        start = int(every[k]) if every[k] < at[i] or pen[i] != FORCED else int(at[i]) - room
+        start = int(at[k]) if k < i or pen[i] != FORCED else int(at[i]) - room
         out.append((start, int(at[i]), int(at[j]), float(pen[i])))
     return out
 

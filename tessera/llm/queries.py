@@ -14,13 +14,22 @@ def _documents(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     return spread(read(spark, d, "documents", "doc_id", *columns))
 
 
-def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """Document texts and complaint descriptions over 1,200 characters, and whether a cut had to be forced."""
+def _pieces(spark: SparkSession, d: str) -> DataFrame:
     docs = _documents(spark, d, "text").select(F.lit("documents").alias("src"), F.col("doc_id").cast("string").alias("rec_id"), "text")
     complaints = once(read(spark, d, "complaints", "complaint_id", "description"), "complaint_id")
     complaints = complaints.select(F.lit("complaints").alias("src"), F.col("complaint_id").cast("string").alias("rec_id"), F.col("description").alias("text"))
-    pieces = chunking.split_oversized(docs.unionByName(complaints), "text", only_oversized=True)
-    return pieces.where("piece_no = 1 and pieces > 1").select("src", "rec_id", F.when(F.col("forced"), "forced").otherwise("boundary").alias("kind"))
+    return chunking.split_oversized(docs.unionByName(complaints), "text", only_oversized=True)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Document texts and complaint descriptions over 1,200 characters, and whether a cut had to be forced."""
+    return _pieces(spark, d).where("piece_no = 1 and pieces > 1").select("src", "rec_id", F.when(F.col("forced"), "forced").otherwise("boundary").alias("kind"))
+
+
+def p1_cuts(spark: SparkSession, d: str) -> DataFrame:
+    """What the cuts of all oversized texts fall on, and how even their pieces are: pieces, mean and deviation of their sizes."""
+    size = F.col("end_char") - F.col("start_char")
+    return _pieces(spark, d).groupBy("src", "cut").agg(F.count("*").alias("pieces"), F.avg(size).alias("mean_size"), F.stddev_pop(size).alias("sd_size"), F.max(size).alias("most"), F.avg("overlap").alias("mean_overlap"))
 
 
 _FAULT = ("label", "symptom", "cause")
@@ -154,7 +163,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentences(_documents(spark, d, "text"), "text").select("doc_id", "sent_no", "end_char")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p4_found": p4_found, "p4_forms": p4_forms, "p5_found": p5_found, "p5_languages": p5_languages, "p5_segments": p5_segments, "p5_video_segments": p5_video_segments, "p7_found": p7_found, "p8_containers": p8_containers, "p9_found": p9_found, "p9_near": p9_near, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p1_cuts": p1_cuts, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p4_found": p4_found, "p4_forms": p4_forms, "p5_found": p5_found, "p5_languages": p5_languages, "p5_segments": p5_segments, "p5_video_segments": p5_video_segments, "p7_found": p7_found, "p8_containers": p8_containers, "p9_found": p9_found, "p9_near": p9_near, "p10_found": p10_found}
 
 def _consistent_sql(text: str) -> str:
     """The consistent form in DuckDB: the same tables, but composition by NFC in place of a collation."""

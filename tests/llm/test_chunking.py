@@ -47,3 +47,28 @@ def test_operator(spark):
     assert split_oversized(df.where("false"), "t").count() == 0
     with pytest.raises(ValueError):
         split_oversized(df, "t", 100, 100)
+
+
+def test_no_way_to_cut_costs_less():
+    """Against a plain recursion over all boundaries, words too."""
+    import functools
+
+    from tessera.llm import chunking as C
+
+    rng = random.Random(9)
+    for _ in range(150):
+        word = lambda: "".join(rng.choice("abcdefg") for _ in range(rng.randrange(1, 9)))
+        t = "".join(word() + rng.choice([" ", " ", " ", ". ", "\n", "\n\n", "! "]) for _ in range(rng.randrange(2, 40))).strip()
+        limit, overlap = rng.choice([20, 30, 45]), rng.choice([0, 5])
+        if len(t) <= limit:
+            continue
+        at, pen = (x.tolist() for x in C.boundaries(t, limit))
+        share = len(t) / -(-len(t) // (limit - overlap))
+
+        @functools.cache
+        def least(j):
+            return 0.0 if not j else min((least(i) + C.EVENNESS * ((at[j] - at[i] - share) / limit) ** 2 + pen[j] for i in range(j) if at[j] - at[i] <= limit), default=float("inf"))
+
+        got = cuts(t, limit, overlap)
+        cost = sum(C.EVENNESS * ((z - b - share) / limit) ** 2 for _, b, z, _ in got) + sum(p for *_, p in got[1:])
+        assert abs(cost - least(len(at) - 1)) < 1e-9
