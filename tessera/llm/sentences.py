@@ -10,6 +10,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import cache
 
 from pyspark.sql import Column, DataFrame
@@ -47,9 +48,15 @@ GOES_ON = "然后|于是|随后|接着|就|便|说|道|地|的|而|と|って|
 
 
 @cache
-def _patterns() -> dict[str, str]:
-    import unicodedata
+def terminators() -> str:
+    """Sentence terminators of scripts in which nothing but them looks like one: by the Unicode property, without those that have rules of their own."""
+    import regex
+
+    return "".join(c for c in map(chr, range(0x80, 0x10000)) if regex.match(r"\p{Sentence_Terminal}", c) and not unicodedata.normalize("NFKC", c) in ".!?" and c not in "。।॥…" and unicodedata.normalize("NFKC", c)[0] not in ".!?")
+
 
+@cache
+def _patterns() -> dict[str, str]:
     one, _, many = tables()
     gap = f"{GAP}{{0,3}}"
     joined = {v: k for k, v in many.items() if v in ("ff", "fi", "fl")}
@@ -94,14 +101,15 @@ def _marked(text: Column) -> Column:
     t = _sub(t, r"(?<![\p{L}\p{M}])((?iu:" + p["number"] + r"))\.(?=\s*[0-9०-९#])", "$1" + DOT)
     t = _sub(t, r"(कि" + DOT + r"?\.?मी)\.", "$1" + DOT)
     t = _sub(t, r"(\p{InThai})\.(?=\s*[\p{InThai}0-9])", "$1" + DOT)
-    # quotation marks whose shape doesn't tell their side
-    t = _sub(t, r"„((?:[^„“”\n]|\n(?!\s*\n)){1,400}+)“", "„$1" + CLOSE)
-    t = _sub(t, r'(?<![\p{L}\p{N}])"(?=[^\s"])([^"]{1,400}?)(?<=\S)"', OPEN + "$1" + CLOSE)
+    # quotation marks whose shape doesn't tell their side; up to the closing mark, within one paragraph
+    within = lambda marks: rf"[^{marks}\n]*+(?:\n(?!\s*\n)[^{marks}\n]*+)*+"
+    t = _sub(t, rf"„({within('„“”')})“", "„$1" + CLOSE)
+    t = _sub(t, rf'(?<![\p{{L}}\p{{N}}])"(?=[^\s"])({within(chr(34))})(?<=\S)"', OPEN + "$1" + CLOSE)
     # stops inside quotations and brackets, but those right before the closing mark: from an opening mark on, stop by stop
     sides = [OPEN + CLOSE, "“”", "„" + CLOSE, "«»", "「」", "『』", "()"]
-    marks = "".join(dict.fromkeys("".join(sides)))
-    begin = "|".join(rf"[{a}](?=(?:[^{a}{z}\n]|\n(?!\s*\n)){{1,400}}+[{z}])" for a, z in sides)
-    t = _sub(t, rf"((?:{begin}|(?!^)\G)[^{marks}.!?。…।]*+)[.!?。…।](?=[.!?。…।]*+\s*+[^{marks}.!?。…।\s])", "$1" + DOT)
+    marks, ends = "".join(dict.fromkeys("".join(sides))), terminators()
+    begin = "|".join(rf"[{a}](?={within(a + z)}[{z}])" for a, z in sides)
+    t = _sub(t, rf"((?:{begin}|(?!^)\G)[^{marks}.!?。…।{ends}]*+)[.!?。…।{ends}](?=[.!?。…।{ends}]*+\s*+[^{marks}.!?。…।{ends}\s])", "$1" + DOT)
     closers = rf"(?:[ ]?»|[”』」)’\]'{CLOSE}])*+"
     begins = rf"\p{{Lu}}\p{{Lt}}\p{{Lo}}«“„「『‘¿¡#{OPEN}"
     # a terminator, blanks, and something a sentence can begin with
@@ -111,6 +119,8 @@ def _marked(text: Column) -> Column:
     t = _sub(t, rf"((?<=[\p{{L}}\p{{M}})”»\]{CLOSE}])[.!?…]++{closers})(?=[0-9])", "$1" + END)
     # ideographic full stop and danda
     t = _sub(t, r"([。।॥]++[.!?…]*+" + closers + r")(?!\s*+(?:" + GOES_ON + r"|[\p{Ll}，、,;:；]))", "$1" + END)
+    # full stops of further scripts (Arabic, Armenian, Ethiopic, Burmese, Khmer, Tibetan ...)
+    t = _sub(t, rf"([{ends}]++[.!?…]*+{closers})(?!\s*+[\p{{Ll}},;:])", "$1" + END)
     # Thai: a blank between two Thai characters
     t = _sub(t, r"(?<=\p{InThai})(\s++)(?=\p{InThai})", END + "$1")
     # blank lines, and lines that hold only a code or a log

@@ -17,6 +17,15 @@ CASES = {
     "app​rox. 5 km. Ok": ["app​rox. 5 km.", "Ok"],
     "Er sagte leise „Das\nwird teuer.“ Nach 3 Tagen Schluss.": ["Er sagte leise „Das\nwird teuer.“", "Nach 3 Tagen Schluss."],
     "Av. Ellquist ve Muh. Toskil; dr. Who": ["Av. Ellquist ve Muh. Toskil; dr. Who"],
+    "هل هذا صحيح؟ نعم. حسنا": ["هل هذا صحيح؟", "نعم.", "حسنا"],
+    "یہ ٹھیک ہے۔ اور یہ؟ جی۔": ["یہ ٹھیک ہے۔", "اور یہ؟", "جی۔"],
+    "Բարև։ Ինչպես ես։": ["Բարև։", "Ինչպես ես։"],
+    "ሰላም። እንዴት ነህ፧ ደህና።": ["ሰላም።", "እንዴት ነህ፧", "ደህና።"],
+    "မင်္ဂလာပါ။ ကောင်းပါတယ်။": ["မင်္ဂလာပါ။", "ကောင်းပါတယ်။"],
+    "សួស្តី។ អរគុណ។": ["សួស្តី។", "អរគុណ។"],
+    "He said “" + "So it is. " * 60 + "Done” and left. Then (" + "no. " * 200 + ") he slept. Ok": ["He said “" + "So it is. " * 60 + "Done” and left.", "Then (" + "no. " * 200 + ") he slept.", "Ok"],
+    'He said "' + "So it is. " * 60 + 'Done" and left. Then': ['He said "' + "So it is. " * 60 + 'Done" and left.', "Then"],
+    "An open ( mark. Next one.\n\nLast) here. End": ["An open ( mark.", "Next one.", "Last) here.", "End"],
     "   \n ": [], "": [], "...": ["..."],
 }
 
@@ -48,6 +57,8 @@ def test_labelled_sentences_stay_whole_and_joined_ones_come_apart(spark, small):
 
 def test_very_long_repeated_and_empty(spark):
     long = "Short one here. " * 3000
+    odd = [("(" * 30_000 + " a. B",), ("„" * 30_000 + " a. B",), ('" x. Y ' * 20_000,), ("“" + "A b. " * 60_000 + "”",), ("x\n" * 50_000,)]
+    assert spark.createDataFrame(odd, "t string").select(F.min(F.size(sentence_spans(F.col("t"))))).first()[0] >= 1
     df = spark.createDataFrame([(1, long), (1, long)], "id int, t string")
     r = sentences(df, "t").agg(F.count("*"), F.max("end_char"), F.max("sent_no")).first()
     assert tuple(r) == (6000, len(long) - 1, 3000)
