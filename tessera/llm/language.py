@@ -11,7 +11,10 @@ own evidence is weak - a code, a name, a scrap of a few letters - takes the lang
 from __future__ import annotations
 
 import re
+import unicodedata
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -33,10 +36,19 @@ FEW_LETTERS, WEAK = 6, 0.5
 #: A sentence of less confidence than this takes the language of a sentence next to it if that is of the same family.
 CLOSE_CALL = 0.58
 
+#: Label of text in none of the known languages.
+OTHER = "und"
+#: A sentence with more than this share of letters of scripts that its language isn't written in is in none of the known ones,
+FOREIGN = 0.5
+#: and so is one of at least MANY letters with more than this share of letters, and more than two, that no sample of its language holds.
+UNSEEN, MANY = 0.04, 25
+
 # Families of the languages.
 FAMILIES = {"en": "germanic", "de": "germanic", "fr": "romance", "es": "romance", "pt": "romance", "tr": "turkic", "ru": "slavic", "ja": "east_asian", "zh": "east_asian", "th": "tai", "hi": "indic"}
 #: Script that a text must hold some of to be in a family at all; families not listed may be in any.
 SCRIPTS = {"east_asian": r"[\u3040-\u30ff\u3400-\u9fff]", "tai": r"[\u0e00-\u0e7f]", "indic": r"[\u0900-\u097f]", "slavic": r"[\u0400-\u04ff]", "germanic": r"[a-z]", "romance": r"[a-z]", "turkic": r"[a-zıİ]"}
+#: Scripts with few letters, of which samples hold all that are in use.
+CASED = ("LATIN", "CYRILLIC", "GREEK", "ARMENIAN")
 # Names and three-letter codes of the languages.
 NAMES = {
     "english": "en", "german": "de", "french": "fr", "spanish": "es", "portuguese": "pt", "turkish": "tr", "russian": "ru", "japanese": "ja", "chinese": "zh", "thai": "th", "hindi": "hi",
@@ -129,8 +141,46 @@ def train_linear(grams: Ngrams, y: np.ndarray, epochs: int = 40, c: float = 10.0
     return w, b
 
 
+@lru_cache(maxsize=200_000)
+def script(c: str) -> str:
+    """The script of a letter as its Unicode name begins; empty for what is no letter."""
+    if not c.isalpha():
+        return ""
+    name = unicodedata.name(c, "").split()
+    return name[0] if name else ""
+
+
+class Alphabets:
+    """Scripts and letters that the samples of each language hold."""
+
+    def __init__(self, samples: list[tuple[str, str]]):
+        count: dict[str, Counter] = {}
+        self.letters: dict[str, set[str]] = {}
+        for lang, text in samples:
+            low = unicodedata.normalize("NFKC", text).lower()
+            self.letters.setdefault(lang, set()).update(low)
+            count.setdefault(lang, Counter()).update(filter(None, map(script, low)))
+        self.scripts = {lang: {x for x, n in c.items() if n >= 0.01 * c.total()} for lang, c in count.items()}
+        self.main = {lang: c.most_common(1)[0][0] for lang, c in count.items() if c}
+
+    def strange(self, lang: str, text: str) -> float:
+        """The share of letters that tells that text is not in lang after all; 0 if it may be."""
+        if text.isascii() and "LATIN" in self.scripts.get(lang, ()):
+            return 0.0
+        n = Counter(c for c in unicodedata.normalize("NFKC", text).lower() if c.isalpha())
+        if n.total() < FEW_LETTERS:
+            return 0.0
+        foreign = sum(k for c, k in n.items() if script(c) not in self.scripts[lang] and script(c) != "LATIN")
+        if foreign > FOREIGN * n.total():
+            return foreign / n.total()
+        main = self.main[lang]
+        own = sum(k for c, k in n.items() if script(c) == main)
+        unseen = [k for c, k in n.items() if script(c) == main and c not in self.letters[lang]]
+        return 0.5 + sum(unseen) / own / 2 if main in CASED and own >= MANY and sum(unseen) > max(2, UNSEEN * own) else 0.0
+
+
 class Classifier:
-    """Family first, then one-versus-one machines within the family."""
+    """Family first, then one-versus-one machines within the family; what is in none of the languages is OTHER."""
 
     def __init__(self, samples: list[tuple[str, str]], epochs: int = 40):
         langs = sorted({lang for lang, _ in samples})
@@ -138,6 +188,7 @@ class Classifier:
             raise ValueError("no labelled sentence to learn from")
         family = {lang: FAMILIES.get(lang, lang) for lang in langs}
         self.families = sorted(set(family.values()))
+        self.alphabets = Alphabets(samples)
         self.members = {f: [x for x in langs if family[x] == f] for f in self.families}
         texts = [without_noise(consistent(t).lower()) for _, t in samples]
         label = [lang for lang, _ in samples]
@@ -157,7 +208,7 @@ class Classifier:
                 self.machines[f] = np.stack([w for w, _ in fitted]).astype(np.float32), np.array([b for _, b in fitted])
 
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
-        """(language, confidence in 0..1) of each text; ('', 0) for one without letters."""
+        """(language, confidence in 0..1) of each text; ('', 0) for one without letters, OTHER for one in another script or alphabet."""
         clean = [without_noise(consistent(t).lower()) for t in texts]
         grams = Ngrams(clean)
         sure = lambda x: 1 / (1 + np.exp(-3 * np.clip(x, -10, 10)))
@@ -185,7 +236,8 @@ class Classifier:
                 votes[:, members.index(b)] += 1 - p
             lang[own] = np.array(members, dtype=object)[votes.argmax(axis=1)]
             confidence[own] *= votes.max(axis=1) / max(1, len(members) - 1)
-        return [(str(x), float(c)) if letters(t) else ("", 0.0) for x, c, t in zip(lang, confidence, clean)]
+        strange = [self.alphabets.strange(str(x), t) for x, t in zip(lang, texts)]
+        return [("", 0.0) if not letters(t) else (OTHER, s) if s else (str(x), float(c)) for x, c, t, s in zip(lang, confidence, clean, strange)]
 
 
 def train(samples: DataFrame, most: int = MOST_SAMPLES) -> Classifier:
@@ -295,9 +347,10 @@ def wrongly_labelled(df: DataFrame, id: str, text: str, label: str, classifier:
     """(id, lang, confidence): the languages of every text whose label is missing or names another, or that holds several.
 
     With `one`, a text counts as being in the one language that most of its letters are in; with `every`, rightly
-    labelled texts come out too.
+    labelled texts come out too, and what is in none of the known languages as OTHER.
     """
     found = segments(df.select(F.col(id).alias("__id"), F.col(text).alias("__t"), named_language(F.col(label)).alias("__named")), "__t", classifier)
+    found = found if every else found.where(F.col("lang") != OTHER)
     weighed = found.select("__id", "__named", "lang", "confidence", (F.col("end_char") - F.col("start_char")).alias("n"))
     per = weighed.groupBy("__id", "lang").agg(F.first("__named").alias("named"), F.sum("n").alias("n"), (F.sum(F.col("confidence") * F.col("n")) / F.sum("n")).alias("confidence"))
     # a text has few languages, so its list is short whatever its length

@@ -8,7 +8,7 @@ agree in one block; equal windows have equal fingerprints, so none is lost.
 Below similarity 1 no radius is safe, so candidates come from the shingles themselves: windows of a similarity t share
 shingles of at least t / (1 + t) of the weight of both. Document windows whose shingles known to any item weigh less
 than t of the whole are left at once, item windows that share too little after that; both bounds lose no pair.
-Candidates are verified exactly: by the weighted similarity of their word shingles, or for the strict search by the words.
+Candidates are verified exactly by the weighted similarity of their word shingles, and for the strict search by the words.
 
 The item side is a stated query set of bounded size: it is split into parts of at most PART windows, each sent to the
 documents whole; the documents are never shuffled, and nothing of them goes to the driver.
@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.lookalikes import consistent
+from tessera.session import cut
 
 BITS = 64
 #: Item windows sent to the documents at once (about 100 bytes each).
@@ -207,7 +208,7 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
 
     Null texts and ids, and texts of fewer than `size` words, leak nothing; repeated rows count as they are and repeated
     items once; empty tables give no row; only the named columns are read. The items may be many: they are searched part
-    by part, each part against all documents.
+    by part, each part against all documents, and no more than one part of PART windows is held at a time.
     """
     rows = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(item_id, item_text).distinct()
     spark = documents.sparkSession
@@ -232,8 +233,8 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
         for p, w in pairs:
             k, a = int(index.owner[w]), int(index.at[w])
             theirs, ours = index.words[k][a : a + size], flat[p : p + size]
-            s = 1.0 if theirs == ours else shingle_similarity(ours, theirs, shingle) if similarity < 1 else 0.0
-            if s >= similarity:
+            s = shingle_similarity(ours, theirs, shingle)
+            if s >= similarity and (similarity < 1 or theirs == ours):  # the strict search asks for the words themselves, too
                 e = best.setdefault((int(owner[p]), k), [0, 0.0])
                 e[0] += (k, p) not in counted
                 e[1] = max(e[1], s)
@@ -256,12 +257,15 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
 
         return run
 
-    result, part, count = None, [], 0
+    result, part, count, sent = None, [], 0, None
 
     def add(part):
-        nonlocal result
-        shared = spark.sparkContext.broadcast(Shingles(part, size, similarity, shingle) if similarity < 1 else Index(part, size, radius))
-        found = docs.mapInPandas(search(shared), schema)
+        nonlocal result, sent
+        if sent is not None:  # an earlier part is searched for and its windows given up before the next ones are sent out
+            result = cut(result)
+            sent.destroy()
+        sent = spark.sparkContext.broadcast(Shingles(part, size, similarity, shingle) if similarity < 1 else Index(part, size, radius))
+        found = docs.mapInPandas(search(sent), schema)
         result = found if result is None else result.unionByName(found)
 
     for r in rows.orderBy(item_id).toLocalIterator():

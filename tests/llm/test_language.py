@@ -50,3 +50,18 @@ def test_decide():
     assert L.decide([("es", 0.95, 40), ("pt", 0.55, 40)])[1][0] == "es"
     assert L.decide([("en", 0.95, 40), ("pt", 0.75, 40)])[1][0] == "pt"
     assert L.decide([("de", 0.5, 5)]) == [("de", 0.5)] and L.decide([]) == []
+
+
+def test_languages_without_samples_are_told_apart(spark, small):
+    model = L.train(spark.read.parquet(f"{small}/lang_samples.parquet"))
+    unknown = {
+        "el": "Η αντλία νερού χάλασε μετά από χίλια χιλιόμετρα και έπρεπε να αλλαχθεί.", "ar": "المضخة تعطلت بعد ألف كيلومتر", "ko": "워터 펌프가 천 킬로미터 후에 고장났습니다",
+        "uk": "Водяний насос зламався після тисячі кілометрів, і його довелося замінити.", "pl": "Pompa wodna zepsuła się po tysiącu kilometrów i trzeba było ją wymienić.", "he": "משאבת המים התקלקלה אחרי אלף קילומטר",
+    }
+    assert [lang for lang, _ in model.predict(list(unknown.values()))] == [L.OTHER] * len(unknown)
+    wide = "Ａｆｔｅｒ that the ｏｉｌ cooler was fine for 302 days."
+    assert model.predict([wide])[0][0] == "en"
+    df = spark.createDataFrame([(1, f"{wide}\n\n{unknown['el']}", "en"), (2, unknown["ar"], None)], "id int, t string, l string")
+    assert [(r.id, r.lang) for r in L.segments(df, "t", model).orderBy("id", "seg_no").collect()] == [(1, "en"), (1, L.OTHER), (2, L.OTHER)]
+    assert L.wrongly_labelled(df, "id", "t", "l", model).count() == 0
+    assert {(r.id, r.lang) for r in L.wrongly_labelled(df, "id", "t", "l", model, every=True).collect()} == {(1, "en"), (1, L.OTHER), (2, L.OTHER)}
