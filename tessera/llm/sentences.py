@@ -16,10 +16,10 @@ from functools import cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.lookalikes import tables
+from tessera.llm.lookalikes import plain, tables
 
-#: Placeholders: a stop that ends nothing, a closing and an opening quotation mark, the end of a sentence, an invisible character.
-DOT, CLOSE, OPEN, END, GAP = (chr(0xE000 + i) for i in range(5))
+#: Placeholders: a stop that ends nothing, a closing and an opening quotation mark, the end of a sentence, an invisible character, a full stop of a further script.
+DOT, CLOSE, OPEN, END, GAP, STOP = (chr(0xE000 + i) for i in range(6))
 
 #: White space that is left once every kind of blank is one.
 WHITE = " \t\n\r"
@@ -87,18 +87,21 @@ def _marked(text: Column) -> Column:
     """text, position by position, with placeholders, and with END marks inserted."""
     p = _patterns()
     one, drop, _ = tables()
-    same = {c: " " for c in "\u0085\u000b\u000c"} | {c: "\n" for c in "\u2028\u2029"} | {c: "\u00b7" for c in (DOT, CLOSE, OPEN, END, GAP)}
-    same = one | same | dict.fromkeys(drop, GAP)
-    t = F.translate(text, "".join(same), "".join(same.values()))
+    same = {c: " " for c in "\u0085\u000b\u000c"} | {c: "\n" for c in "\u2028\u2029"} | {c: "\u00b7" for c in (DOT, CLOSE, OPEN, END, GAP, STOP)}
+    same = one | same | dict.fromkeys(drop, GAP) | dict.fromkeys(terminators(), STOP)
+    unlike = plain(text) & ~F.contains(text, F.lit("\u000b")) & ~F.contains(text, F.lit("\u000c"))
+    t = F.when(unlike, text).otherwise(F.translate(text, "".join(same), "".join(same.values())))
     # URLs: every stop with something after it (a small letter right after a stop starts no sentence anyway)
     t = _sub(t, r"((?:(?i:\bhttps?://|\bwww(?=\.))|(?!^)\G)[^\s.]*+)\.(?=[\p{L}\p{N}])", "$1" + DOT)
     # decimals, times, versions, thousands
-    t = _sub(t, r"(?<=[0-9])\.(?=[0-9])", DOT)
+    t = _sub(t, r"\.(?<=[0-9]\.)(?=[0-9])", DOT)
     # initials and single-letter abbreviations; a month or day in figures; abbreviations
     t = _sub(t, r"(?<![\p{L}\p{M}\p{N}])(\p{L}\p{M}*)\.(?!" + p["gap"] + r"\.\.)", "$1" + DOT)
     t = _sub(t, r"(?<![\p{L}\p{N}.,])([0-9]{1,2})\.(?=\s+[\p{L}])", "$1" + DOT)
-    t = _sub(t, r"(?<![\p{L}\p{M}])((?iu:" + p["always"] + r"))\.", "$1" + DOT)
-    t = _sub(t, r"(?<![\p{L}\p{M}])((?iu:" + p["number"] + r"))\.(?=\s*[0-9०-९#])", "$1" + DOT)
+    # (only words that a stop follows are compared with the lists)
+    word = r"(?<![\p{L}\p{M}])(?=[^\s.]++\.)"
+    t = _sub(t, word + r"((?iu:" + p["always"] + r"))\.", "$1" + DOT)
+    t = _sub(t, word + r"((?iu:" + p["number"] + r"))\.(?=\s*[0-9०-९#])", "$1" + DOT)
     t = _sub(t, r"(कि" + DOT + r"?\.?मी)\.", "$1" + DOT)
     t = _sub(t, r"(\p{InThai})\.(?=\s*[\p{InThai}0-9])", "$1" + DOT)
     # quotation marks whose shape doesn't tell their side; up to the closing mark, within one paragraph
@@ -107,22 +110,22 @@ def _marked(text: Column) -> Column:
     t = _sub(t, rf'(?<![\p{{L}}\p{{N}}])"(?=[^\s"])({within(chr(34))})(?<=\S)"', OPEN + "$1" + CLOSE)
     # stops inside quotations and brackets, but those right before the closing mark: from an opening mark on, stop by stop
     sides = [OPEN + CLOSE, "“”", "„" + CLOSE, "«»", "「」", "『』", "()"]
-    marks, ends = "".join(dict.fromkeys("".join(sides))), terminators()
+    marks = "".join(dict.fromkeys("".join(sides)))
     begin = "|".join(rf"[{a}](?={within(a + z)}[{z}])" for a, z in sides)
-    t = _sub(t, rf"((?:{begin}|(?!^)\G)[^{marks}.!?。…।{ends}]*+)[.!?。…।{ends}](?=[.!?。…।{ends}]*+\s*+[^{marks}.!?。…।{ends}\s])", "$1" + DOT)
+    t = _sub(t, rf"((?:{begin}|(?!^)\G)[^{marks}.!?。…।{STOP}]*+)[.!?。…।{STOP}](?=[.!?。…।{STOP}]*+\s*+[^{marks}.!?。…।{STOP}\s])", "$1" + DOT)
     closers = rf"(?:[ ]?»|[”』」)’\]'{CLOSE}])*+"
     begins = rf"\p{{Lu}}\p{{Lt}}\p{{Lo}}«“„「『‘¿¡#{OPEN}"
     # a terminator, blanks, and something a sentence can begin with
     t = _sub(t, rf"([.!?…]++{closers})(?=\s++(?:$|[{begins}\p{{N}}(\[|•*<>-]))(?!\s*+(?:{GOES_ON}))", "$1" + END)
     # no blank: after a word, not before a figure that may be the rest of a number
-    t = _sub(t, rf"((?<=[\p{{L}}\p{{M}}\p{{N}})”»\]{CLOSE}])[.!?…]++{closers})(?=[{begins}])(?!{GOES_ON})", "$1" + END)
-    t = _sub(t, rf"((?<=[\p{{L}}\p{{M}})”»\]{CLOSE}])[.!?…]++{closers})(?=[0-9])", "$1" + END)
+    t = _sub(t, rf"((?=[.!?…])(?<=[\p{{L}}\p{{M}}\p{{N}})”»\]{CLOSE}])[.!?…]++{closers})(?=[{begins}])(?!{GOES_ON})", "$1" + END)
+    t = _sub(t, rf"((?=[.!?…])(?<=[\p{{L}}\p{{M}})”»\]{CLOSE}])[.!?…]++{closers})(?=[0-9])", "$1" + END)
     # ideographic full stop and danda
     t = _sub(t, r"([。।॥]++[.!?…]*+" + closers + r")(?!\s*+(?:" + GOES_ON + r"|[\p{Ll}，、,;:；]))", "$1" + END)
     # full stops of further scripts (Arabic, Armenian, Ethiopic, Burmese, Khmer, Tibetan ...)
-    t = _sub(t, rf"([{ends}]++[.!?…]*+{closers})(?!\s*+[\p{{Ll}},;:])", "$1" + END)
+    t = _sub(t, rf"({STOP}++[.!?…]*+{closers})(?!\s*+[\p{{Ll}},;:])", "$1" + END)
     # Thai: a blank between two Thai characters
-    t = _sub(t, r"(?<=\p{InThai})(\s++)(?=\p{InThai})", END + "$1")
+    t = _sub(t, r"((?=\s)(?<=\p{InThai})\s++)(?=\p{InThai})", END + "$1")
     # blank lines, and lines that hold only a code or a log
     t = _sub(t, r"(\r?\n[ \t\r]*+\n)", END + "$1")
     code = r"(?:#[ ]?[\p{Lu}\p{N}]\S*|(?:[Rr]ef|[Rr]e)[.:]?[ ][\p{Lu}\p{N}]{4,}\S*|(?=\S*[0-9])[\x21-\x7e]{20,})"
