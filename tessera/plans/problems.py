@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.intervals import sweep, year_spans
+from tessera.plans.registry import islands_sql, spans_sql
 from tessera.session import once, read
 
 
@@ -19,23 +20,9 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {"p6_found": p6_found}
 
-# another road to the same spans: parts between separators, their numbers, then the words around a lone number
 ORACLE = {
-    "p6_found": r"""
-WITH raw AS (
-  SELECT DISTINCT ctx_id::VARCHAR AS k, issue_id, years AS t FROM engine_year_context
-  UNION ALL SELECT DISTINCT 'i', issue_id, affected_years FROM issues),
-part AS (SELECT issue_id, trim(unnest(regexp_split_to_array(lower(t), '[;,&]'))) AS p FROM raw WHERE t IS NOT NULL),
-num AS (SELECT issue_id, p, [CASE WHEN length(x) = 2 THEN 2000 + x::INT ELSE x::INT END FOR x IN regexp_extract_all(p, '[0-9]{4}|[0-9]{2}')] AS ys FROM part),
-span AS (
-  SELECT issue_id,
-    CASE WHEN len(ys) > 1 THEN list_min(ys) WHEN regexp_matches(p, '^(before|pre|up to|until|-)') THEN 2000 WHEN regexp_matches(p, '^post') THEN ys[1] + 1 ELSE ys[1] END AS lo,
-    CASE WHEN len(ys) > 1 THEN list_max(ys) WHEN regexp_matches(p, '^(before|pre)') THEN ys[1] - 1
-      WHEN regexp_matches(p, '^(post|since|from)|[0-9](-|\+| ?-? ?present| onwards)$') THEN 2024 ELSE ys[1] END AS hi
-  FROM num WHERE len(ys) > 0),
-yr AS (SELECT DISTINCT issue_id, unnest(range(lo, hi + 1)) AS y FROM span WHERE lo <= hi),
-isl AS (SELECT issue_id, min(y) AS lo, max(y) AS hi FROM (SELECT *, y - row_number() OVER (PARTITION BY issue_id ORDER BY y) AS g FROM yr) GROUP BY issue_id, g),
-nxt AS (SELECT *, lead(lo) OVER (PARTITION BY issue_id ORDER BY lo) AS n FROM isl)
+    "p6_found": "WITH " + spans_sql("SELECT k, t FROM (SELECT DISTINCT ctx_id::VARCHAR AS c, issue_id AS k, years AS t FROM engine_year_context UNION ALL SELECT DISTINCT 'i', issue_id, affected_years FROM issues)") + ", " + islands_sql("span") + r""",
+nxt AS (SELECT k AS issue_id, lo, hi, lead(lo) OVER (PARTITION BY k ORDER BY lo) AS n FROM isl)
 SELECT issue_id, 'period' AS kind, lo::INT AS year_lo, hi::INT AS year_hi FROM nxt
 UNION ALL SELECT issue_id, 'gap', (hi + 1)::INT, (n - 1)::INT FROM nxt WHERE n IS NOT NULL
 """

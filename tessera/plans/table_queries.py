@@ -12,7 +12,7 @@ from tessera.operators import aggregates as A
 from tessera.operators import dedupe, gates, joins, ranking, topics, vectors
 from tessera.operators import windows as W
 from tessera.operators.intervals import year_spans
-from tessera.plans.registry import Registry
+from tessera.plans.registry import Registry, islands_sql, spans_sql
 from tessera.session import once, once_known, read
 
 query = Registry()
@@ -363,18 +363,28 @@ def issue_sort(spark, d):
 # -- years
 
 
-def _spans(spark, d):
-    return issues(spark, d, "affected_years").select("issue_id", S.union(year_spans(F.col("affected_years"))).alias("spans")).where("size(spans) > 0")
+_JSON = "'[' || coalesce(string_agg('{\"lo\":' || lo || ',\"hi\":' || hi || '}', ',' ORDER BY lo, hi), '') || ']'"
 
 
-@query()
+@query(
+    f"WITH {ISSUES}, " + spans_sql("SELECT issue_id AS k, affected_years AS t FROM iss") + ", " + islands_sql("span")
+    + ", win(a, z) AS (VALUES (2005, 2012), (2016, 2019)), cut AS (SELECT k, greatest(lo, a) AS lo, least(hi, z) AS hi FROM isl, win WHERE greatest(lo, a) <= least(hi, z)), " + islands_sql("cut", "ins")
+    + f", i AS (SELECT k, {_JSON} AS inside FROM ins GROUP BY k), c AS (SELECT k, {_JSON} AS clamped FROM (SELECT k, greatest(lo, 2008) AS lo, least(hi, 2018) AS hi FROM isl) WHERE lo <= hi GROUP BY k), l AS (SELECT k, CASE WHEN min(lo) = max(hi) THEN min(lo)::VARCHAR ELSE min(lo) || '-' || max(hi) END AS label FROM isl GROUP BY k) SELECT issue_id, l.label, coalesce(inside, '[]') AS inside, coalesce(clamped, '[]') AS clamped FROM iss LEFT JOIN l ON l.k = issue_id LEFT JOIN i ON i.k = issue_id LEFT JOIN c ON c.k = issue_id"
+)
 def year_span_algebra(spark, d):
-    """Union, intersection with a window, clamp and label of each issue's spans (checked against brute force in the tests)."""
+    """Union, intersection with a window, clamp and label of each issue's spans."""
     window = F.array(S.span(F.lit(2005), F.lit(2012)), S.span(F.lit(2016), F.lit(2019)))
-    return _spans(spark, d).select("issue_id", S.label(F.col("spans")).alias("label"), F.to_json(S.intersect(F.col("spans"), window)).alias("inside"), F.to_json(S.clamp(F.col("spans"), F.lit(2008), F.lit(2018))).alias("clamped"))
+    i = issues(spark, d, "affected_years").select("issue_id", S.union(year_spans(F.col("affected_years"))).alias("spans"))
+    return i.select("issue_id", F.nullif(S.label(F.col("spans")), F.lit("")).alias("label"), F.to_json(S.intersect(F.col("spans"), window)).alias("inside"), F.to_json(S.clamp(F.col("spans"), F.lit(2008), F.lit(2018))).alias("clamped"))
 
 
-@query()
+@query(
+    f"WITH {ISSUES}, " + spans_sql("SELECT 'o' || issue_id AS k, affected_years AS t FROM iss UNION ALL SELECT k, t FROM (SELECT DISTINCT ctx_id, 'c' || issue_id AS k, years AS t FROM engine_year_context WHERE issue_id IS NOT NULL)")
+    + ", base AS (SELECT issue_id AS k, lo, hi FROM iss JOIN span ON span.k = 'o' || issue_id UNION ALL SELECT issue_id, lo, hi FROM iss JOIN span ON span.k = 'c' || issue_id WHERE 'o' || issue_id NOT IN (SELECT k FROM span)), " + islands_sql("base", "bas")
+    + ", win AS (SELECT DISTINCT issue_id AS k, year_lo AS a, year_hi AS z FROM (SELECT issue_id, unnest(affected_engines) AS engine_code FROM iss) JOIN engines USING (engine_code)), cut AS (SELECT b.k, greatest(lo, a) AS lo, least(hi, z) AS hi FROM base b JOIN win w ON w.k = b.k WHERE greatest(lo, a) <= least(hi, z)), "
+    + islands_sql("cut", "ins")
+    + ", inside AS (SELECT * FROM ins UNION ALL SELECT * FROM bas WHERE k NOT IN (SELECT k FROM win)), lab AS (SELECT k, CASE WHEN min(lo) = max(hi) THEN min(lo)::VARCHAR ELSE min(lo) || '-' || max(hi) END AS years FROM inside GROUP BY k), con AS (SELECT k, CASE WHEN min(lo) = max(hi) THEN min(lo)::VARCHAR ELSE min(lo) || '-' || max(hi) END AS years FROM bas WHERE k NOT IN (SELECT k FROM inside) GROUP BY k) SELECT issue_id, coalesce(lab.years, con.years) AS years, CASE WHEN con.k IS NOT NULL THEN 'conflict' WHEN lab.k IS NULL THEN 'none' WHEN 'o' || issue_id IN (SELECT k FROM span) THEN 'medium' ELSE 'low' END AS confidence FROM iss LEFT JOIN lab ON lab.k = issue_id LEFT JOIN con ON con.k = issue_id"
+)
 def year_triangulation(spark, d):
     """Spans and confidence from an issue's own phrase, its engines' contexts and its engines' production window."""
     own = issues(spark, d, "affected_years", "affected_engines").select("issue_id", year_spans(F.col("affected_years")).alias("own"), "affected_engines")
@@ -384,7 +394,7 @@ def year_triangulation(spark, d):
     window = own.select("issue_id", F.explode("affected_engines").alias("engine")).join(engines, "engine").groupBy("issue_id").agg(F.collect_set(S.span(F.col("year_lo"), F.col("year_hi"))).alias("window"))
     some = lambda c: F.coalesce(c, F.array().cast(S.SPANS))
     r = own.join(context, "issue_id", "left").join(window, "issue_id", "left").withColumn("t", ranking.triangulated(some("own"), some("context"), F.array().cast(S.SPANS), some("window")))
-    return r.select("issue_id", S.label(F.col("t.spans")).alias("years"), F.col("t.confidence").alias("confidence"))
+    return r.select("issue_id", F.nullif(S.label(F.col("t.spans")), F.lit("")).alias("years"), F.col("t.confidence").alias("confidence"))
 
 
 @query("SELECT make, min(year_lo) AS lo, max(year_hi) AS hi, count(*) AS n FROM engines GROUP BY 1")
@@ -499,13 +509,8 @@ def json_props(spark, d):
     return read(spark, d, "events", "event_id", "props").select("event_id", N.json_object(F.col("props"), "k int")["k"].alias("k"))
 
 
-@query("SELECT vec_id, '[' || list_aggregate([printf('%.4f', x::DOUBLE) FOR x IN embedding[1:4]], 'string_agg', ', ') || ']' AS text FROM embeddings")
-def vector_text(spark, d):
-    return read(spark, d, "embeddings", "vec_id", "embedding").select("vec_id", N.vector_text(F.slice("embedding", 1, 4), 4).alias("text"))
-
-
 @query("SELECT vec_id, '[' || list_aggregate([printf('%.4f', x::DOUBLE) FOR x IN embedding], 'string_agg', ', ') || ']' AS text FROM embeddings")
-def vector_text_whole(spark, d):
+def vector_text(spark, d):
     return read(spark, d, "embeddings", "vec_id", "embedding").select("vec_id", N.vector_text(F.col("embedding"), 4).alias("text"))
 
 
@@ -549,18 +554,12 @@ def normal_issue_records(spark, d):
 
 
 @query(
-    "WITH c AS (SELECT DISTINCT ctx_id, issue_id, trim(engine) AS engine, years, evidence_hits FROM engine_year_context WHERE regexp_full_match(years, '20[0-9]{2}-20[0-9]{2}') AND trim(engine) <> ''), y AS (SELECT issue_id, engine, unnest(range(least(years[1:4]::INT, years[6:9]::INT), greatest(years[1:4]::INT, years[6:9]::INT) + 1)) AS y FROM c), h AS (SELECT issue_id, engine, sum(evidence_hits)::BIGINT AS hits FROM c GROUP BY 1, 2) SELECT issue_id, engine, min(y)::INT AS year_lo, max(y)::INT AS year_hi, count(DISTINCT y) AS years, any_value(hits) AS hits FROM y JOIN h USING (issue_id, engine) GROUP BY 1, 2"
+    "WITH c AS (SELECT DISTINCT ctx_id, issue_id, trim(engine, ' ') AS engine, years, evidence_hits FROM engine_year_context WHERE issue_id IS NOT NULL AND trim(engine, ' ') <> ''), "
+    + spans_sql("SELECT ctx_id AS k, years AS t FROM c")
+    + ", y AS (SELECT issue_id, engine, y FROM c JOIN (SELECT k, unnest(range(greatest(lo, 1990), least(hi, 2030) + 1)) AS y FROM span) ON k = ctx_id), p AS (SELECT issue_id, engine, min(y)::INT AS year_lo, max(y)::INT AS year_hi, count(DISTINCT y) AS years FROM y GROUP BY 1, 2), h AS (SELECT issue_id, engine, sum(evidence_hits)::BIGINT AS hits FROM c GROUP BY 1, 2) SELECT issue_id, engine, year_lo, year_hi, coalesce(years, 0) AS years, hits FROM h LEFT JOIN p USING (issue_id, engine)"
 )
 def year_context_merge(spark, d):
-    from tessera.operators.records import year_context
-
-    c = once(read(spark, d, "engine_year_context", "ctx_id", "issue_id", "engine", "years", "evidence_hits"), "ctx_id").where(F.col("years").rlike("^20[0-9]{2}-20[0-9]{2}$") & (F.trim("engine") != "")).withColumn("engine", F.trim("engine"))
-    return year_context(c, ["issue_id", "engine"], year_spans(F.col("years")), "evidence_hits")
-
-
-@query()
-def year_context_whole(spark, d):
-    """year_context_merge over every context that names an engine, whatever form its years are written in."""
+    """Every context that names an engine, whatever form its years are written in."""
     from tessera.operators.records import year_context
 
     c = once(read(spark, d, "engine_year_context", "ctx_id", "issue_id", "engine", "years", "evidence_hits"), "ctx_id").where("issue_id is not null and trim(engine) <> ''").withColumn("engine", F.trim("engine"))
@@ -575,20 +574,11 @@ def engine_window_lookup(spark, d):
 
 
 @query(
-    f"WITH {ISSUES}, e AS (SELECT issue_id, affected_years[1:4]::INT AS lo, affected_years[6:9]::INT AS hi, unnest(affected_engines) AS engine_code FROM iss WHERE regexp_full_match(affected_years, '20[0-9]{{2}}-20[0-9]{{2}}')), f AS (SELECT issue_id, engine_code, year_lo IS NULL OR (year_lo <= greatest(lo, hi) AND least(lo, hi) <= year_hi) AS ok FROM e LEFT JOIN engines USING (engine_code) WHERE engine_code IS NOT NULL), g AS (SELECT issue_id, list_sort(list(DISTINCT engine_code) FILTER (ok)) AS fit, list_sort(list(DISTINCT engine_code)) AS every FROM f GROUP BY 1) SELECT issue_id, CASE WHEN len(fit) > 0 THEN fit ELSE every END AS engines, CASE WHEN len(fit) > 0 THEN len(every) - len(fit) ELSE 0 END AS dropped FROM g"
+    f"WITH {ISSUES}, " + spans_sql("SELECT issue_id AS k, affected_years AS t FROM iss")
+    + ", e AS (SELECT issue_id, unnest(affected_engines) AS engine_code FROM iss), f AS (SELECT issue_id, engine_code, year_lo IS NULL OR issue_id NOT IN (SELECT k FROM span) OR EXISTS (SELECT 1 FROM span WHERE k = issue_id AND year_lo <= hi AND lo <= year_hi) AS ok FROM e LEFT JOIN engines USING (engine_code)), g AS (SELECT issue_id, list_sort(list(DISTINCT engine_code) FILTER (ok AND engine_code IS NOT NULL)) AS fit, list_sort(list(DISTINCT engine_code) FILTER (engine_code IS NOT NULL)) AS every FROM f GROUP BY 1) SELECT issue_id, CASE WHEN len(fit) > 0 THEN fit ELSE coalesce(every, []) END AS engines, CASE WHEN len(fit) > 0 THEN len(every) - len(fit) ELSE 0 END AS dropped FROM g"
 )
 def engine_year_validation(spark, d):
-    from tessera.operators.records import engines_in_window
-
-    i = issues(spark, d, "affected_years", "affected_engines").where(F.col("affected_years").rlike("^20[0-9]{2}-20[0-9]{2}$")).withColumn("s", year_spans(F.col("affected_years"))[0])
-    i = i.select("issue_id", F.col("affected_engines").alias("engines"), F.col("s.lo").alias("lo"), F.col("s.hi").alias("hi"))
-    r = engines_in_window(i, "issue_id", "engines", "lo", "hi", read(spark, d, "engines"), "engine_code", "year_lo", "year_hi")
-    return r.select("issue_id", "engines", F.size("dropped").cast("bigint").alias("dropped"))
-
-
-@query()
-def engine_year_validation_whole(spark, d):
-    """engine_year_validation over every issue that names an engine, against all spans of its years; without a readable year every engine stays."""
+    """Every issue that names an engine, against all spans of its years; without a readable year every engine stays."""
     from tessera.operators.records import engines_in_spans
 
     i = issues(spark, d, "affected_years", "affected_engines").select("issue_id", F.col("affected_engines").alias("engines"), year_spans(F.col("affected_years")).alias("spans"))

@@ -141,11 +141,9 @@ def group_mapping(spark, d):
 # -- strings
 
 
-@query(f"WITH {COMPLAINTS} SELECT complaint_id, trim(regexp_replace(description, '[ \\n\\t]+', ' ', 'g')) AS squeezed, CASE WHEN length(description) > 40 THEN regexp_replace(description, '[\\r\\n]+', ' ', 'g')[1:40] || '...' ELSE regexp_replace(description, '[\\r\\n]+', ' ', 'g') END AS snippet FROM cmp WHERE length(regexp_replace(description, '[\\r\\n]+', ' ', 'g')) > 40 OR length(description) <= 40")
+@query(f"WITH {COMPLAINTS} SELECT complaint_id, trim(regexp_replace(description, '[ \\n\\t]+', ' ', 'g')) AS squeezed, CASE WHEN length(line) > 40 THEN line[1:40] || '...' ELSE line END AS snippet FROM (SELECT *, regexp_replace(description, '[\\r\\n]+', ' ', 'g') AS line FROM cmp)")
 def squeezed_text(spark, d):
-    t = complaints(spark, d, "description")
-    one_line = F.length(F.regexp_replace("description", r"[\r\n]+", " "))
-    return t.where((one_line > 40) | (F.length("description") <= 40)).select("complaint_id", X.squeeze(F.col("description")).alias("squeezed"), X.snippet(F.col("description"), 40).alias("snippet"))
+    return complaints(spark, d, "description").select("complaint_id", X.squeeze(F.col("description")).alias("squeezed"), X.snippet(F.col("description"), 40).alias("snippet"))
 
 
 @query(f"WITH {LISTINGS} SELECT listing_id, lower(translate(raw_text, 'çğıöşüâîûÇĞİIÖŞÜ', 'cgiosuaiucgiiosu')) AS ascii FROM lst")
@@ -153,10 +151,9 @@ def transliterated(spark, d):
     return listings(spark, d, "raw_text").select("listing_id", X.transliterate(F.col("raw_text")).alias("ascii"))
 
 
-@query(f"WITH {LISTINGS} SELECT listing_id, CASE WHEN len(coalesce(transmissions, [])) > 0 THEN '|' || array_to_string(transmissions, '|') || '|' ELSE '' END AS tags FROM lst WHERE NOT list_contains(coalesce(list_transform(transmissions, lambda x: x IS NULL), []), true)")
+@query(f"WITH {LISTINGS} SELECT listing_id, CASE WHEN len(coalesce(transmissions, [])) > 0 THEN '|' || coalesce(array_to_string(transmissions, '|'), '') || '|' ELSE '' END AS tags FROM lst")
 def tag_codec(spark, d):
-    l = listings(spark, d, "transmissions").where(~F.coalesce(F.exists("transmissions", lambda x: x.isNull()), F.lit(False)))
-    return l.select("listing_id", X.join_tags(F.col("transmissions")).alias("tags"))
+    return listings(spark, d, "transmissions").select("listing_id", X.join_tags(F.col("transmissions")).alias("tags"))
 
 
 @query("SELECT engine_code, make || ' ' || replace(engine_code, '_', ' ') || ' problems after ' || year_lo AS probe FROM engines")
@@ -181,14 +178,8 @@ def listing_numbers(spark, d):
     return listings(spark, d, "raw_text").select("listing_id", D.years(t, 2000, 2029).alias("years"), D.listing_basics(t)["km"].alias("km"))
 
 
-@query(f"WITH {COMPLAINTS} SELECT complaint_id, TRY_CAST(nullif(regexp_replace(date_filed, '[^0-9]', '', 'g'), '') AS BIGINT) AS digits, CASE WHEN CAST(y AS INT) BETWEEN 1996 AND 2026 THEN CAST(y AS INT) END AS year FROM (SELECT *, nullif(regexp_extract(date_filed, '((?:19|20)[0-9][0-9])(?:$|-|[^0-9])', 1), '') AS y FROM cmp WHERE date_filed NOT SIMILAR TO '[0-9]{{8}}')")
-def filed_dates(spark, d):
-    t = F.col("date_filed")
-    return complaints(spark, d, "date_filed").where(~t.rlike("^[0-9]{8}$")).select("complaint_id", D.digits_only(t).alias("digits"), D.first_year(t).alias("year"))
-
-
 @query(f"WITH {COMPLAINTS}, t AS (SELECT complaint_id, date_filed, CASE WHEN regexp_full_match(date_filed, '[0-9]{{8}}') THEN CASE WHEN date_filed[5:6]::INT BETWEEN 1 AND 12 AND date_filed[7:8]::INT BETWEEN 1 AND 31 THEN date_filed[1:4]::INT END ELSE TRY_CAST(nullif(regexp_extract(date_filed, '(?:^|[^0-9])((?:19|20)[0-9][0-9])(?:$|[^0-9])', 1), '') AS INT) END AS y FROM cmp) SELECT complaint_id, TRY_CAST(nullif(regexp_replace(date_filed, '[^0-9]', '', 'g'), '') AS BIGINT) AS digits, CASE WHEN y BETWEEN 1996 AND 2026 THEN y END AS year FROM t")
-def filed_dates_whole(spark, d):
+def filed_dates(spark, d):
     t = F.col("date_filed")
     return complaints(spark, d, "date_filed").select("complaint_id", D.digits_only(t).alias("digits"), D.first_year(t).alias("year"))
 

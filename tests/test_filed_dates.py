@@ -11,7 +11,7 @@ def test_years_of_every_format(spark):
 
 
 def test_filed_dates_keep_every_complaint(spark, small):
-    whole = T.filed_dates_whole(spark, small)
+    whole = T.filed_dates(spark, small)
     assert whole.count() == T.complaints(spark, small).select("complaint_id").distinct().count()
     packed = T.complaints(spark, small, "date_filed").where(F.col("date_filed").rlike("^[0-9]{8}$")).join(whole, "complaint_id").collect()
     assert packed and all(r.digits == int(r.date_filed) and r.year == int(r.date_filed[:4]) for r in packed)

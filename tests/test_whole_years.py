@@ -32,7 +32,7 @@ def test_every_notation_against_brute_force(spark, tmp_path):
             e = want.setdefault((issue, engine.strip()), [set(), 0])
             e[0] |= {y for lo, hi in SPANS.get(text, []) for y in range(lo, hi + 1) if 1990 <= y <= 2030}
             e[1] += hits
-    got = {(r.issue_id, r.engine): (r.year_lo, r.year_hi, r.years, r.hits) for r in T.year_context_whole(spark, str(tmp_path)).collect()}
+    got = {(r.issue_id, r.engine): (r.year_lo, r.year_hi, r.years, r.hits) for r in T.year_context_merge(spark, str(tmp_path)).collect()}
     assert got == {k: (min(y, default=None), max(y, default=None), len(y), h) for k, (y, h) in want.items()}
 
     want = {}
@@ -40,8 +40,8 @@ def test_every_notation_against_brute_force(spark, tmp_path):
         fits = [c for c in codes or [] if ENGINES.get(c, (None,))[0] is None or not SPANS[text] or any(ENGINES[c][0] <= hi and lo <= ENGINES[c][1] for lo, hi in SPANS[text])]
         if codes:
             want[issue] = (sorted(fits or codes), len(codes) - len(fits) if fits else 0)
-    assert {r.issue_id: (r.engines, r.dropped) for r in T.engine_year_validation_whole(spark, str(tmp_path)).collect()} == want
+    assert {r.issue_id: (r.engines, r.dropped) for r in T.engine_year_validation(spark, str(tmp_path)).collect()} == want
 
 
 def test_whole_vectors(spark, small):
-    assert {len(r.text.split(",")) for r in T.vector_text_whole(spark, small).collect()} == {64}
+    assert {len(r.text.split(",")) for r in T.vector_text(spark, small).collect()} == {64}
