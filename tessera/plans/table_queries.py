@@ -492,7 +492,11 @@ def confirmed_issues(spark, d):
     return i.where(ranking.confirmed(F.col("distinct_channel_count"), F.col("confidence"), F.col("data_quality"), F.contains(F.coalesce("symptom", F.lit("")), F.lit("smoke")))).select("issue_id")
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {ISSUES}, b AS (SELECT issue_id AS id, system_component AS k, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(label), '[^\\p{{L}}\\p{{N}}]+'), lambda w: length(w) >= 2 AND w NOT IN ('the', 'of')))) AS w FROM iss), "
+    "e AS (SELECT x.id AS a, y.id AS b FROM b x JOIN b y ON x.k IS NOT DISTINCT FROM y.k AND x.id <> y.id WHERE len(x.w) > 0 AND len(y.w) > 0 AND (x.w = y.w OR (x.k = y.k AND len(list_intersect(x.w, y.w)) >= 2 AND (len(list_intersect(x.w, y.w)) = least(len(x.w), len(y.w)) OR len(list_intersect(x.w, y.w)) >= 0.55 * (len(x.w) + len(y.w) - len(list_intersect(x.w, y.w))))))), "
+    "r(id, other) AS (SELECT id, id FROM b UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.other) SELECT id, min(other) AS cluster FROM r GROUP BY 1"
+)
 def duplicate_clusters(spark, d):
     """Issues whose labels' token bags are alike within one component, clustered (checked against brute force in the tests)."""
     from tessera.functions.text import semantic_tokens
@@ -598,7 +602,11 @@ def dominant_evidence_class(spark, d):
     return c.groupBy("issue_id").agg(F.sum("c").alias("n"), F.when(F.max("c") / F.sum("c") > 0.5, F.max_by("t", F.struct("c", "t"))).otherwise("mixed").alias("dominant"))
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {VIDEOS}, t AS (SELECT video_id, channel AS scope, unnest(matched_queries) AS entity, unnest(range(len(matched_queries))) AS pos FROM vid), r AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY pos || '|' || video_id) AS i FROM t), "
+    "w AS (SELECT scope, entity, video_id, i, true AS kept, [video_id] AS taken, [entity] AS used FROM r WHERE i = 1 UNION ALL SELECT scope, entity, video_id, i, kept, CASE WHEN kept THEN list_append(taken, video_id) ELSE taken END, CASE WHEN kept THEN list_append(used, entity) ELSE used END FROM (SELECT r.*, w.taken, w.used, NOT list_contains(w.taken, r.video_id) AND len(list_filter(w.used, lambda x: x IS NOT DISTINCT FROM r.entity)) < 3 AS kept FROM w JOIN r ON r.scope IS NOT DISTINCT FROM w.scope AND r.i = w.i + 1)) "
+    "SELECT scope, entity, video_id FROM w WHERE kept"
+)
 def entity_cap(spark, d):
     """At most three new videos a channel and query, first come first served (a refused video may go to a later query)."""
     v = videos(spark, d, "matched_queries", "channel").select("video_id", F.col("channel").alias("scope"), F.posexplode("matched_queries").alias("pos", "entity"))

@@ -308,34 +308,57 @@ def neighbour_years(spark, d):
     return W.neighbourhood(s, ["video_id"], "start", "ys", 2, 2, "years").select("video_id", "start", "years")
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {SEGMENTS}, n AS (SELECT video_id, start AS s, start + coalesce(duration, 0) AS e, row_number() OVER (PARTITION BY video_id ORDER BY start) AS i, count(*) OVER (PARTITION BY video_id) AS n FROM seg1 WHERE start IS NOT NULL), "
+    "j AS (SELECT a.video_id, a.i, a.s, min(b.i) AS j FROM n a JOIN n b ON a.video_id = b.video_id AND b.i >= a.i LEFT JOIN n c ON c.video_id = b.video_id AND c.i = b.i + 1 WHERE NOT coalesce(b.e - a.s < 35 AND c.e - a.s <= 45, false) GROUP BY 1, 2, 3), "
+    "k AS (SELECT j.video_id, j.i, j.s, b.e, j.j, b.n, greatest(j.i + 1, least(j.j + 1, (SELECT min(x.i) FROM n x WHERE x.video_id = j.video_id AND x.s >= b.e - 10 AND x.i > j.i))) AS k FROM j JOIN n b ON b.video_id = j.video_id AND b.i = j.j), "
+    "w AS (SELECT video_id, 0 AS chunk_no, i, s, e, j, n, k FROM k WHERE i = 1 UNION ALL SELECT k.video_id, w.chunk_no + 1, k.i, k.s, k.e, k.j, k.n, k.k FROM w JOIN k ON k.video_id = w.video_id AND k.i = w.k WHERE w.j < w.n) "
+    'SELECT video_id, chunk_no::INT AS chunk_no, s AS start, e AS "end" FROM w'
+)
 def overlap_chunks(spark, d):
     """Chunks of 35 to 45 seconds that overlap by 10 (each start depends on the chunk before)."""
     return W.duration_windows(segments(spark, d), "video_id").select("video_id", "chunk_no", "start", "end")
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {SEGMENTS}, q AS (SELECT video_id, start, (CASE WHEN text IS NULL THEN NULL WHEN trim(text, ' ') = '' THEN 0 ELSE len(regexp_split_to_array(trim(text, ' '), '\\s+')) END)::INT AS words, len(regexp_extract_all(lower(text), '{SIGNAL}'))::DOUBLE AS score FROM seg1), r AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY score DESC, start) AS i FROM q WHERE score > 0), "
+    "w AS (SELECT video_id, start, words, score, i, words <= 60 AS kept, CASE WHEN words <= 60 THEN 60 - words ELSE 60 END AS room FROM r WHERE i = 1 UNION ALL SELECT r.video_id, r.start, r.words, r.score, r.i, r.words <= w.room, CASE WHEN r.words <= w.room THEN w.room - r.words ELSE w.room END FROM w JOIN r ON r.video_id = w.video_id AND r.i = w.i + 1) "
+    "SELECT video_id, start, words, score FROM w WHERE kept"
+)
 def budget_sentences(spark, d):
     """Segments of most signal within 60 words a video."""
     s = segments(spark, d).select("video_id", "start", X.word_count(F.col("text")).alias("words"), X.occurrences(F.lower("text"), SIGNAL).cast("double").alias("score"))
     return W.greedy_budget(s, "video_id", "score", "words", "start", 60)
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {SEGMENTS}, r AS (SELECT video_id, start, (CASE WHEN text IS NULL THEN NULL WHEN trim(text, ' ') = '' THEN 0 ELSE len(regexp_split_to_array(trim(text, ' '), '\\s+')) END)::INT AS words, row_number() OVER (PARTITION BY video_id ORDER BY start) AS i FROM seg1), "
+    "w AS (SELECT video_id, start, words, i, 0 AS batch, words AS total FROM r WHERE i = 1 UNION ALL SELECT r.video_id, r.start, r.words, r.i, CASE WHEN w.total > 0 AND w.total + r.words > 40 THEN w.batch + 1 ELSE w.batch END, CASE WHEN w.total > 0 AND w.total + r.words > 40 THEN r.words ELSE w.total + r.words END FROM w JOIN r ON r.video_id = w.video_id AND r.i = w.i + 1) "
+    "SELECT video_id, start, words, batch FROM w"
+)
 def greedy_batches(spark, d):
     """Batches of consecutive segments of at most 40 words."""
     s = segments(spark, d).select("video_id", "start", X.word_count(F.col("text")).alias("words"))
     return W.greedy_batches(s, "video_id", "words", "start", 40)
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {SEGMENTS}, r AS (SELECT video_id, start, start + duration AS e, duration AS score, row_number() OVER (PARTITION BY video_id ORDER BY duration DESC, start) AS i FROM seg1 WHERE duration IS NOT NULL), "
+    "w AS (SELECT video_id, start, e, score, i, true AS kept, [{'a': start, 'z': e}] AS done FROM r WHERE i = 1 UNION ALL SELECT video_id, start, e, score, i, kept, CASE WHEN kept THEN list_append(done, {'a': start, 'z': e}) ELSE done END FROM (SELECT r.*, w.done, len(list_filter(w.done, lambda d: r.start - 5 < d.z AND d.a < r.e + 5)) = 0 AS kept FROM w JOIN r ON r.video_id = w.video_id AND r.i = w.i + 1)) "
+    'SELECT video_id, start, e AS "end", score FROM w WHERE kept'
+)
 def interval_dedupe(spark, d):
     """Longest segments first, those within five seconds of a kept one left out."""
     s = segments(spark, d).where("duration is not null").select("video_id", "start", (F.col("start") + F.col("duration")).alias("end"), F.col("duration").alias("score"))
     return W.interval_dedupe(s, "video_id", "start", "end", "score", 5.0)
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {ISSUES}, t AS (SELECT issue_id, coalesce(system_component, 'none') AS component, list_distinct(list_filter(regexp_split_to_array(trim(regexp_replace(regexp_replace(lower(label), '[^\\p{{L}}\\s-]', ' ', 'g'), '(^|\\s)-+(\\s|$)', ' ', 'g')), '\\s+'), lambda x: x <> '')) AS s FROM iss), r AS (SELECT *, row_number() OVER (PARTITION BY component ORDER BY issue_id) AS i FROM t), "
+    "w AS (SELECT component, issue_id, i, issue_id AS kept_id, [{'id': issue_id, 's': coalesce(s, [])}] AS kept FROM r WHERE i = 1 UNION ALL SELECT component, issue_id, i, coalesce(hit, issue_id), CASE WHEN hit IS NULL THEN list_append(kept, {'id': issue_id, 's': s}) ELSE list_transform(kept, lambda k: {'id': k.id, 's': CASE WHEN k.id = hit THEN list_distinct(list_concat(k.s, s)) ELSE k.s END}) END "
+    "FROM (SELECT r.component, r.issue_id, r.i, coalesce(r.s, []) AS s, w.kept, list_filter(w.kept, lambda k: len(coalesce(r.s, [])) > 0 AND len(list_intersect(k.s, r.s)) >= 0.45 * (len(k.s) + len(r.s) - len(list_intersect(k.s, r.s))))[1].id AS hit FROM w JOIN r ON r.component = w.component AND r.i = w.i + 1)) "
+    "SELECT component, issue_id, kept_id FROM w"
+)
 def signature_dedupe(spark, d):
     """Issues of one component whose label words are alike, first come first kept."""
     i = issues(spark, d, "label", "system_component").select("issue_id", F.coalesce("system_component", F.lit("none")).alias("component"), X.tokens(F.col("label")).alias("tokens"))
