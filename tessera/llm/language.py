@@ -57,6 +57,7 @@ NAMES = {
 MISSING = ("", "und", "unknown", "null", "none", "n/a")
 
 _CODE = re.compile(r"^\s*(?:#\s?[A-Z0-9]+|(?:re|ref)[.:]?\s*[A-Z0-9]{4,}|\S*\d\S{19,}|\S{40,})[.!?…]*\s*$", re.I)
+_FIGURES, _SIGNS = re.compile(r"[a-z0-9.,:/-]*\d[a-z0-9.,:/-]*"), re.compile(r"[#<>\[\](){}*♪|=/\\@_]+")
 _ASCII_CODE = re.compile(r"^[\x21-\x7e]*$")
 
 
@@ -70,8 +71,7 @@ def named_language(label: Column) -> Column:
 
 def without_noise(text: str) -> str:
     """What tells the language: letters, one kind of digit, one kind of blank; codes and figures are left out."""
-    t = re.sub(r"[a-z0-9.,:/-]*\d[a-z0-9.,:/-]*", " 0 ", text)
-    return " " + re.sub(r"[\s_]+", " ", re.sub(r"[#<>\[\](){}*♪|=/\\@]+", " ", t)).strip() + " "
+    return " " + " ".join(_SIGNS.sub(" ", _FIGURES.sub(" 0 ", text)).split()) + " "
 
 
 def is_code(sentence: str) -> bool:
@@ -80,7 +80,7 @@ def is_code(sentence: str) -> bool:
 
 
 def letters(text: str) -> int:
-    return sum(c.isalpha() for c in text)
+    return sum(map(str.isalpha, text))
 
 
 class Ngrams:
@@ -91,7 +91,8 @@ class Ngrams:
         chars = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
         row = np.repeat(np.arange(len(texts)), sizes)
-        rows, slots = [], []
+        #: Of each order, the row and the slot of every n-gram, row by row.
+        self.orders: list[tuple[np.ndarray, np.ndarray]] = []
         h = np.zeros(len(chars), dtype=np.uint64)
         for n in range(1, max(ORDERS) + 1):
             if len(chars) < n:
@@ -100,20 +101,28 @@ class Ngrams:
             if n in ORDERS:
                 same = row[: len(h)] == row[n - 1 :]
                 mixed = h[same] * np.uint64(0x9E3779B97F4A7C15)
-                slots.append((mixed >> np.uint64(40)).astype(np.int64) % DIMENSIONS)
-                rows.append(row[: len(h)][same])
+                self.orders.append((row[: len(h)][same], (mixed >> np.uint64(40)).astype(np.int64) % DIMENSIONS))
         self.count = len(texts)
-        self.row = np.concatenate(rows) if rows else np.empty(0, dtype=np.int64)
-        self.slot = np.concatenate(slots) if slots else np.empty(0, dtype=np.int64)
+
+    @property
+    def row(self) -> np.ndarray:
+        return np.concatenate([r for r, _ in self.orders]) if self.orders else np.empty(0, dtype=np.int64)
+
+    @property
+    def slot(self) -> np.ndarray:
+        return np.concatenate([s for _, s in self.orders]) if self.orders else np.empty(0, dtype=np.int64)
 
     def scores(self, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
-        """Rows x classifiers: mean weight of a text's n-grams (so that length doesn't matter) and bias."""
-        n = np.maximum(1, np.bincount(self.row, minlength=self.count))
-        root = np.sqrt(n)
-        out = np.empty((self.count, weights.shape[0]))
-        for k, w in enumerate(weights):
-            out[:, k] = np.bincount(self.row, weights=w[self.slot], minlength=self.count) / root + bias[k]
-        return out
+        """Rows x classifiers: mean weight of a text's n-grams (so that length doesn't matter) and bias; weights: classifiers x slots."""
+        n, out = np.zeros(self.count), np.zeros((self.count, len(weights)))
+        for row, slot in self.orders:
+            for a in range(0, len(row), 400_000):  # so that memory stays flat; a text may be parted
+                r, s = row[a : a + 400_000], slot[a : a + 400_000]
+                first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+                n[r[first]] += np.diff(np.append(first, len(r)))
+                for k, w in enumerate(weights):
+                    out[r[first], k] += np.add.reduceat(w[s], first)
+        return out / np.sqrt(np.maximum(1, n))[:, None] + bias
 
 
 def train_linear(grams: Ngrams, y: np.ndarray, epochs: int = 40, c: float = 10.0) -> tuple[np.ndarray, float]:
@@ -167,6 +176,10 @@ class Alphabets:
         """The share of letters that tells that text is not in lang after all; 0 if it may be."""
         if text.isascii() and "LATIN" in self.scripts.get(lang, ()):
             return 0.0
+        # most texts hold nothing but letters of the samples, or others of the same scripts
+        odd = set(text.lower()) - self.letters[lang]
+        if not any(c.isalpha() and (script(c) not in self.scripts[lang] or self.main[lang] in CASED) for c in odd):
+            return 0.0
         n = Counter(c for c in unicodedata.normalize("NFKC", text).lower() if c.isalpha())
         if n.total() < FEW_LETTERS:
             return 0.0
@@ -195,26 +208,32 @@ class Classifier:
         grams = Ngrams(texts)
         y = np.array([self.families.index(family[x]) for x in label])
         fitted = [train_linear(grams, np.where(y == k, 1.0, -1.0), epochs) for k in range(len(self.families))]
-        self.family = np.stack([w for w, _ in fitted]).astype(np.float32), np.array([b for _, b in fitted])
-        self.duels: dict[str, list[tuple[str, str]]] = {}
-        self.machines: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        for f, members in self.members.items():
-            self.duels[f] = list(combinations(members, 2))
-            fitted = []
-            for a, b in self.duels[f]:
+        self.duels: dict[str, list[tuple[str, str]]] = {f: list(combinations(members, 2)) for f, members in self.members.items()}
+        #: The machines of a family's duels, as columns behind those of the families.
+        self.column: dict[str, int] = {}
+        for f, duels in self.duels.items():
+            self.column[f] = len(fitted)
+            for a, b in duels:
                 own = [i for i, x in enumerate(label) if x in (a, b)]
                 fitted.append(train_linear(Ngrams([texts[i] for i in own]), np.array([1.0 if label[i] == a else -1.0 for i in own]), epochs))
-            if fitted:
-                self.machines[f] = np.stack([w for w, _ in fitted]).astype(np.float32), np.array([b for _, b in fitted])
+        self.weights = np.stack([w for w, _ in fitted]).astype(np.float32)
+        self.bias = np.array([b for _, b in fitted])
 
-    def predict(self, texts: list[str]) -> list[tuple[str, float]]:
-        """(language, confidence in 0..1) of each text; ('', 0) for one without letters, OTHER for one in another script or alphabet."""
-        clean = [without_noise(consistent(t).lower()) for t in texts]
+    def predict(self, texts: list[str], forms: list[str] | None = None) -> list[tuple[str, float]]:
+        """(language, confidence in 0..1) of each text; ('', 0) for one without letters, OTHER for one in another script or alphabet. forms: their consistent forms, where known."""
+        clean = [without_noise(t.lower()) for t in (forms if forms is not None else map(consistent, texts))]
         grams = Ngrams(clean)
         sure = lambda x: 1 / (1 + np.exp(-3 * np.clip(x, -10, 10)))
-        scores = grams.scores(*self.family)
+        every = grams.scores(self.weights, self.bias)  # families and duels in one pass
+        scores = every[:, : len(self.families)].copy()
+        ascii = np.array([t.isascii() for t in texts], dtype=bool)
         for k, f in enumerate(self.families):
-            if f in SCRIPTS:
+            if f in SCRIPTS and not re.search(SCRIPTS[f], "x"):
+                scores[ascii, k] = -10.0
+                held = re.compile(SCRIPTS[f], re.I)
+                at = np.flatnonzero(~ascii)
+                scores[[i for i in at.tolist() if not (held.search(clean[i]) or held.search(texts[i]))], k] = -10.0
+            elif f in SCRIPTS:
                 held = re.compile(SCRIPTS[f], re.I)
                 # look-alikes and full-width letters count as what they look like, but Cyrillic as itself
                 scores[[not (held.search(c) or held.search(t)) for c, t in zip(clean, texts)], k] = -10.0
@@ -225,9 +244,9 @@ class Classifier:
         lang, confidence = lang.astype(object), np.array(gap)
         for k, f in enumerate(self.families):
             own = np.flatnonzero(first == k)
-            if f not in self.machines or not len(own):
+            if not self.duels[f] or not len(own):
                 continue
-            margins = Ngrams([clean[i] for i in own]).scores(*self.machines[f])
+            margins = every[own, self.column[f] : self.column[f] + len(self.duels[f])]
             members = self.members[f]
             votes = np.zeros((len(own), len(members)))
             for d, (a, b) in enumerate(self.duels[f]):
@@ -237,7 +256,8 @@ class Classifier:
             lang[own] = np.array(members, dtype=object)[votes.argmax(axis=1)]
             confidence[own] *= votes.max(axis=1) / max(1, len(members) - 1)
         strange = [self.alphabets.strange(str(x), t) for x, t in zip(lang, texts)]
-        return [("", 0.0) if not letters(t) else (OTHER, s) if s else (str(x), float(c)) for x, c, t, s in zip(lang, confidence, clean, strange)]
+        blank = [not any(map(str.isalpha, t)) for t in clean]
+        return [("", 0.0) if b else (OTHER, s) if s else (str(x), float(c)) for x, c, b, s in zip(lang, confidence, blank, strange)]
 
 
 def train(samples: DataFrame, most: int = MOST_SAMPLES) -> Classifier:
@@ -309,24 +329,27 @@ def segments(df: DataFrame, text: str, classifier: Classifier) -> DataFrame:
         for whole in batches:
             for at in range(0, len(whole), 500):  # a few hundred documents at a time, so that memory stays flat
                 batch = whole.iloc[at : at + 500].reset_index(drop=True)
-                owner, spots, texts = [], [], []
+                owner, spots, texts, forms = [], [], [], []
                 for i, (t, spot) in enumerate(zip(batch["__text"], batch["__spots"])):
                     for x, y in zip(spot[::2], spot[1::2]):
                         s = t[x:y]
-                        if not is_code(consistent(s)):
+                        form = consistent(s)
+                        if not is_code(form):
                             owner.append(i)
                             spots.append((int(x), int(y)))
                             texts.append(s)
-                guesses = model.predict(texts)
+                            forms.append(form)
+                guesses = model.predict(texts, forms)
+                sizes = [letters(t) for t in texts]
                 row, out, k = [], [], 0
                 for i in range(len(batch)):
                     first = k
                     while k < len(owner) and owner[k] == i:
                         k += 1
-                    told = decide([(*guesses[j], letters(texts[j])) for j in range(first, k)])
+                    told = decide([(*guesses[j], sizes[j]) for j in range(first, k)])
                     runs: list[list] = []
                     for (lang, c), j in zip(told, range(first, k)):
-                        n = letters(texts[j])
+                        n = sizes[j]
                         if not lang or not n:
                             continue
                         if runs and runs[-1][2] == lang:

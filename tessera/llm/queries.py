@@ -165,20 +165,29 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {"p1_found": p1_found, "p1_cuts": p1_cuts, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p4_found": p4_found, "p4_forms": p4_forms, "p5_found": p5_found, "p5_languages": p5_languages, "p5_segments": p5_segments, "p5_video_segments": p5_video_segments, "p7_found": p7_found, "p8_containers": p8_containers, "p9_found": p9_found, "p9_near": p9_near, "p10_found": p10_found}
 
-def _consistent_sql(text: str) -> str:
-    """The consistent form in DuckDB: the same tables, but composition by NFC in place of a collation."""
+def _mapped_sql(text: str) -> str:
+    """The look-alike map in DuckDB, from the same tables."""
     one, drop, many = lookalikes.tables()
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     keys = sorted(one)
     out = f"translate({text}, {quoted(''.join(keys) + drop)}, {quoted(''.join(one[k] for k in keys))})"
     for k, v in sorted(many.items()):
         out = f"replace({out}, {quoted(k)}, {quoted(v)})"
-    return f"nfc_normalize({out})"
+    return out
+
+
+def _consistent_sql(text: str) -> str:
+    """The consistent form in DuckDB: composition by NFC in place of a collation."""
+    return f"nfc_normalize({_mapped_sql(text)})"
 
 
 _WHITE = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _RUN = rf"[^{_WHITE}.!?。！？।…]"
 
+_WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)), "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)).replace("'", "''")
+_FIGURE = "(zero|one|two|three|four|five|six|seven|eight|nine|oh|nought)"
+_AS_FIGURE = "(list_position(['zero', 'one', 'two', 'three', 'four', 'five', 'six', 'seven', 'eight', 'nine'], {0}) - 1)"
+
 ORACLE = {
     "p1_found": rf"""
 WITH t AS (SELECT DISTINCT 'documents' AS src, doc_id::VARCHAR AS rec_id, text FROM documents
@@ -191,6 +200,44 @@ WITH t AS (SELECT issue_id, list_distinct(regexp_extract_all(lower(concat_ws(' '
  FROM (SELECT DISTINCT ON (issue_id) issue_id, label, symptom, cause FROM issues))
 SELECT a.issue_id AS issue_lo, b.issue_id AS issue_hi FROM t a JOIN t b ON a.issue_id < b.issue_id AND len(a.w) >= 0.7 * len(b.w) AND len(b.w) >= 0.7 * len(a.w)
 WHERE len(list_intersect(a.w, b.w)) >= 0.7 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) AND len(a.w) > 0
+""",
+    "p2_groups": r"""
+WITH RECURSIVE t AS (SELECT issue_id, list_sort(list_distinct(regexp_extract_all(lower(concat_ws(' ', label, symptom, cause)), '[\p{L}\p{N}]+'))) AS w
+ FROM (SELECT DISTINCT ON (issue_id) issue_id, label, symptom, cause FROM issues)),
+s AS (SELECT w, min(issue_id) AS first, count(*) AS copies FROM t WHERE len(w) > 0 GROUP BY w),
+e AS (SELECT a.first AS a, b.first AS b FROM s a JOIN s b ON a.first <> b.first AND len(a.w) >= 0.7 * len(b.w) AND len(b.w) >= 0.7 * len(a.w)
+ WHERE len(list_intersect(a.w, b.w)) >= 0.7 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))),
+r(a, b) AS (SELECT first, first FROM s UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+g AS (SELECT a AS first, min(b) AS "group" FROM r GROUP BY a), l AS (SELECT a AS first, count(*) AS links FROM e GROUP BY a)
+SELECT issue_id, "group", copies, coalesce(links, 0) AS links FROM t JOIN s USING (w) JOIN g USING (first) LEFT JOIN l USING (first)
+UNION ALL SELECT issue_id, issue_id, 1, 0 FROM t WHERE len(w) = 0
+""",
+    # whether a value fits any engine needs no ranking: a word within one slip of a name, beside the right displacement
+    "p3_unmatched": rf"""
+WITH v AS (SELECT value, count(*) AS n FROM (SELECT engine AS value FROM (SELECT DISTINCT ctx_id, engine FROM engine_year_context) UNION ALL SELECT unnest(engines) FROM (SELECT DISTINCT ON (listing_id) * FROM listings))
+ WHERE value IS NOT NULL AND NOT regexp_full_match(value, '[\s\p{{Z}}\p{{Cf}}]*') GROUP BY 1),
+t AS (SELECT value, n, lower(replace(translate(value, '{_WIDE[0]}', '{_WIDE[1]}'), '_', ' ')) AS t FROM v),
+z AS (SELECT *, [replace(replace(x, ' ', ''), ',', '.') FOR x IN regexp_extract_all(t, '(?:^|[^0-9.,])([0-9]\s*[.,]\s*[0-9])(?:[^0-9]|$)', 1)]
+  || [x || 'cc' FOR x IN regexp_extract_all(t, '(?:^|[^0-9.,])([0-9]{{3,5}})\s*(?:ccm|cc|cm3|cm³|cubic cent)', 1)]
+  || CASE WHEN regexp_matches(t, '{_FIGURE}\s+(point|dot|comma)\s+{_FIGURE}') THEN [{_AS_FIGURE.format(f"regexp_extract(t, '{_FIGURE}[ ]+(point|dot|comma)', 1)")} || '.' || coalesce({_AS_FIGURE.format(f"regexp_extract(t, '(point|dot|comma)[ ]+{_FIGURE}', 2)")}, 0)]
+    WHEN regexp_matches(t, '{_FIGURE}\s+and\s+a\s+half') THEN [{_AS_FIGURE.format(f"regexp_extract(t, '{_FIGURE}[ ]+and', 1)")} || '.5']
+    WHEN regexp_matches(t, '\b{_FIGURE}\s*-?\s*(l|lt|ltr|liters?|litres?)\b') THEN [{_AS_FIGURE.format(f"regexp_extract(t, '{_FIGURE}[ ]*-?[ ]*l', 1)")} || '.0']
+    WHEN regexp_matches(t, '(^|[^0-9.,])[0-9]\s*-?\s*(l|lt|ltr|liters?|litres?)\b') THEN [regexp_extract(t, '([0-9])\s*-?\s*l', 1) || '.0'] ELSE [] END AS sizes FROM t),
+w AS (SELECT value, n, sizes, unnest(regexp_extract_all(t, '\p{{L}}+')) AS w FROM z),
+e AS (SELECT engine_code, [regexp_extract(engine_code, '^[0-9][.][0-9]'), displacement_cc || 'cc'] AS own, lower(regexp_extract(engine_code, '_(.*)$', 1)) AS name, false AS alone FROM engines
+ UNION ALL SELECT engine_code, [regexp_extract(engine_code, '^[0-9][.][0-9]'), displacement_cc || 'cc'], lower(a), true FROM (SELECT engine_code, displacement_cc, unnest(search_alias) AS a FROM engines) WHERE NOT regexp_matches(a, '[0-9]')),
+hit AS (SELECT DISTINCT value FROM w JOIN e ON abs(length(w) - length(name)) <= 1 AND damerau_levenshtein(w, name) <= 1
+ AND (length(w) <= length(name) OR list_contains([name[1:i] || name[i:i] || name[i + 1:] FOR i IN range(1, length(name) + 1)], w))
+ WHERE CASE WHEN len(sizes) > 0 THEN list_has_any(sizes, own) ELSE alone END)
+SELECT value, n FROM v WHERE value NOT IN (SELECT value FROM hit)
+""",
+    "p4_forms": f"""
+WITH f AS (SELECT 'documents' AS src, doc_id::VARCHAR AS rec_id, 'text' AS field, 0 AS pos, text AS value FROM documents UNION ALL SELECT 'documents', doc_id::VARCHAR, 'title', 0, title FROM documents
+ UNION ALL SELECT 'documents', doc_id::VARCHAR, 'quote', unnest(range(1, len(q) + 1))::INT, unnest(q) FROM (SELECT doc_id, regexp_extract_all(text, '{_QUOTED}', 1) AS q FROM documents WHERE text IS NOT NULL)
+ UNION ALL SELECT 'videos', video_id, 'title', 0, title FROM (SELECT DISTINCT video_id, title FROM videos)),
+m AS (SELECT *, {_mapped_sql("value")} AS m FROM f), n AS (SELECT m, nfc_normalize(m) AS k, count(*) AS n FROM m WHERE m IS NOT NULL GROUP BY m),
+c AS (SELECT m, first_value(m) OVER (PARTITION BY k ORDER BY n DESC, m) AS canonical FROM n)
+SELECT src, rec_id, field, pos, sha256(canonical)[1:32] AS text_class, canonical FROM m LEFT JOIN c USING (m)
 """,
     "p4_found": f"""
 WITH d AS (SELECT DISTINCT doc_id, text, {_consistent_sql("text")} AS c FROM documents WHERE text IS NOT NULL),
