@@ -55,17 +55,20 @@ def km(number: Column, unit: Column) -> Column:
 
 
 def mileage_km(c: Column) -> Column:
-    """struct(km, confidence): a range gives its low bound (low), `120k km` and `120 bin km` are medium, a full figure is high."""
+    """struct(km, confidence) of the first form found, in this order: a range of thousands gives its low bound (range),
+    `120k` and `125 bin` with or without a unit are medium, a full figure with its unit or after `kilometre` or `mileage` high."""
     t = F.lower(c)
     number = lambda p: F.regexp_replace(_first(t, p), r"[^0-9]", "").try_cast("bigint")
-    span = number(r"([0-9]{1,3}(?:[.,]?[0-9]{3})?)\s*-\s*[0-9]{1,3}(?:[.,]?[0-9]{3})?\s*(?:km|kilomet)")
-    short = number(r"([0-9]{2,3})\s*(?:k|bin)\s*(?:km|kilomet)")
-    full = number(r"([0-9]{1,3}[.,][0-9]{3}|[0-9]{4,6})\s*(?:km|kilomet)")
-    return F.coalesce(
-        F.when(span.isNotNull(), F.struct(span.alias("km"), F.lit("low").alias("confidence"))),
-        F.when(short.isNotNull(), F.struct((short * 1000).alias("km"), F.lit("medium").alias("confidence"))),
-        F.when(full.isNotNull(), F.struct(full.alias("km"), F.lit("high").alias("confidence"))),
-    )
+    unit, figure = r"(?:km|kilomet[a-zıçğöşü]*)", r"([0-9]{1,3}(?:[.,][0-9]{3})+|[0-9]{4,})"
+    forms = [
+        (number(rf"\b([0-9]{{1,3}})\s*[-–]\s*[0-9]{{1,3}}\s*(?:k|bin)\s*{unit}?\b") * 1000, "range"),
+        (number(rf"\b({figure[1:-1]})\s*[-–]\s*(?:{figure[1:-1]})\s*{unit}\b"), "range"),
+        (number(rf"\b([0-9]{{1,3}})\s*(?:k|bin)\s*{unit}?\b") * 1000, "medium"),
+        (number(rf"\b{figure}\s*{unit}\b"), "high"),
+        (number(rf"\bkilometre(?:de|si|yi|ye)?\s*[:=]?\s*{figure}\b"), "high"),
+        (number(rf"\bmileage\s*[:=]?\s*{figure}\b"), "high"),
+    ]
+    return F.coalesce(*[F.when(n.isNotNull(), F.struct(n.alias("km"), F.lit(label).alias("confidence"))) for n, label in forms])
 
 
 def mileage_miles(c: Column) -> Column:

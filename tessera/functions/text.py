@@ -51,7 +51,7 @@ def html_to_text(c: Column) -> Column:
 def canonical_url(c: Column) -> Column:
     """Without fragment, session parameters and page suffix; scheme and host in small letters."""
     t = F.regexp_replace(c, r"#.*$", "")
-    t = F.regexp_replace(t, r"(?i)([?&])(?:PHPSESSID|sid|s|session|utm_[a-z]+)=[^&]*&?", "$1")
+    t = F.regexp_replace(t, r"(?i)([?&])(?:(?:PHPSESSID|sid|s|session|utm_[a-z]+)=[^&]*(?:&|$))+", "$1")
     t = F.regexp_replace(F.regexp_replace(t, r"[?&]+$", ""), r"/(?:page-?\d+|p\d+)/?$", "/")
     return F.concat(F.lower(F.regexp_extract(t, r"^([a-zA-Z]+://[^/?]*)?", 1)), F.regexp_replace(t, r"^[a-zA-Z]+://[^/?]*", ""))
 
@@ -210,14 +210,28 @@ def fill(template: str, **values: Column) -> Column:
 
 
 def generation_tokens(label: str) -> list[str]:
-    """Spellings of a model generation: MK7 -> mk7, mk 7, mk-7, mark 7, vii, 7th gen."""
-    m = re.search(r"(\d+)", label)
+    """Spellings of a model generation: MK7 -> mk7, mk 7, mk-7, mark 7, vii, 7th gen; a half generation (MK7.5) has no numeral and no ordinal."""
+    m = re.search(r"(\d+(?:\.\d+)?)", label)
     if not m:
         return [label.lower()]
+    if "." in m[1]:
+        return [f"mk{m[1]}", f"mk {m[1]}", f"mk-{m[1]}", f"mark {m[1]}", f"gen {m[1]}"]
     n = int(m[1])
     roman, rest = "", n
     for value, mark in ((10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")):
         while rest >= value:
             roman, rest = roman + mark, rest - value
     ordinal = f"{n}{'th' if 10 <= n % 100 <= 20 else {1: 'st', 2: 'nd', 3: 'rd'}.get(n % 10, 'th')}"
-    return [f"mk{n}", f"mk {n}", f"mk-{n}", f"mark {n}", f"mk{roman}", f"{ordinal} gen", f"{ordinal} generation"]
+    return [f"mk{n}", f"mk {n}", f"mk-{n}", f"mark {n}", f"mk{roman}", f"mk {roman}", f"gen {n}", f"{ordinal} gen", f"{ordinal} generation"]
+
+
+def scope_tokens(names: Sequence[str], generation: str, years: tuple[int, int], facelift: int | None = None, others: Sequence[str] = ()) -> dict[str, list[str]]:
+    """What tells that a text speaks of an entity: its names, the spellings of its generation and its model years; the years
+    before and from a facelift on; and the spellings of the other generations, which tell that it speaks of something else."""
+    span = list(map(str, range(years[0], years[1] + 1)))
+    own = generation_tokens(generation)
+    return {
+        "names": [n.lower() for n in names], "generation": own, "years": span,
+        "before_facelift": [y for y in span if facelift and int(y) < facelift], "after_facelift": [y for y in span if facelift and int(y) >= facelift],
+        "others": [t for o in others for t in generation_tokens(o) if t not in own],
+    }

@@ -8,12 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def threads(df: DataFrame, key: Sequence[str], order: Sequence[str], text: str, keep: Column | None = None, double_first: bool = False, separator: str = " ") -> DataFrame:
+def threads(df: DataFrame, key: Sequence[str], order: Sequence[str], text: str, keep: Column | None = None, double_first: bool = False, separator: str = " ", part: Column | None = None) -> DataFrame:
     """(key..., text, n_messages): messages of a thread joined in order; the first is always kept, the others where `keep` holds.
 
     One shuffle on the key with a partial sort inside the group; a thread's text is what the caller asks for, so its
-    size is the group's. first_<...> values are taken with first_known.
+    size is the group's. Threads of any size come in parts: with `part` (a month, say, of the first column of the order)
+    the result has a column `part`, and every part is assembled by itself. first_<...> values are taken with first_known.
     """
+    if part is not None:
+        df, key = df.withColumn("part", part), [*key, "part"]
     k = F.coalesce(keep, F.lit(False)) if keep is not None else F.lit(True)
     rows = df.select(*key, F.struct(*order, k.alias("__keep"), F.col(text).alias("__t")).alias("__m"))
     g = rows.groupBy(*key).agg(F.array_sort(F.collect_list("__m")).alias("__m"))

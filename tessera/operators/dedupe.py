@@ -23,9 +23,12 @@ def similar_bags(df: DataFrame, id: str, block: str, bag: str, threshold: float
     terms = rows.select("k", "id", n.alias("n"), F.explode("w").alias("t")).join(freq, ["k", "t"])
     ranked = terms.withColumn("r", F.row_number().over(Window.partitionBy("k", "id").orderBy("f", "t")))
     need = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1
-    probe = ranked.where(F.col("r") <= need).select("k", "t", F.col("id").alias("a"))
-    index = ranked.where("f > 1").select("k", "t", F.col("id").alias("b"))
-    pairs = probe.join(index, ["k", "t"]).where("a <> b").select("k", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    side = lambda rows, x: rows.where("f > 1").select("k", "t", F.col("id").alias(x), F.col("n").alias(f"n{x}"))
+    # similar bags share a token of both prefixes, and neither is much longer; only a bag inside another needs all tokens of the longer one
+    rare = ranked.where(F.col("r") <= need)
+    near = side(rare, "a").join(side(rare, "b"), ["k", "t"]).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9))
+    inner = side(ranked.where("r = 1"), "a").join(side(ranked, "b"), ["k", "t"]).where("a <> b and na <= nb")
+    pairs = near.select("k", "a", "b").unionByName(inner.select("k", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
     bags = lambda side: rows.select("k", F.col("id").alias(side), F.col("w").alias(f"w{side}"))
     both = pairs.join(bags("a"), ["k", "a"]).join(bags("b"), ["k", "b"])
     shared = F.size(F.array_intersect("wa", "wb"))

@@ -30,26 +30,41 @@ def reasons(gated: DataFrame) -> DataFrame:
     return counts.select("*", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()), 2).alias("share")).orderBy(F.desc("n"), "reason")
 
 
-def message_rules(text: Column, mechanical: str, signal: str, noise: str, off_topic: Mapping[str, str], words: Column, noise_hits: Column, share: float = 0.3, few: int = 3, some: int = 5, many: int = 8) -> list[Rule]:
-    """The order in which forum messages are judged; vocabularies are parameters."""
-    t = F.lower(F.trim(text))
+def message_rules(
+    text: Column, mechanical: str, signal: str, noise: str, off_topic: Mapping[str, tuple[str, int]], words: Column, noise_hits: Column, share: float = 0.3, few: int = 3, some: int = 5, many: int = 8,
+    quote: str = r"(?i)^\s*quote from:?[^\n]*(?:\n|$)",
+) -> list[Rule]:
+    """The order in which forum messages are judged; vocabularies are parameters. A message that no rule takes has no signal (see NO_SIGNAL).
+
+    A leading quotation header counts for nothing. off_topic: reason -> (pattern, hits that are still fine); such a message
+    stays if it is mechanical. A short message stays if it is mechanical or (from `few` words on) holds a signal.
+    """
+    t = F.lower(F.trim(F.regexp_replace(text, quote, "")))
+    is_mechanical, has_signal = t.rlike(mechanical), t.rlike(signal)
     return [
-        ("empty", text.isNull() | (t == ""), False),
-        ("only_number", t.rlike(r"^[0-9\s.,]+$"), False),
+        ("empty", text.isNull() | (F.trim(text) == ""), False),
+        ("quote_only", t == "", False),
+        ("only_number", t.rlike(r"^[0-9]+$"), False),
         ("only_link", t.rlike(r"^(?:https?://|www\.)\S+$"), False),
         ("only_punctuation", t.rlike(r"^[^\p{L}\p{N}]+$"), False),
-        *[(name, t.rlike(p) & ~t.rlike(mechanical), False) for name, p in off_topic.items()],
-        ("pure_noise", t.rlike(rf"^\s*(?:{noise})\W*$"), False),
-        ("noise_dominated", noise_hits / F.greatest(words, F.lit(1)) > share, False),
+        *[(name, (F.regexp_count(t, F.lit(p)) > fine) & ~is_mechanical, False) for name, (p, fine) in off_topic.items()],
+        ("pure_noise", t.rlike(rf"^\s*(?:{noise})\W*$") & ~has_signal, False),
+        ("noise_dominated", (noise_hits / F.greatest(words, F.lit(1)) > share) & ~has_signal, False),
+        ("very_short_mechanical", (words < few) & is_mechanical, True),
         ("too_short", words < few, False),
-        ("mechanical", t.rlike(mechanical), True),
-        ("mileage", t.rlike(r"[0-9]\s*(?:km|miles|k\b)"), True),
-        ("signal", t.rlike(signal), True),
+        ("short_with_signal", (words < some) & (is_mechanical | has_signal), True),
         ("short_without_signal", words < some, False),
+        ("mechanical", is_mechanical, True),
+        ("mileage", t.rlike(r"[0-9]\s*(?:km|miles|k\b)"), True),
+        ("signal", has_signal, True),
         ("long_enough", words >= many, True),
     ]
 
 
+#: What becomes of a message that none of message_rules takes.
+NO_SIGNAL = ("no_signal", False)
+
+
 def relaxed(df: DataFrame, *gates: Column) -> DataFrame:
     """Rows that pass each gate in turn; a gate that would drop everything is ignored. A null verdict passes."""
     for g in gates:

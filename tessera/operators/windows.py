@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Sequence
 
 import pandas as pd
@@ -126,13 +128,23 @@ def share_cap(df: DataFrame, capped: Column, share: float, *order: Column | str)
 
 
 def interval_dedupe(df: DataFrame, key: str, lo: str, hi: str, score: str, tolerance: float) -> DataFrame:
-    """Best first, a row stays unless its interval, widened by the tolerance, overlaps one that stayed (per key). In SQL, one fold a key."""
-    row = F.struct(F.col(score).alias("__score"), (-F.col(lo)).alias("__order"), *[F.col(c) for c in df.columns])
-    g = df.groupBy(F.col(key).alias("__k")).agg(F.sort_array(F.collect_list(row), asc=False).alias("rows"))
-    kind = g.schema["rows"].dataType.simpleString()
-    clear = lambda done, x: ~F.exists(done, lambda d: (x[lo] - tolerance < d[hi]) & (d[lo] < x[hi] + tolerance))
-    kept = F.aggregate("rows", F.array().cast(kind), lambda done, x: F.when(clear(done, x), F.concat(done, F.array(x))).otherwise(done))
-    return g.select(F.explode(kept).alias("r")).select(*[F.col(f"r.{c}").alias(c) for c in df.columns])
+    """Best first (the earlier one on a tie), a row stays unless its interval, widened by the tolerance, overlaps one that stayed (per key).
+
+    What stayed doesn't overlap, so only its neighbours are looked at.
+    """
+
+    def run(b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values([score, lo], ascending=[False, True], kind="stable")
+        done: list[tuple[float, float]] = []
+        keep = []
+        for i, a, z in zip(b.index, b[lo], b[hi]):
+            k = bisect_left(done, (a, z))
+            if all(not (a - tolerance < y and x < z + tolerance) for x, y in done[max(0, k - 1) : k + 1]):
+                done.insert(k, (a, z))
+                keep.append(i)
+        return b.loc[keep]
+
+    return df.groupBy(key).applyInPandas(run, df.schema)
 
 
 def duration_windows(segments: DataFrame, key: str, start: str = "start", duration: str = "duration", text: str = "text", least: float = 35.0, most: float = 45.0, overlap: float = 10.0) -> DataFrame:
@@ -215,15 +227,21 @@ def signature_dedupe(df: DataFrame, scope: str, id: str, tokens: str, order: str
 
     def run(b: pd.DataFrame) -> pd.DataFrame:
         kept: list[tuple[object, set]] = []
+        holders: dict[object, list[int]] = {}  # kept rows by token, so that only rows that share one are compared
         out = []
         for i, t in zip(*[b.sort_values(order, kind="stable")[c] for c in (id, tokens)]):
             s = set(t)
-            hit = next((k for k in kept if len(k[1] & s) >= threshold * len(k[1] | s) and s), None)
-            if hit:
-                hit[1].update(s)
+            shared = Counter(k for w in s for k in holders.get(w, ()))
+            hit = min((k for k, n in shared.items() if n >= threshold * (len(kept[k][1]) + len(s) - n)), default=None)
+            if hit is None:
+                hit, new = len(kept), s
+                kept.append((i, set()))
             else:
-                kept.append((i, s))
-            out.append((b[scope].iloc[0], i, hit[0] if hit else i))
+                new = s - kept[hit][1]
+            kept[hit][1].update(new)
+            for w in new:
+                holders.setdefault(w, []).append(hit)
+            out.append((b[scope].iloc[0], i, kept[hit][0]))
         return pd.DataFrame(out, columns=[scope, id, "kept_id"])
 
     return df.groupBy(scope).applyInPandas(run, f"`{scope}` {kinds[scope]}, `{id}` {kinds[id]}, kept_id {kinds[id]}")

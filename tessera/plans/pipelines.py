@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import json
+import time
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import aggregates, dedupe, ranking, vectors, windows
@@ -32,3 +35,62 @@ def knowledge_base(records: DataFrame, id: str, block: str, bag: str, **merge) -
     """Issue records -> duplicate clusters -> one merged record a cluster."""
     labelled = records.join(dedupe.clusters(records, id, block, bag).withColumnRenamed("id", id), id)
     return aggregates.merge_clusters(labelled, "cluster", id, **merge)
+
+
+@dataclass
+class Stage:
+    """A step of a run: reads `inputs`, writes `output`."""
+
+    name: str
+    run: Callable[[SparkSession], None]
+    output: str
+    inputs: Sequence[str] = ()
+
+
+def run_stages(spark: SparkSession, stages: Sequence[Stage], manifest: str, skip: Sequence[str] = (), resume_from: str | None = None, force: bool = False) -> list[dict]:
+    """What became of every stage: ok, failed, up_to_date, skipped_by_user, skipped_by_resume or not_reached; also written to `manifest`.
+
+    A stage is up to date if its output is there and no input is newer; force runs it all the same. The first failure ends
+    the run, so that a later one resumes there.
+    """
+    from tessera.session import changed_at
+    from tessera.sources.sinks import put_text
+
+    first = [s.name for s in stages].index(resume_from) if resume_from else 0
+    record: list[dict] = []
+    failed = False
+    for i, s in enumerate(stages):
+        made = changed_at(spark, s.output)
+        if failed:
+            status = "not_reached"
+        elif i < first:
+            status = "skipped_by_resume"
+        elif s.name in skip:
+            status = "skipped_by_user"
+        elif not force and made and all(0 < changed_at(spark, p) <= made for p in s.inputs):
+            status = "up_to_date"
+        else:
+            began = time.time()
+            try:
+                s.run(spark)
+                status = "ok"
+            except Exception as e:  # noqa: BLE001 - whatever a stage raises ends the run and is recorded
+                status, failed = "failed", True
+                record.append({"stage": s.name, "status": status, "error": str(e)[:500]})
+                continue
+            record.append({"stage": s.name, "status": status, "seconds": round(time.time() - began, 3)})
+            continue
+        record.append({"stage": s.name, "status": status})
+    put_text(spark, manifest, json.dumps({"stages": record, "ok": not failed}, indent=2))
+    return record
+
+
+def forum_statistics(messages: DataFrame, thread: str, order: Sequence[str], text: str, verdict: Column, focus: Column, classes: Sequence[tuple[str, str]], part: Column) -> DataFrame:
+    """Messages -> gate -> threads (in parts) -> focus and class of each part -> statistics: (class, parts, messages, mean_focus)."""
+    from tessera.functions.text import first_class
+    from tessera.operators.gates import gate
+
+    kept = gate(messages, verdict).where("keep")
+    threads = aggregates.threads(kept, [thread], order, text, part=part)
+    scored = threads.withColumn("focus", focus).withColumn("class", first_class(F.lower(text), list(classes), "other"))
+    return scored.groupBy("class").agg(F.count("*").alias("parts"), F.sum("n_messages").alias("messages"), F.avg("focus").alias("mean_focus"))

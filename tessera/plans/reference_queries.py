@@ -1,6 +1,7 @@
 """All registered queries of the engine's own operators."""
 
-from tessera.plans import table_queries, text_queries
+from tessera.plans import io_queries, part_queries, table_queries, text_queries
 
-QUERIES = {**table_queries.query.queries, **text_queries.query.queries}
-ORACLE = {**table_queries.query.oracle, **text_queries.query.oracle}
+_ALL = (table_queries, text_queries, io_queries, part_queries)
+QUERIES = {k: v for m in _ALL for k, v in m.query.queries.items()}
+ORACLE = {k: v for m in _ALL for k, v in m.query.oracle.items()}

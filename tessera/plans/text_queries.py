@@ -37,22 +37,24 @@ _GATE = f"""
 WITH {COMPLAINTS}, t AS (SELECT complaint_id, description, lower(trim(description, ' ')) AS t, {_WORDS.replace('trim(t', 'trim(description')} AS words FROM cmp),
 v AS (SELECT complaint_id, CASE
  WHEN description IS NULL OR t = '' THEN 'empty'
- WHEN regexp_full_match(t, '[0-9\\s.,]+') THEN 'only_number'
- WHEN regexp_matches(t, '(warranty|dealer)') AND NOT regexp_matches(t, '{MECHANICAL}') THEN 'warranty'
- WHEN len(regexp_extract_all(t, 'never|nobody')) / greatest(words, 1)::DOUBLE > 0.3 THEN 'noise_dominated'
+ WHEN regexp_full_match(t, '[0-9]+') THEN 'only_number'
+ WHEN len(regexp_extract_all(t, '(warranty|dealer)')) > 1 AND NOT regexp_matches(t, '{MECHANICAL}') THEN 'warranty'
+ WHEN len(regexp_extract_all(t, 'never|nobody')) / greatest(words, 1)::DOUBLE > 0.3 AND NOT regexp_matches(t, '{SIGNAL}') THEN 'noise_dominated'
+ WHEN words < 3 AND regexp_matches(t, '{MECHANICAL}') THEN 'very_short_mechanical'
  WHEN words < 3 THEN 'too_short'
+ WHEN words < 5 AND regexp_matches(t, '{MECHANICAL}|{SIGNAL}') THEN 'short_with_signal'
+ WHEN words < 5 THEN 'short_without_signal'
  WHEN regexp_matches(t, '{MECHANICAL}') THEN 'mechanical'
  WHEN regexp_matches(t, '[0-9]\\s*(km|miles|k\\b)') THEN 'mileage'
  WHEN regexp_matches(t, '{SIGNAL}') THEN 'signal'
- WHEN words < 5 THEN 'short_without_signal'
- WHEN words >= 8 THEN 'long_enough' ELSE 'kept' END AS reason FROM t)
+ WHEN words >= 8 THEN 'long_enough' ELSE 'no_signal' END AS reason FROM t)
 """
 
 
 def _gated(spark, d):
     text = F.col("description")
-    rules = gates.message_rules(text, MECHANICAL, SIGNAL, "(?:thanks|ok|up)", {"warranty": "(warranty|dealer)"}, X.word_count(text), X.occurrences(F.lower(text), "never|nobody"))
-    return gates.gate(complaints(spark, d, "description"), gates.cascade(rules))
+    rules = gates.message_rules(text, MECHANICAL, SIGNAL, "(?:thanks|ok|up)", {"warranty": ("(warranty|dealer)", 1)}, X.word_count(text), X.occurrences(F.lower(text), "never|nobody"))
+    return gates.gate(complaints(spark, d, "description"), gates.cascade(rules, gates.NO_SIGNAL))
 
 
 @query(_GATE + "SELECT complaint_id, reason FROM v")
@@ -283,9 +285,10 @@ def watchlist_topics(spark, d):
 @query("SELECT thread_name, count(*) AS n_messages, sum(length(text))::BIGINT + count(*) - 1 AS n_chars, arg_min(lang, (posted_at, doc_id)) FILTER (lang IS NOT NULL) AS first_lang FROM documents WHERE thread_name IS NOT NULL GROUP BY 1")
 def thread_assembly(spark, d):
     docs = documents(spark, d, "thread_name", "text", "lang", "posted_at").where("thread_name is not null")
-    texts = A.threads(docs, ["thread_name"], ["posted_at", "doc_id"], "text")
+    parts = A.threads(docs, ["thread_name"], ["posted_at", "doc_id"], "text", part=F.date_trunc("month", "posted_at"))
+    texts = parts.groupBy("thread_name").agg(F.sum("n_messages").alias("n_messages"), (F.sum(F.length("text").cast("bigint")) + F.count("*") - 1).alias("n_chars"))
     first = A.first_known(docs, ["thread_name"], ["posted_at", "doc_id"], "lang")
-    return texts.join(first, "thread_name").select("thread_name", F.col("n_messages").cast("bigint").alias("n_messages"), F.length("text").cast("bigint").alias("n_chars"), F.col("lang").alias("first_lang"))
+    return texts.join(first, "thread_name").select("thread_name", "n_messages", "n_chars", F.col("lang").alias("first_lang"))
 
 
 SEGMENTS = f"{VIDEOS}, seg AS (SELECT DISTINCT video_id, s.start AS start, s.duration AS duration, s.text AS text FROM (SELECT video_id, unnest(transcript_segments) AS s FROM vid)), seg1 AS (SELECT * FROM seg QUALIFY row_number() OVER (PARTITION BY video_id, start ORDER BY text) = 1)"

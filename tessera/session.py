@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,7 @@ def local_session(name: str = "tessera", cores: str = "*", partitions: int = 8)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("TESSERA_DRIVER_MEMORY", "8g"))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -75,15 +77,38 @@ def once_known(df: DataFrame, *key: str) -> DataFrame:
     return df.groupBy(*key).agg(*[F.max(c).alias(c) for c in df.columns if c not in key])
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the checkpoint folder all executors share and reads it back.
-
-    The folder is the one the cluster names in spark.checkpoint.dir; only where that is unset (tests, local mode)
-    is a temporary one made.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, named in spark.checkpoint.dir; a temporary one only where the master is local and none is set."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path (or anything that a pattern names) is there, by the file system that the path names."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(target)
+    return found is not None and len(found) > 0
+
+
+def changed_at(spark: SparkSession, path: str) -> int:
+    """When a path was last changed, in milliseconds; 0 if it isn't there."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files.getFileStatus(target).getModificationTime() if files.exists(target) else 0
+
+
+def workspace(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, for tables that are written and read again."""
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return path.removeprefix("file://").removeprefix("file:") if path.startswith("file:") else path
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Writes df to the checkpoint folder all executors share and reads it back."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -80,8 +80,8 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(RestSource)
 
 
-def crawl(seeds: DataFrame, links: Callable[[DataFrame], DataFrame], most_pages: int, most_rounds: int = 50) -> DataFrame:
-    """(url, depth): pages reached from seeds(url), breadth first, until a round adds none or the page budget is used up.
+def crawl(seeds: DataFrame, links: Callable[[DataFrame], DataFrame], most_pages: int | None = None, most_rounds: int = 50) -> DataFrame:
+    """(url, depth): pages reached from seeds(url), breadth first, until a round adds none or the page budget (if there is one) is used up.
 
     links maps a frontier (url) to the pages it names (url). Each round is one anti join against what is known; the loop
     is over rounds, never over pages.
@@ -91,10 +91,12 @@ def crawl(seeds: DataFrame, links: Callable[[DataFrame], DataFrame], most_pages:
     known = cut(seeds.select("url").where("url is not null").distinct().withColumn("depth", F.lit(0)))
     frontier, total = known, known.count()
     for depth in range(1, most_rounds + 1):
-        if total >= most_pages:
+        if most_pages is not None and total >= most_pages:
             break
         new = links(frontier.select("url")).select("url").where("url is not null").distinct().join(known.select("url"), "url", "left_anti")
-        frontier = cut(new.orderBy("url").limit(most_pages - total).withColumn("depth", F.lit(depth)))
+        if most_pages is not None:
+            new = new.orderBy("url").limit(most_pages - total)
+        frontier = cut(new.withColumn("depth", F.lit(depth)))
         n = frontier.count()
         if not n:
             break

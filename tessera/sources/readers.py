@@ -30,7 +30,9 @@ def video_corpus(spark: SparkSession, path: str, status: str = "ok") -> tuple[Da
 
 def json_lines(spark: SparkSession, schema: str, *paths: str, tolerant: bool = True) -> DataFrame:
     """The first of the paths that exists; malformed lines are dropped (tolerant) or fail."""
-    path = next((p for p in paths if globbing.glob(p) or os.path.exists(p)), None)
+    from tessera.session import exists
+
+    path = next((p for p in paths if exists(spark, p)), None)
     if path is None:
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).option("mode", "DROPMALFORMED" if tolerant else "FAILFAST").json(path)
@@ -85,24 +87,89 @@ def aligned_union(*sources: tuple[str, DataFrame | None, Mapping[str, str]]) ->
 
 
 def container_lines(spark: SparkSession, path: str, encoding: str = "latin-1") -> DataFrame:
-    """(file, member, line_no, line) of zip files (any method Python reads); gzip and plain text are read by Spark itself."""
+    """(file, member, line_no, line) of zip files (any method Python reads); gzip and plain text are read by Spark itself.
+
+    Archives on a file system that the executors share are opened in place, whatever their size: their directories are
+    listed first, then every member is read by a task of its own. Archives elsewhere come as one cell (up to 2 GB).
+    """
+    files = spark.read.format("binaryFile").load(path)
+    place = lambda name: name.removeprefix("file://").removeprefix("file:")
+
+    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for name in b["path"]:
+                with zipfile.ZipFile(place(name)) as z:
+                    own = [m for m in z.namelist() if not m.endswith("/")]
+                yield pd.DataFrame({"file": [name] * len(own), "member": own})
+
+    def lines(z: zipfile.ZipFile, name: str, member: str) -> Iterator[pd.DataFrame]:
+        with z.open(member) as f:
+            block, no = [], 0
+            for line in io.TextIOWrapper(f, encoding):
+                block.append((name, member, no, line.rstrip("\r\n")))
+                no += 1
+                if len(block) == 20_000:
+                    yield pd.DataFrame(block, columns=["file", "member", "line_no", "line"])
+                    block = []
+            if block:
+                yield pd.DataFrame(block, columns=["file", "member", "line_no", "line"])
+
     def unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for name, member in zip(b["file"], b["member"]):
+                with zipfile.ZipFile(place(name)) as z:
+                    yield from lines(z, name, member)
+
+    def unzip_cell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for name, content in zip(b["path"], b["content"]):
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
                     for member in z.namelist():
-                        with z.open(member) as f:
-                            block, no = [], 0
-                            for line in io.TextIOWrapper(f, encoding):
-                                block.append((name, member, no, line.rstrip("\r\n")))
-                                no += 1
-                                if len(block) == 20_000:
-                                    yield pd.DataFrame(block, columns=["file", "member", "line_no", "line"])
-                                    block = []
-                            if block:
-                                yield pd.DataFrame(block, columns=["file", "member", "line_no", "line"])
+                        yield from lines(z, name, member)
+
+    schema = "file string, member string, line_no int, line string"
+    if "://" in path and not path.startswith("file:"):
+        return files.select("path", "content").mapInPandas(unzip_cell, schema)
+    listed = files.select("path").mapInPandas(members, "file string, member string")
+    return listed.repartition("file", "member").mapInPandas(unzip, schema)
+
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(unzip, "file string, member string, line_no int, line string")
+def workbook(spark: SparkSession, path: str, sheet: str) -> DataFrame:
+    """A sheet of an XLSX workbook: its first row names the columns, all values are texts, empty cells null."""
+    import xml.etree.ElementTree as tree
+
+    main = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+
+    def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for content in b["content"]:
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    names = [s.get("name") for s in tree.fromstring(z.read("xl/workbook.xml")).iter(f"{main}sheet")]
+                    shared = ["".join(t.text or "" for t in s.iter(f"{main}t")) for s in tree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{main}si")] if "xl/sharedStrings.xml" in z.namelist() else []
+                    block = []
+                    with z.open(f"xl/worksheets/sheet{names.index(sheet) + 1}.xml") as f:
+                        for _, row in tree.iterparse(f):
+                            if row.tag != f"{main}row":
+                                continue
+                            values: dict[int, str | None] = {}
+                            for k, c in enumerate(row.iter(f"{main}c")):
+                                at = 0
+                                for letter in re.match(r"[A-Z]*", c.get("r", ""))[0]:
+                                    at = at * 26 + ord(letter) - 64
+                                v = "".join(t.text or "" for t in c.iter() if t.tag in (f"{main}v", f"{main}t"))
+                                values[at - 1 if at else k] = (shared[int(v)] if c.get("t") == "s" else v) or None
+                            block.append((int(row.get("r", len(block) + 1)), [values.get(k) for k in range(max(values, default=-1) + 1)]))
+                            row.clear()
+                            if len(block) == 5_000:
+                                yield pd.DataFrame(block, columns=["row", "cells"])
+                                block = []
+                    yield pd.DataFrame(block, columns=["row", "cells"])
+
+    rows = spark.read.format("binaryFile").load(path).select("content").mapInPandas(cells, "row int, cells array<string>")
+    head = rows.orderBy("row").first()
+    if head is None:
+        return spark.createDataFrame([], "row int").drop("row")
+    return rows.where(F.col("row") > head.row).select(*[F.try_element_at("cells", F.lit(k + 1)).alias(name or f"column_{k + 1}") for k, name in enumerate(head.cells)])
 
 
 def lexicon_file(spark: SparkSession, path: str) -> list[str]:
@@ -127,6 +194,30 @@ def scaffold(folder: str, slug: str) -> dict:
         return yaml.safe_load(f)
 
 
+def scaffold_summary(spec: Mapping, most: int = 4_000) -> str:
+    """A description as plain lines, `key: value` with nested keys joined by dots and lists by commas, for a prompt; at most so many letters, whole lines."""
+    lines: list[str] = []
+
+    def walk(value, name: str) -> None:
+        if isinstance(value, Mapping):
+            for k, v in value.items():
+                walk(v, f"{name}.{k}" if name else str(k))
+        elif isinstance(value, (list, tuple)) and any(isinstance(v, Mapping) for v in value):
+            for k, v in enumerate(value, 1):
+                walk(v, f"{name}.{k}")
+        elif value not in (None, "", [], ()):
+            lines.append(f"{name}: {', '.join(map(str, value)) if isinstance(value, (list, tuple)) else value}")
+
+    walk(spec, "")
+    kept, size = [], 0
+    for line in lines:
+        if size + len(line) + 1 > most:
+            break
+        kept.append(line)
+        size += len(line) + 1
+    return "\n".join(kept)
+
+
 def table_or_empty(spark: SparkSession, name: str, schema: str) -> DataFrame:
     """A table, or an empty frame where it doesn't exist: a missing collection is no error."""
     return spark.table(name) if spark.catalog.tableExists(name) else spark.createDataFrame([], schema)
@@ -246,7 +337,7 @@ def page_fields(pages: DataFrame, html: str, into: str = "fields") -> DataFrame:
 def blocked_page(title: Column, html: Column, url: Column, markers: Sequence[str], login: str = "/login") -> Column:
     from tessera.functions.text import contains_any
 
-    return contains_any(F.lower(F.concat_ws(" ", title, F.substring(html, 1, 50_000), url)), markers) | F.contains(F.lower(url), F.lit(login))
+    return contains_any(F.lower(F.concat_ws(" ", title, html, url)), markers) | F.contains(F.lower(url), F.lit(login))
 
 
 def slug_fields(url: Column) -> Column:
