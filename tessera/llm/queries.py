@@ -251,5 +251,20 @@ e AS (SELECT DISTINCT item_id, regexp_extract_all(lower({_consistent_sql("text")
 dg AS (SELECT doc_id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM d)),
 eg AS (SELECT item_id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM e))
 SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g)
+""",
+    # windows of 24 words hold 20 shingles of 5 words; pairs of windows that share one are weighed shingle by shingle
+    "p9_near": rf"""
+WITH d AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(replace({_consistent_sql("text")}, 'İ', 'i̇')), '[\p{{L}}\p{{N}}]+') AS w FROM documents WHERE text IS NOT NULL),
+e AS (SELECT DISTINCT item_id, regexp_extract_all(lower(replace({_consistent_sql("text")}, 'İ', 'i̇')), '[\p{{L}}\p{{N}}]+') AS w FROM eval_items WHERE text IS NOT NULL),
+dg AS (SELECT doc_id, i, n, hash(array_to_string(w[i:i + 4], ' ')) AS g, length(array_to_string(w[i:i + 4], '')) AS c FROM (SELECT doc_id, w, len(w) AS n, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 24)),
+eg AS (SELECT item_id, i AS j, n AS m, hash(array_to_string(w[i:i + 4], ' ')) AS g, length(array_to_string(w[i:i + 4], '')) AS c FROM (SELECT item_id, w, len(w) AS n, unnest(range(1, len(w) - 3)) AS i FROM e WHERE len(w) >= 24)),
+dt AS (SELECT doc_id, i AS p, sum(c) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS a FROM dg WHERE doc_id IN (SELECT doc_id FROM dg JOIN eg USING (g))),
+et AS (SELECT item_id, j AS v, sum(c) OVER (PARTITION BY item_id ORDER BY j ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS b FROM eg),
+m AS (SELECT doc_id, i, n, item_id, j, m, dg.g, dg.c FROM dg JOIN eg ON dg.g = eg.g),
+x AS (SELECT doc_id, item_id, i, j, g, c, n, m, unnest(range(greatest(1, i - 19), least(i, n - 23) + 1)) AS p FROM m),
+y AS (SELECT doc_id, item_id, i, j, g, c, p, unnest(range(greatest(1, j - 19), least(j, m - 23) + 1)) AS v FROM x),
+t AS (SELECT doc_id, item_id, p, v, sum(k * c) AS top FROM (SELECT doc_id, item_id, p, v, g, c, least(count(DISTINCT i), count(DISTINCT j)) AS k FROM y GROUP BY ALL) GROUP BY ALL),
+s AS (SELECT doc_id, item_id, p, top::DOUBLE / (a + b - top)::DOUBLE AS s FROM t JOIN dt USING (doc_id, p) JOIN et USING (item_id, v))
+SELECT doc_id, item_id, count(DISTINCT p) AS words, max(s) AS similarity FROM s WHERE s >= 0.8 GROUP BY ALL
 """,
 }
