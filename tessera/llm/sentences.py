@@ -96,22 +96,21 @@ def _marked(text: Column) -> Column:
     # decimals, times, versions, thousands
     t = _sub(t, r"\.(?<=[0-9]\.)(?=[0-9])", DOT)
     # initials and single-letter abbreviations; a month or day in figures; abbreviations
-    t = _sub(t, r"(?<![\p{L}\p{M}\p{N}])(\p{L}\p{M}*)\.(?!" + p["gap"] + r"\.\.)", "$1" + DOT)
-    t = _sub(t, r"(?<![\p{L}\p{N}.,])([0-9]{1,2})\.(?=\s+[\p{L}])", "$1" + DOT)
-    # (only words that a stop follows are compared with the lists)
-    word = r"(?<![\p{L}\p{M}])(?=[^\s.]++\.)"
-    t = _sub(t, word + r"((?iu:" + p["always"] + r"))\.", "$1" + DOT)
-    t = _sub(t, word + r"((?iu:" + p["number"] + r"))\.(?=\s*[0-9०-९#])", "$1" + DOT)
+    # (each looks for the stop first and for what stands before it then, so that nothing is tried elsewhere)
+    t = _sub(t, r"\.(?<=(?<![\p{L}\p{M}\p{N}])\p{L}\p{M}{0,16}\.)(?!" + p["gap"] + r"\.\.)", DOT)
+    t = _sub(t, r"\.(?<=(?<![\p{L}\p{N}.,])[0-9]{1,2}\.)(?=\s+[\p{L}])", DOT)
+    t = _sub(t, r"\.(?<=(?<![\p{L}\p{M}])(?iu:" + p["always"] + r")\.)", DOT)
+    t = _sub(t, r"\.(?=\s*[0-9०-९#])(?<=(?<![\p{L}\p{M}])(?iu:" + p["number"] + r")\.)", DOT)
     t = _sub(t, r"(कि" + DOT + r"?\.?मी)\.", "$1" + DOT)
-    t = _sub(t, r"(\p{InThai})\.(?=\s*[\p{InThai}0-9])", "$1" + DOT)
+    t = _sub(t, r"\.(?<=\p{InThai}\.)(?=\s*[\p{InThai}0-9])", DOT)
     # quotation marks whose shape doesn't tell their side; up to the closing mark, within one paragraph
     within = lambda marks: rf"[^{marks}\n]*+(?:\n(?!\s*\n)[^{marks}\n]*+)*+"
     t = _sub(t, rf"„({within('„“”')})“", "„$1" + CLOSE)
-    t = _sub(t, rf'(?<![\p{{L}}\p{{N}}])"(?=[^\s"])({within(chr(34))})(?<=\S)"', OPEN + "$1" + CLOSE)
+    t = _sub(t, rf'"(?<![\p{{L}}\p{{N}}]")(?=[^\s"])({within(chr(34))})(?<=\S)"', OPEN + "$1" + CLOSE)
     # stops inside quotations and brackets, but those right before the closing mark: from an opening mark on, stop by stop
     sides = [OPEN + CLOSE, "“”", "„" + CLOSE, "«»", "「」", "『』", "()"]
     marks = "".join(dict.fromkeys("".join(sides)))
-    begin = "|".join(rf"[{a}](?={within(a + z)}[{z}])" for a, z in sides)
+    begin = f"(?=[{''.join(a for a, _ in sides)}])(?:" + "|".join(rf"[{a}](?={within(a + z)}[{z}])" for a, z in sides) + ")"
     t = _sub(t, rf"((?:{begin}|(?!^)\G)[^{marks}.!?。…।{STOP}]*+)[.!?。…।{STOP}](?=[.!?。…।{STOP}]*+\s*+[^{marks}.!?。…।{STOP}\s])", "$1" + DOT)
     closers = rf"(?:[ ]?»|[”』」)’\]'{CLOSE}])*+"
     begins = rf"\p{{Lu}}\p{{Lt}}\p{{Lo}}«“„「『‘¿¡#{OPEN}"
