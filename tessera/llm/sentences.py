@@ -92,17 +92,20 @@ def _marked(text: Column) -> Column:
     unlike = plain(text) & ~F.contains(text, F.lit("\u000b")) & ~F.contains(text, F.lit("\u000c"))
     t = F.when(unlike, text).otherwise(F.translate(text, "".join(same), "".join(same.values())))
     # URLs: every stop with something after it (a small letter right after a stop starts no sentence anyway)
-    t = _sub(t, r"((?:(?i:\bhttps?://|\bwww(?=\.))|(?!^)\G)[^\s.]*+)\.(?=[\p{L}\p{N}])", "$1" + DOT)
-    # decimals, times, versions, thousands
-    t = _sub(t, r"\.(?<=[0-9]\.)(?=[0-9])", DOT)
-    # initials and single-letter abbreviations; a month or day in figures; abbreviations
-    # (each looks for the stop first and for what stands before it then, so that nothing is tried elsewhere)
-    t = _sub(t, r"\.(?<=(?<![\p{L}\p{M}\p{N}])\p{L}\p{M}{0,16}\.)(?!" + p["gap"] + r"\.\.)", DOT)
-    t = _sub(t, r"\.(?<=(?<![\p{L}\p{N}.,])[0-9]{1,2}\.)(?=\s+[\p{L}])", DOT)
-    t = _sub(t, r"\.(?<=(?<![\p{L}\p{M}])(?iu:" + p["always"] + r")\.)", DOT)
-    t = _sub(t, r"\.(?=\s*[0-9०-९#])(?<=(?<![\p{L}\p{M}])(?iu:" + p["number"] + r")\.)", DOT)
-    t = _sub(t, r"(कि" + DOT + r"?\.?मी)\.", "$1" + DOT)
-    t = _sub(t, r"\.(?<=\p{InThai}\.)(?=\s*[\p{InThai}0-9])", DOT)
+    t = _sub(t, r"((?:(?i:(?=[hw])\b(?:https?://|www(?=\.)))|(?!^)\G)[^\s.]*+)\.(?=[\p{L}\p{N}])", "$1" + DOT)
+    # each alternative looks for the stop first and for what stands around it then, so that nothing is tried elsewhere:
+    # decimals, times, versions, thousands; initials and single-letter abbreviations; a month or day in figures;
+    # abbreviations, those before a number; two of single scripts
+    stops = [
+        r"(?<=[0-9]\.)(?=[0-9])",
+        r"(?<=(?<![\p{L}\p{M}\p{N}])\p{L}\p{M}{0,16}\.)(?!" + p["gap"] + r"\.\.)",
+        r"(?<=(?<![\p{L}\p{N}.,])[0-9]{1,2}\.)(?=\s+[\p{L}])",
+        r"(?<=(?<![\p{L}\p{M}])(?iu:" + p["always"] + r")\.)",
+        r"(?=\s*[0-9०-९#])(?<=(?<![\p{L}\p{M}])(?iu:" + p["number"] + r")\.)",
+        r"(?<=कि\.?मी\.)",
+        r"(?<=\p{InThai}\.)(?=\s*[\p{InThai}0-9])",
+    ]
+    t = _sub(t, r"\.(?:" + "|".join(stops) + ")", DOT)
     # quotation marks whose shape doesn't tell their side; up to the closing mark, within one paragraph
     within = lambda marks: rf"[^{marks}\n]*+(?:\n(?!\s*\n)[^{marks}\n]*+)*+"
     t = _sub(t, rf"„({within('„“”')})“", "„$1" + CLOSE)
@@ -114,15 +117,18 @@ def _marked(text: Column) -> Column:
     t = _sub(t, rf"((?:{begin}|(?!^)\G)[^{marks}.!?。…।{STOP}]*+)[.!?。…।{STOP}](?=[.!?。…।{STOP}]*+\s*+[^{marks}.!?。…।{STOP}\s])", "$1" + DOT)
     closers = rf"(?:[ ]?»|[”』」)’\]'{CLOSE}])*+"
     begins = rf"\p{{Lu}}\p{{Lt}}\p{{Lo}}«“„「『‘¿¡#{OPEN}"
-    # a terminator, blanks, and something a sentence can begin with
-    t = _sub(t, rf"([.!?…]++{closers})(?=\s++(?:$|[{begins}\p{{N}}(\[|•*<>-]))(?!\s*+(?:{GOES_ON}))", "$1" + END)
-    # no blank: after a word, not before a figure that may be the rest of a number
-    t = _sub(t, rf"((?=[.!?…])(?<=[\p{{L}}\p{{M}}\p{{N}})”»\]{CLOSE}])[.!?…]++{closers})(?=[{begins}])(?!{GOES_ON})", "$1" + END)
-    t = _sub(t, rf"((?=[.!?…])(?<=[\p{{L}}\p{{M}})”»\]{CLOSE}])[.!?…]++{closers})(?=[0-9])", "$1" + END)
-    # ideographic full stop and danda
-    t = _sub(t, r"([。।॥]++[.!?…]*+" + closers + r")(?!\s*+(?:" + GOES_ON + r"|[\p{Ll}，、,;:；]))", "$1" + END)
-    # full stops of further scripts (Arabic, Armenian, Ethiopic, Burmese, Khmer, Tibetan ...)
-    t = _sub(t, rf"({STOP}++[.!?…]*+{closers})(?!\s*+[\p{{Ll}},;:])", "$1" + END)
+    ends = [
+        # a terminator, blanks, and something a sentence can begin with
+        rf"[.!?…]++{closers}(?=\s++(?:$|[{begins}\p{{N}}(\[|•*<>-]))(?!\s*+(?:{GOES_ON}))",
+        # no blank: after a word, not before a figure that may be the rest of a number
+        rf"(?=[.!?…])(?<=[\p{{L}}\p{{M}}\p{{N}})”»\]{CLOSE}])[.!?…]++{closers}(?=[{begins}])(?!{GOES_ON})",
+        rf"(?=[.!?…])(?<=[\p{{L}}\p{{M}})”»\]{CLOSE}])[.!?…]++{closers}(?=[0-9])",
+        # ideographic full stop and danda
+        rf"[。।॥]++[.!?…]*+{closers}(?!\s*+(?:{GOES_ON}|[\p{{Ll}}，、,;:；]))",
+        # full stops of further scripts (Arabic, Armenian, Ethiopic, Burmese, Khmer, Tibetan ...)
+        rf"{STOP}++[.!?…]*+{closers}(?!\s*+[\p{{Ll}},;:])",
+    ]
+    t = _sub(t, rf"(?=[.!?…。।॥{STOP}])(?:" + "|".join(ends) + ")", "$0" + END)
     # Thai: a blank between two Thai characters
     t = _sub(t, r"((?=\s)(?<=\p{InThai})\s++)(?=\p{InThai})", END + "$1")
     # blank lines, and lines that hold only a code or a log
