@@ -126,7 +126,7 @@ def fit(doc_terms: DataFrame, covariates: DataFrame, doc: str, term: str, n: str
     if len(names) > MOST_TERMS:
         raise ValueError("more terms than a model may have; trim the vocabulary")
     cells = doc_terms.select(F.col(doc).alias("doc"), F.col(term).alias("term"), F.col(n).cast("double").alias("n")).join(numbered, "term").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("i", "n"))).alias("c"))
-    x = covariates.select(F.col(doc).alias("doc"), F.array(F.lit(1.0), *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features]).alias("x"))
+    x = covariates.select(F.col(doc).alias("doc"), F.array(F.lit(1.0), *[F.coalesce(F.col(f"`{f}`").cast("double"), F.lit(0.0)) for f in features]).alias("x"))
     docs = cut(cells.join(x, "doc").select("doc", F.col("c.i").alias("idx"), F.col("c.n").alias("cnt"), "x", F.array_repeat(F.lit(0.0), k - 1).alias("eta")))
     p = len(features) + 1
     model = Model(names, ["(intercept)", *features], spectral_start(docs, len(names), k), np.zeros((p, k - 1)), 20.0 * np.eye(k - 1))
@@ -188,6 +188,40 @@ def fit(doc_terms: DataFrame, covariates: DataFrame, doc: str, term: str, n: str
     return model, gamma
 
 
+def covariates(df: DataFrame, doc: str, formula: str) -> tuple[DataFrame, list[str]]:
+    """(one row a document with numeric features, their names) of a formula such as `~ engine + log(mileage) + year`.
+
+    Texts become one-hot columns without their first level, missing numbers the median; log() is log(1 + x) of what is
+    not negative. A one-hot column is named `term=level`.
+    """
+    from tessera.functions.numbers import log_clipped
+    from tessera.operators.topics import MOST_FEATURES, design_matrix
+
+    kinds = dict(df.dtypes)
+    numbers, categories = [], []
+    for part in (x.strip() for x in formula.split("~", 1)[-1].split("+")):
+        if part in ("", "1"):
+            continue
+        if part.startswith("log(") and part.endswith(")"):
+            df = df.withColumn(part, log_clipped(F.col(part[4:-1].strip()).cast("double")))
+            numbers.append(part)
+        elif kinds[part] in ("string", "boolean"):
+            categories.append(part)
+        else:
+            numbers.append(part)
+    rows = df.dropDuplicates([doc])
+    if not numbers and not categories:
+        return rows.select(doc), []
+    plain = rows.select(doc, *[F.col(f"`{c}`").alias(f"n{i}") for i, c in enumerate(numbers)], *[F.col(c).alias(f"c{i}") for i, c in enumerate(categories)])
+    long = design_matrix(plain, doc, [f"n{i}" for i in range(len(numbers))], [f"c{i}" for i in range(len(categories))])
+    names = [r[0] for r in long.select("feature").distinct().orderBy("feature").limit(MOST_FEATURES + 1).collect()]
+    if len(names) > MOST_FEATURES:
+        raise ValueError("more features than a model may have")
+    shown = [numbers[int(n[1:])] if n[0] == "n" else categories[int(n[1 : n.index("=")])] + n[n.index("=") :] for n in names]
+    wide = long.groupBy(doc).pivot("feature", names).agg(F.first("value"))
+    return rows.select(doc).join(wide, doc, "left").fillna(0.0).select(doc, *[F.col(f"`{n}`").alias(s) for n, s in zip(names, shown)]), shown
+
+
 def beta_table(spark, model: Model) -> DataFrame:
     """(topic, term, beta) of a model; bounded as the model is."""
     k, v = model.beta.shape

@@ -85,6 +85,19 @@ def run_stages(spark: SparkSession, stages: Sequence[Stage], manifest: str, skip
     return record
 
 
+def run_batch(spark: SparkSession, names: Sequence[str], stages: Callable[[str], Sequence[Stage]], manifests: str, workers: int = 3, finished: Sequence[str] = (), **how) -> list[dict]:
+    """(name, ok, stages) of every name in the given order: run_stages of each, `workers` at a time, names already finished left out.
+
+    A name that fails stops its own stages only. Stages of different names run as jobs of one session side by side.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    todo = [n for n in dict.fromkeys(names) if n not in set(finished)]
+    with ThreadPoolExecutor(workers) as pool:
+        records = list(pool.map(lambda n: run_stages(spark, stages(n), f"{manifests}/{n}.json", **how), todo))
+    return [{"name": n, "ok": all(r["status"] not in ("failed", "not_reached") for r in record), "stages": record} for n, record in zip(todo, records)]
+
+
 def forum_statistics(messages: DataFrame, thread: str, order: Sequence[str], text: str, verdict: Column, focus: Column, classes: Sequence[tuple[str, str]], part: Column) -> DataFrame:
     """Messages -> gate -> threads (in parts) -> focus and class of each part -> statistics: (class, parts, messages, mean_focus)."""
     from tessera.functions.text import first_class

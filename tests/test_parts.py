@@ -125,6 +125,20 @@ def test_runs_resume_where_they_failed(spark, tmp_path):
     assert run() == ["up_to_date", "ok"] and run() == ["up_to_date", "up_to_date"] and run(force=True, skip=["one"]) == ["skipped_by_user", "ok"] and run(resume_from="two") == ["skipped_by_resume", "up_to_date"]
 
 
+def test_a_batch_goes_on_after_a_failure(spark, tmp_path):
+    def stages(name):
+        def run(s):
+            if name == "b":
+                raise OSError("no " + name)
+            s.range(1).write.mode("overwrite").parquet(str(tmp_path / name))
+
+        return [pipelines.Stage("build", run, str(tmp_path / name)), pipelines.Stage("check", lambda s: s.read.parquet(str(tmp_path / name)).count(), str(tmp_path / name))]
+
+    got = pipelines.run_batch(spark, ["a", "b", "c", "a", "d"], stages, str(tmp_path / "m"), finished=["d"])
+    assert [(r["name"], r["ok"]) for r in got] == [("a", True), ("b", False), ("c", True)] and got[1]["stages"][1]["status"] == "not_reached"
+    assert [r["stages"][0]["status"] for r in pipelines.run_batch(spark, ["a", "b"], stages, str(tmp_path / "m"))] == ["up_to_date", "failed"]
+
+
 def test_passes_share_a_scan_and_prune(spark, monkeypatch):
     rng = random.Random(3)
     rows = [(i, [rng.gauss(0, 1) for _ in range(3)], i % 3) for i in range(200)]

@@ -42,3 +42,12 @@ def test_topics_and_covariates_are_recovered(spark):
     beta = stm.beta_table(spark, model)
     held = topics.held_out_likelihood(gamma, beta, topics.held_out(cells, "n", 0.5), "doc", "term").first().log_likelihood
     assert -4.0 < held < -2.0 and beta.count() == 2 * len(model.terms)
+
+
+def test_formula(spark):
+    df = spark.createDataFrame([(1, "a", 9.0, None), (2, "b", 0.0, 4), (3, None, None, 6), (3, None, None, 6)], "d int, k string, x double, y int")
+    wide, names = stm.covariates(df, "d", "~ k + log(x) + y")
+    got = {r.d: tuple(round(float(r[n]), 4) for n in names) for r in wide.collect()}
+    assert names == ["k=b", "k=unknown", "log(x)", "y"] and wide.count() == 3
+    assert got == {1: (0.0, 0.0, 2.3026, 5.0), 2: (1.0, 0.0, 0.0, 4.0), 3: (0.0, 1.0, 1.1513, 6.0)}
+    assert stm.covariates(df, "d", "~ 1")[1] == []
