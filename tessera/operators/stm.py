@@ -203,7 +203,8 @@ def covariates(df: DataFrame, doc: str, formula: str) -> tuple[DataFrame, list[s
         if part in ("", "1"):
             continue
         if part.startswith("log(") and part.endswith(")"):
-            df = df.withColumn(part, log_clipped(F.col(part[4:-1].strip()).cast("double")))
+            x = F.col(part[4:-1].strip()).cast("double")
+            df = df.withColumn(part, F.when(x.isNotNull(), log_clipped(x)))
             numbers.append(part)
         elif kinds[part] in ("string", "boolean"):
             categories.append(part)
