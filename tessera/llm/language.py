@@ -178,15 +178,15 @@ class Alphabets:
             return 0.0
         # most texts hold nothing but letters of the samples, or others of the same scripts
         odd = set(text.lower()) - self.letters[lang]
-        if not any(c.isalpha() and (script(c) not in self.scripts[lang] or self.main[lang] in CASED) for c in odd):
+        if not any(c.isalpha() and (script(c) not in self.scripts.get(lang, ()) or self.main.get(lang) in CASED) for c in odd):
             return 0.0
         n = Counter(c for c in unicodedata.normalize("NFKC", text).lower() if c.isalpha())
         if n.total() < FEW_LETTERS:
             return 0.0
-        foreign = sum(k for c, k in n.items() if script(c) not in self.scripts[lang] and script(c) != "LATIN")
+        foreign = sum(k for c, k in n.items() if script(c) not in self.scripts.get(lang, ()) and script(c) != "LATIN")
         if foreign > FOREIGN * n.total():
             return foreign / n.total()
-        main = self.main[lang]
+        main = self.main.get(lang)
         own = sum(k for c, k in n.items() if script(c) == main)
         unseen = [k for c, k in n.items() if script(c) == main and c not in self.letters[lang]]
         return 0.5 + sum(unseen) / own / 2 if main in CASED and own >= MANY and sum(unseen) > max(2, UNSEEN * own) else 0.0

@@ -188,6 +188,25 @@ _WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)), "".join(chr(c - 0xFEE0)
 _FIGURE = "(zero|one|two|three|four|five|six|seven|eight|nine|oh|nought)"
 _AS_FIGURE = "(list_position(['zero', 'one', 'two', 'three', 'four', 'five', 'six', 'seven', 'eight', 'nine'], {0}) - 1)"
 
+_BLANK = r"(value IS NULL OR regexp_full_match(value, '[\s\p{Z}\p{Cf}]*'))"
+_LITRE = "(?:l|lt|ltr|liters?|litres?)"
+_BETWEEN_SQL = rf"(?:[\s_-]|\b{_LITRE}\b|turbo)*"
+_SIZE = rf"((?:\b[0-9]{{3,5}}\s*(?:ccm|cc|cm3|cm³|cubic cent[a-z]+))|(?:\b[0-9]\s*[.,]\s*[0-9](?:\s*{_LITRE}\b)?)|(?:\b{_FIGURE}\s+(?:point|dot|comma)\s+{_FIGURE})|(?:\b{_FIGURE}\s+and\s+a\s+half)|(?:\b(?:{_FIGURE}|[0-9])\s*-?\s*{_LITRE}\b))".replace("(zero|", "(?:zero|")
+_SLIP = """abs(length(w) - length(name)) <= 1 AND damerau_levenshtein(w, name) <= 1
+ AND (length(w) <= length(name) OR list_contains([name[1:i] || name[i:i] || name[i + 1:] FOR i IN range(1, length(name) + 1)], w))"""
+_VALUES = rf"""t AS (SELECT value, lower(replace(translate(value, '{_WIDE[0]}', '{_WIDE[1]}'), '_', ' ')) AS t FROM v WHERE value IS NOT NULL),
+z AS (SELECT *, [replace(replace(x, ' ', ''), ',', '.') FOR x IN regexp_extract_all(t, '(?:^|[^0-9.,])([0-9]\s*[.,]\s*[0-9])(?:[^0-9]|$)', 1)]
+  || [x || 'cc' FOR x IN regexp_extract_all(t, '(?:^|[^0-9.,])([0-9]{{3,5}})\s*(?:ccm|cc|cm3|cm³|cubic cent)', 1)]
+  || CASE WHEN regexp_matches(t, '{_FIGURE}\s+(point|dot|comma)\s+{_FIGURE}') THEN [{_AS_FIGURE.format(f"regexp_extract(t, '{_FIGURE}[ ]+(point|dot|comma)', 1)")} || '.' || coalesce({_AS_FIGURE.format(f"regexp_extract(t, '(point|dot|comma)[ ]+{_FIGURE}', 2)")}, 0)]
+    WHEN regexp_matches(t, '{_FIGURE}\s+and\s+a\s+half') THEN [{_AS_FIGURE.format(f"regexp_extract(t, '{_FIGURE}[ ]+and', 1)")} || '.5']
+    WHEN regexp_matches(t, '\b{_FIGURE}\s*-?\s*(l|lt|ltr|liters?|litres?)\b') THEN [{_AS_FIGURE.format(f"regexp_extract(t, '{_FIGURE}[ ]*-?[ ]*l', 1)")} || '.0']
+    WHEN regexp_matches(t, '(^|[^0-9.,])[0-9]\s*-?\s*(l|lt|ltr|liters?|litres?)\b') THEN [regexp_extract(t, '([0-9])\s*-?\s*l', 1) || '.0'] ELSE [] END AS sizes FROM t),
+w AS (SELECT value, sizes, unnest(regexp_extract_all(t, '\p{{L}}+')) AS w FROM z),
+e AS (SELECT engine_code, [regexp_extract(engine_code, '^[0-9][.][0-9]'), displacement_cc || 'cc'] AS own, lower(regexp_extract(engine_code, '_(.*)$', 1)) AS name, false AS alone FROM engines
+ UNION ALL SELECT engine_code, [regexp_extract(engine_code, '^[0-9][.][0-9]'), displacement_cc || 'cc'], lower(a), true FROM (SELECT engine_code, displacement_cc, unnest(search_alias) AS a FROM engines) WHERE NOT regexp_matches(a, '[0-9]')),
+hit AS (SELECT DISTINCT value, engine_code FROM w JOIN e ON {_SLIP}
+ WHERE CASE WHEN len(sizes) > 0 THEN list_has_any(sizes, own) ELSE alone END)"""
+
 ORACLE = {
     "p1_found": rf"""
 WITH t AS (SELECT DISTINCT 'documents' AS src, doc_id::VARCHAR AS rec_id, text FROM documents
@@ -212,24 +231,29 @@ g AS (SELECT a AS first, min(b) AS "group" FROM r GROUP BY a), l AS (SELECT a AS
 SELECT issue_id, "group", copies, coalesce(links, 0) AS links FROM t JOIN s USING (w) JOIN g USING (first) LEFT JOIN l USING (first)
 UNION ALL SELECT issue_id, issue_id, 1, 0 FROM t WHERE len(w) = 0
 """,
-    # whether a value fits any engine needs no ranking: a word within one slip of a name, beside the right displacement
+    # a value or a text names one engine at most, so no ranking is needed: a word within one slip of a name, beside the right displacement
     "p3_unmatched": rf"""
-WITH v AS (SELECT value, count(*) AS n FROM (SELECT engine AS value FROM (SELECT DISTINCT ctx_id, engine FROM engine_year_context) UNION ALL SELECT unnest(engines) FROM (SELECT DISTINCT ON (listing_id) * FROM listings))
- WHERE value IS NOT NULL AND NOT regexp_full_match(value, '[\s\p{{Z}}\p{{Cf}}]*') GROUP BY 1),
-t AS (SELECT value, n, lower(replace(translate(value, '{_WIDE[0]}', '{_WIDE[1]}'), '_', ' ')) AS t FROM v),
-z AS (SELECT *, [replace(replace(x, ' ', ''), ',', '.') FOR x IN regexp_extract_all(t, '(?:^|[^0-9.,])([0-9]\s*[.,]\s*[0-9])(?:[^0-9]|$)', 1)]
-  || [x || 'cc' FOR x IN regexp_extract_all(t, '(?:^|[^0-9.,])([0-9]{{3,5}})\s*(?:ccm|cc|cm3|cm³|cubic cent)', 1)]
-  || CASE WHEN regexp_matches(t, '{_FIGURE}\s+(point|dot|comma)\s+{_FIGURE}') THEN [{_AS_FIGURE.format(f"regexp_extract(t, '{_FIGURE}[ ]+(point|dot|comma)', 1)")} || '.' || coalesce({_AS_FIGURE.format(f"regexp_extract(t, '(point|dot|comma)[ ]+{_FIGURE}', 2)")}, 0)]
-    WHEN regexp_matches(t, '{_FIGURE}\s+and\s+a\s+half') THEN [{_AS_FIGURE.format(f"regexp_extract(t, '{_FIGURE}[ ]+and', 1)")} || '.5']
-    WHEN regexp_matches(t, '\b{_FIGURE}\s*-?\s*(l|lt|ltr|liters?|litres?)\b') THEN [{_AS_FIGURE.format(f"regexp_extract(t, '{_FIGURE}[ ]*-?[ ]*l', 1)")} || '.0']
-    WHEN regexp_matches(t, '(^|[^0-9.,])[0-9]\s*-?\s*(l|lt|ltr|liters?|litres?)\b') THEN [regexp_extract(t, '([0-9])\s*-?\s*l', 1) || '.0'] ELSE [] END AS sizes FROM t),
-w AS (SELECT value, n, sizes, unnest(regexp_extract_all(t, '\p{{L}}+')) AS w FROM z),
-e AS (SELECT engine_code, [regexp_extract(engine_code, '^[0-9][.][0-9]'), displacement_cc || 'cc'] AS own, lower(regexp_extract(engine_code, '_(.*)$', 1)) AS name, false AS alone FROM engines
- UNION ALL SELECT engine_code, [regexp_extract(engine_code, '^[0-9][.][0-9]'), displacement_cc || 'cc'], lower(a), true FROM (SELECT engine_code, displacement_cc, unnest(search_alias) AS a FROM engines) WHERE NOT regexp_matches(a, '[0-9]')),
-hit AS (SELECT DISTINCT value FROM w JOIN e ON abs(length(w) - length(name)) <= 1 AND damerau_levenshtein(w, name) <= 1
- AND (length(w) <= length(name) OR list_contains([name[1:i] || name[i:i] || name[i + 1:] FOR i IN range(1, length(name) + 1)], w))
- WHERE CASE WHEN len(sizes) > 0 THEN list_has_any(sizes, own) ELSE alone END)
-SELECT value, n FROM v WHERE value NOT IN (SELECT value FROM hit)
+WITH v AS (SELECT value, count(*) AS n FROM (SELECT engine AS value FROM (SELECT DISTINCT ctx_id, engine FROM engine_year_context) UNION ALL SELECT unnest(engines) FROM (SELECT DISTINCT ON (listing_id) * FROM listings)) GROUP BY 1),
+{_VALUES}
+SELECT value, n FROM v WHERE NOT {_BLANK} AND value NOT IN (SELECT value FROM hit)
+""",
+    "p3_found": rf"""
+WITH src AS (SELECT DISTINCT 'engine_year_context' AS src, ctx_id::VARCHAR AS rec_id, 0 AS pos, engine AS value FROM engine_year_context
+ UNION ALL SELECT 'listings', listing_id::VARCHAR, unnest(range(len(engines)))::INT, unnest(engines) FROM (SELECT DISTINCT ON (listing_id) * FROM listings)),
+v AS (SELECT DISTINCT value FROM src),
+{_VALUES},
+c AS (SELECT DISTINCT complaint_id::VARCHAR AS rec_id, lower(replace(translate(description, '{_WIDE[0]}', '{_WIDE[1]}'), '_', ' ')) AS t FROM complaints WHERE description IS NOT NULL),
+beside AS (SELECT rec_id, unnest(regexp_extract_all(t, '{_SIZE}{_BETWEEN_SQL}(\p{{L}}+)', 1)) AS size, unnest(regexp_extract_all(t, '{_SIZE}{_BETWEEN_SQL}(\p{{L}}+)', 2)) AS w FROM c
+ UNION ALL SELECT rec_id, unnest(regexp_extract_all(t, '(\p{{L}}+){_BETWEEN_SQL}{_SIZE}', 2)), unnest(regexp_extract_all(t, '(\p{{L}}+){_BETWEEN_SQL}{_SIZE}', 1)) FROM c),
+told AS (SELECT rec_id, w, [CASE WHEN regexp_matches(size, '^[0-9]{{3}}') THEN regexp_extract(size, '^[0-9]+') || 'cc' WHEN regexp_matches(size, '^[0-9]\s*[.,]') THEN size[1] || '.' || regexp_extract(size, '[.,]\s*([0-9])', 1)
+  WHEN regexp_matches(size, 'point|dot|comma') THEN {_AS_FIGURE.format(f"regexp_extract(size, '^{_FIGURE}', 1)")} || '.' || coalesce({_AS_FIGURE.format(f"regexp_extract(size, '{_FIGURE}$', 1)")}, 0)
+  WHEN regexp_matches(size, 'half') THEN {_AS_FIGURE.format(f"regexp_extract(size, '^{_FIGURE}', 1)")} || '.5'
+  WHEN regexp_matches(size, '^[0-9]') THEN size[1] || '.0' ELSE {_AS_FIGURE.format(f"regexp_extract(size, '^{_FIGURE}', 1)")} || '.0' END] AS sizes FROM beside
+ UNION ALL SELECT rec_id, unnest(regexp_extract_all(t, '\p{{L}}+')), [] FROM c),
+near AS (SELECT w, engine_code, own, alone FROM (SELECT DISTINCT w FROM told) JOIN e ON {_SLIP}),
+mention AS (SELECT rec_id, min(engine_code) AS engine_code FROM told JOIN near USING (w) WHERE CASE WHEN len(sizes) > 0 THEN list_has_any(sizes, own) ELSE alone END GROUP BY 1)
+SELECT src, rec_id, pos, coalesce(engine_code, 'UNMATCHED') AS engine_code FROM src LEFT JOIN (SELECT value, min(engine_code) AS engine_code FROM hit GROUP BY 1) USING (value) WHERE NOT {_BLANK}
+UNION ALL SELECT 'complaints', rec_id, 0, engine_code FROM mention
 """,
     "p4_forms": f"""
 WITH f AS (SELECT 'documents' AS src, doc_id::VARCHAR AS rec_id, 'text' AS field, 0 AS pos, text AS value FROM documents UNION ALL SELECT 'documents', doc_id::VARCHAR, 'title', 0, title FROM documents
