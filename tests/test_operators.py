@@ -45,6 +45,27 @@ def test_similar_bags_and_clusters(spark):
     assert got == union_find([r[0] for r in rows], links)
 
 
+def test_clusters_of_short_and_long_bags(spark):
+    rng = random.Random(12)
+    rows = [(f"r{i:03}", rng.choice(["x", "y", None]), rng.sample("abcdefghijklmnopqrstuvwxyz0123456789", rng.randrange(0, 10))) for i in range(150)]
+    rows += [(f"s{i:03}", r[1], [t for t in r[2] if rng.random() > 0.25] + rng.sample("+-*", rng.randrange(0, 2))) for i, r in enumerate(rows)]
+    df = spark.createDataFrame(rows, "id string, k string, bag array<string>")
+    for threshold, least in ((0.55, 2), (0.8, 3)):
+        alike = lambda a, b: len(a & b) >= least and (a <= b or b <= a or len(a & b) >= threshold * len(a | b) - 1e-9)  # noqa: E731, B023
+        links = {(x[0], y[0]) for x, y in itertools.combinations(rows, 2) if x[1] == y[1] and ((x[1] and alike(set(x[2]), set(y[2]))) or (set(x[2]) == set(y[2]) and x[2]))}
+        got = {r.id: r.cluster for r in dedupe.clusters(df, "id", "k", "bag", threshold, least).collect()}
+        assert got == union_find([r[0] for r in rows], links)
+
+
+def test_clusters_list_no_pairs_of_common_tokens(spark, monkeypatch):
+    """Bags that share all but one token are one cluster, and the links to find it grow with the bags, not with their pairs."""
+    linked = []
+    monkeypatch.setattr(dedupe, "connected_components", lambda edges, a, b: linked.append(edges.count()) or graph.connected_components(edges, a, b))
+    df = spark.createDataFrame([(i, "x", [f"own{i}", "timing", "chain", "leak"]) for i in range(300)], "id int, k string, bag array<string>")
+    assert {r.cluster for r in dedupe.clusters(df, "id", "k", "bag").collect()} == {0}
+    assert sum(linked) <= 20 * 300
+
+
 def test_spans(spark):
     rng = random.Random(3)
     sets = [[(a, a + rng.randrange(4)) for a in (rng.randrange(2000, 2020) for _ in range(rng.randrange(0, 5)))] for _ in range(40)]
